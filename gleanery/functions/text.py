@@ -65,7 +65,7 @@ def term_overlap(query_terms: Column, text_terms: Column) -> Column:
 def excerpt(text: Column, query: Column, limit: int = 240, lead: int = 80) -> Column:
     """Window of ``limit`` characters around the first hit, with marks where text was cut."""
     flat = collapse_space(text)
-    hit = F.call_function("instr", fold(flat), fold(query))
+    hit = F.call_function("instr", fold(flat), fold(strip(query)))
     start = F.greatest(F.when(hit > 0, hit - 1 - lead).otherwise(F.lit(0)), F.lit(0))
     body = F.substring(flat, start + 1, F.lit(limit))
     return F.concat(
@@ -88,13 +88,12 @@ def split_claims(draft: Column) -> Column:
 
 
 def value_key(col: Column) -> Column:
-    """Comparable form of a scalar given as text: booleans, plain numbers, other text."""
+    """Comparable form of a scalar given as text: a plain number without closing zeros, or the text."""
     text = strip(col)
     number = text.try_cast("decimal(38,18)")
     plain = F.regexp_replace(
         F.regexp_replace(number.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
     return (F.when(col.isNull() | (text == ""), F.lit(None).cast("string"))
-            .when(text.isin("True", "False"), F.concat(F.lit("boolean:"), text))
             .when(number.isNotNull(), F.concat(F.lit("number:"), plain))
             .otherwise(F.concat(F.lit("text:"), text)))
 

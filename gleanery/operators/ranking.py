@@ -57,6 +57,21 @@ def position_in_group(df: DataFrame, groups: Sequence[str], value: str, tie: str
                          (F.col("__before") + F.col("__local")).cast("bigint").alias(name))
 
 
+def running_sum(df: DataFrame, groups: Sequence[str], order: str, value: str, name: str,
+                slices: int = SLICES) -> DataFrame:
+    """Sum of ``value`` over the rows before, in ``order`` (numeric, unique in a group)."""
+    base = (df.withColumn("__cuts", _cuts(df, order, slices))
+            .withColumn("__s", _slice_of(F.col(order), F.col("__cuts"))).drop("__cuts"))
+    part = [*groups, "__s"]
+    before = W.partitionBy(*groups).orderBy("__s").rowsBetween(W.unboundedPreceding, -1)
+    starts = (base.groupBy(*part).agg(F.sum(value).alias("__v"))
+              .select(*part, F.coalesce(F.sum("__v").over(before), F.lit(0)).alias("__before")))
+    inner = base.withColumn("__local", F.coalesce(F.sum(value).over(
+        W.partitionBy(*part).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    joined = inner.join(starts, _all([inner[c].eqNullSafe(starts[c]) for c in part]), "left")
+    return joined.select(*[inner[c] for c in df.columns], (F.col("__before") + F.col("__local")).alias(name))
+
+
 def previous_in_group(df: DataFrame, groups: Sequence[str], order: str, carry: Sequence[str],
                       prefix: str = "prev_", slices: int = SLICES) -> DataFrame:
     """Values of the row before, in ``order`` (numeric, unique in a group)."""

@@ -24,6 +24,9 @@ class Tables:
     def sql(self, text: str) -> DataFrame:
         """Run derivation SQL whose ``{table}`` marks name the parquet tables."""
         used = {t: getattr(self, t) for t in TABLES if "{" + t + "}" in text}
+        text = text.replace("{", "{{").replace("}", "}}")
+        for t in used:
+            text = text.replace("{{" + t + "}}", "{" + t + "}")
         return self.spark.sql(text, **used)
 
 
