@@ -43,11 +43,8 @@ def search_tokens(col: Column) -> Column:
     low = fold(strip(col))
     words = F.regexp_extract_all(low, F.lit(r"[a-z0-9]+"), F.lit(0))
     cjk = F.regexp_extract_all(low, F.lit(r"[\u4e00-\u9fff]"), F.lit(0))
-    pairs = F.when(
-        F.size(cjk) > 1,
-        F.transform(F.sequence(F.lit(1), F.size(cjk) - 1),
-                    lambda i: F.concat(F.element_at(cjk, i), F.element_at(cjk, i + 1))),
-    ).otherwise(F.array().cast("array<string>"))
+    # neighbours are zipped, since a lambda body would extract the characters anew per index
+    pairs = F.array_compact(F.zip_with(cjk, F.slice(cjk, F.lit(2), F.greatest(F.size(cjk) - 1, F.lit(0))), lambda a, b: F.concat(a, b)))
     return F.concat(words, cjk, pairs)
 
 

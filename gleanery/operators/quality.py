@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.functions.text import strip
+from gleanery.functions.text import is_blank, norm_key, strip
+from gleanery.functions.values import cell_kind
+from gleanery.operators.profile import field_profile, inferred_types, long_cells
 
 # Shapes of contact data and the limits of the checks.
 PHONE_SHAPE = r"^(?:\+?\d[\d\s-]{5,19})$"
@@ -15,3 +19,70 @@ HIGH_MISSING_RATIO = 0.5
 
 def contact_valid(kind: str, value: Column) -> Column:
     return strip(value).rlike(PHONE_SHAPE if kind == "phone" else EMAIL_SHAPE)
+
+
+# people columns: meanings that make a sheet a person sheet
+PERSON_MEANINGS = ("name", "college", "grade", "class", "student_id")
+
+
+def validate_table(df: DataFrame, sheet: str) -> DataFrame:
+    """Issue rows (sheet, field, issue_type, severity, detail) of one table of raw text."""
+    profile = field_profile(df, semantics=True).drop("inferred_type").join(
+        inferred_types(long_cells(df)), "source_name")
+    blank = is_blank(F.col("value"))
+    cells = long_cells(df).join(profile.select("source_name", "canonical_name"), "source_name")
+    number = F.col("value").try_cast("double")
+    bad = cells.filter(~blank).groupBy("source_name").agg(
+        F.count_if((F.col("canonical_name") == "score")
+                   & (~cell_kind(F.col("value")).isin("integer", "number") | ~number.between(0, 100))).alias("range"),
+        F.count_if(((F.col("canonical_name") == "phone") & ~contact_valid("phone", F.col("value")))
+                   | ((F.col("canonical_name") == "email") & ~contact_valid("email", F.col("value")))).alias("contact"))
+    repeated = (cells.filter(~blank & F.col("canonical_name").isin("student_id", "name"))
+                .groupBy("source_name", norm_key(F.col("value")).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+                .groupBy("source_name").agg(F.count_if(F.col("n") > 1).alias("groups")))
+    facts = profile.join(bad, "source_name", "left").join(repeated, "source_name", "left")
+
+    def issue(test: Column, kind: str, severity: str, detail: Column) -> Column:
+        return F.when(test, F.struct(F.lit(kind).alias("issue_type"), F.lit(severity).alias("severity"),
+                                     detail.cast("string").alias("detail")))
+
+    meaning = F.col("canonical_name")
+    issues = F.array_compact(F.array(
+        issue(F.col("null_count") > 0, "null_value", "warning", F.col("null_count")),
+        issue(F.col("null_ratio") >= HIGH_MISSING_RATIO, "high_missing_ratio", "error", F.col("null_ratio")),
+        issue(F.col("inferred_type").isin("mixed", "other"), "type_anomaly", "warning", F.col("inferred_type")),
+        issue(F.col("range") > 0, "numeric_range_anomaly", "error", F.lit(None)),
+        issue(F.col("contact") > 0, "invalid_contact_format", "error", F.lit(None)),
+        issue((F.col("groups") > 0) & (meaning == "student_id"), "duplicate_student_id", "error", F.col("groups")),
+        issue((F.col("groups") > 0) & (meaning == "name"), "duplicate_name", "warning", F.col("groups"))))
+    per_field = facts.select(F.lit(sheet).alias("sheet"), F.col("source_name").alias("field"),
+                             F.explode(issues).alias("i")).select("sheet", "field", "i.*")
+    person = profile.agg(F.bool_or(meaning.isin(*PERSON_MEANINGS)).alias("person"),
+                         F.coalesce(F.bool_or(meaning == "student_id"), F.lit(False)).alias("has_id"))
+    lacking = person.filter("person and not has_id").select(
+        F.lit(sheet).alias("sheet"), F.lit(None).cast("string").alias("field"),
+        F.lit("missing_required_field").alias("issue_type"), F.lit("error").alias("severity"),
+        F.lit("student_id").alias("detail"))
+    return per_field.unionByName(lacking)
+
+
+def table_status(issues: DataFrame, row_count: Column) -> DataFrame:
+    """no_record, invalid_data or found from the worst issue."""
+    return issues.agg(F.count_if(F.col("severity") == "error").alias("errors"),
+                      F.count_if(F.col("severity") == "warning").alias("warnings")).select(
+        F.when(row_count == 0, "no_record").when(F.col("errors") > 0, "invalid_data").otherwise("found").alias("status"),
+        "errors", "warnings")
+
+
+def duplicate_records(df: DataFrame, keys: Sequence[str], row_number: str = "row_number") -> DataFrame:
+    """Rows of key tuples seen more than once, with the count of their group.
+
+    Null and blank keys count as values. A large group stays many rows: counts are
+    pre-aggregated, and the join back is on keys that repeat only.
+    """
+    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("count")).filter("count > 1")
+    cond = F.lit(True)
+    right = groups.select(*[F.col(k).alias("__" + k) for k in keys], "count")
+    for k in keys:
+        cond = cond & df[k].eqNullSafe(right["__" + k])
+    return df.join(right, cond).select(*keys, "count", row_number)

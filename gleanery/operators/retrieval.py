@@ -28,11 +28,13 @@ def token_bucket(token: Column, dimensions: int = DIMENSIONS) -> Column:
 def hash_vectors(df: DataFrame, key: str, text: str) -> DataFrame:
     """Sparse unit vectors (key, bucket, weight) of hashed token counts.
 
-    Tokens are counted inside the row, so a row's vector never leaves its task.
+    Tokens are counted before they are hashed, so each distinct token of a text
+    costs one digest. With ``df`` partitioned by ``key`` no step shuffles again.
     """
-    buckets = F.transform(tx.search_tokens(F.col(text)), lambda token: token_bucket(token))
-    counted = (df.select(F.col(key), F.explode(buckets).alias("bucket"))
-               .groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("n")))
+    tokens = df.select(F.col(key), F.explode(tx.search_tokens(F.col(text))).alias("token"))
+    counts = tokens.groupBy(key, "token").agg(F.count(F.lit(1)).alias("c"))
+    counted = (counts.select(key, token_bucket(F.col("token")).alias("bucket"), "c")
+               .groupBy(key, "bucket").agg(F.sum("c").alias("n")))
     norms = F.sqrt(F.sum(F.col("n") * F.col("n")).over(W.partitionBy(key)))
     return counted.select(key, "bucket", (F.col("n") / norms).alias("weight"))
 

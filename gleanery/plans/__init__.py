@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("tables", "scalars")
+MODULES = ("tables", "scalars", "entities")
 
 
 def catalogs():

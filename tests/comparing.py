@@ -47,8 +47,9 @@ def compare(df, con, sql: str) -> str | None:
     left.sort(key=key)
     right.sort(key=key)
     if left != right:
-        extra = [r for r in left if r not in set(right)][:2]
-        lacking = [r for r in right if r not in set(left)][:2]
+        in_left, in_right = set(left), set(right)
+        extra = [r for r in left if r not in in_right][:2]
+        lacking = [r for r in right if r not in in_left][:2]
         return f"rows {len(left)} vs {len(right)}; {order}\n  only spark {extra}\n  only sql {lacking}"
     if not left:
         return "EMPTY"
