@@ -58,3 +58,158 @@ def like_search(chunks: DataFrame, phrase: str) -> DataFrame:
     """Substring search that folds ASCII case only; marks of LIKE have no meaning."""
     needle = phrase.translate(str.maketrans(ASCII_UPPER, ASCII_LOWER))
     return chunks.filter(F.translate("chunk_text", ASCII_UPPER, ASCII_LOWER).contains(needle)).orderBy("chunk_index")
+
+
+def phrase_hits(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, tf): chunks that hold the whole query text, ignoring case.
+
+    Containment is no equi-join, so each query is first looked up by its opening
+    characters, as many as one of the anchor lengths allows, among the overlapping
+    pieces of every chunk; only such candidates are compared in full. Queries under
+    three characters have no hits.
+    """
+    phrase = F.lower("query")
+    length = None
+    for n in ANCHORS:
+        test = F.length(phrase) >= n
+        length = F.when(test, n) if length is None else length.when(test, n)
+    asked = queries.select("query_id", phrase.alias("phrase"), length.alias("n")).filter("n is not null").withColumn(
+        "gram", F.expr("substring(phrase, 1, n)"))
+    # at most four values: the anchor lengths in use
+    lengths = sorted(r["n"] for r in asked.select("n").distinct().collect())
+    low = F.lower("chunk_text")
+    pieces = [F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]
+    grams = pieces[0] if len(pieces) == 1 else F.concat(*pieces) if pieces else F.array().cast("array<string>")
+    lookup = chunks.select("chunk_id", F.explode(F.array_distinct(grams)).alias("gram"))
+    candidates = lookup.join(asked.select("query_id", "phrase", "gram"), "gram").select("query_id", "phrase", "chunk_id")
+    checked = candidates.join(chunks.select("chunk_id", low.alias("low")), "chunk_id").filter(F.col("low").contains(F.col("phrase")))
+    quoted = F.concat(F.lit("(?=\\Q"), F.replace("phrase", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    return checked.select("query_id", "chunk_id", F.regexp_count("low", quoted).cast("bigint").alias("tf"))
+
+
+def keyword_retrieve(chunks: DataFrame, queries: DataFrame, limit: Column | int, scope: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, file_id, chunk_index, rank, keyword_position), best first.
+
+    BM25 over one phrase; document statistics come from all chunks, the scope
+    (query_id, file_id) only cuts the list. A lower rank is better.
+    """
+    hits = phrase_hits(chunks, queries)
+    size = F.greatest(F.length("chunk_text") - 2, F.lit(0))
+    stats = chunks.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg(size).alias("mean")).alias("s")).scalar()
+    df = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("df"))
+    rows = (hits.join(df, "query_id").join(chunks.select("chunk_id", "file_id", "chunk_index", size.alias("d")), "chunk_id")
+            .withColumn("s", stats))
+    idf = F.log((F.col("s.n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.when(idf <= 0, IDF_FLOOR).otherwise(idf)
+    tf = F.col("tf")
+    rank = -idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("d") / F.col("s.mean")))
+    scored = rows.select("query_id", "chunk_id", "file_id", "chunk_index", rank.alias("rank"))
+    if scope is not None:
+        scored = scored.join(scope, ["query_id", "file_id"], "left_semi")
+    return top_n(scored, ["query_id"], [F.col("rank"), F.col("chunk_index"), F.col("file_id")], limit, "keyword_position")
+
+
+def vector_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """Cosine of hash vectors for chunk and query pairs at or above the least score.
+
+    Chunks are partitioned by their id once. Their vectors, the product with a small
+    query table and the sum per pair then need no further shuffle.
+    """
+    spread = chunks.select("chunk_id", "chunk_text").repartition("chunk_id")
+    left = hash_vectors(spread, "chunk_id", "chunk_text")
+    right = hash_vectors(queries.select("query_id", "query"), "query_id", "query").withColumnRenamed("weight", "query_weight")
+    score = F.sum(F.col("weight") * F.col("query_weight"))
+    return (left.join(right, "bucket").groupBy("chunk_id", "query_id").agg(score.alias("score"))
+            .filter(F.col("score") >= VECTOR_MIN_SCORE).select("query_id", "chunk_id", F.round("score", 8).alias("vector_score")))
+
+
+def vector_retrieve(chunks: DataFrame, queries: DataFrame, limit: Column | int, scope: DataFrame | None = None) -> DataFrame:
+    scored = vector_scores(chunks, queries).join(chunks.select("chunk_id", "file_id", "chunk_index"), "chunk_id")
+    if scope is not None:
+        scored = scored.join(scope, ["query_id", "file_id"], "left_semi")
+    return top_n(scored, ["query_id"], [F.col("vector_score").desc(), F.col("file_id"), F.col("chunk_index")], limit, "vector_position")
+
+
+def fuse(keyword: DataFrame, vector: DataFrame) -> DataFrame:
+    """Reciprocal rank fusion; both lists meet in one grouping instead of an outer join."""
+    none = F.lit(None)
+    k = keyword.select("query_id", "chunk_id", "file_id", "chunk_index", "keyword_position",
+                       none.cast("int").alias("vector_position"), none.cast("double").alias("vector_score"))
+    v = vector.select("query_id", "chunk_id", "file_id", "chunk_index", none.cast("int").alias("keyword_position"),
+                      "vector_position", "vector_score")
+    both = k.unionByName(v).groupBy("query_id", "chunk_id").agg(
+        F.min("file_id").alias("file_id"), F.min("chunk_index").alias("chunk_index"),
+        F.max("keyword_position").alias("kp"), F.max("vector_position").alias("vp"), F.max("vector_score").alias("vs"))
+
+    def part(position: str) -> Column:
+        return F.coalesce(1.0 / (RRF_K + F.col(position)), F.lit(0.0))
+
+    return both.select(
+        "query_id", "chunk_id", "file_id", "chunk_index",
+        F.round(part("kp") + part("vp"), 8).alias("combined_score"),
+        F.round(F.coalesce(1.0 / F.col("kp"), F.lit(0.0)), 8).alias("keyword_score"),
+        F.coalesce("vs", F.lit(0.0)).alias("vector_score"),
+        F.concat_ws(",", F.when(F.col("kp").isNotNull(), "keyword"), F.when(F.col("vp").isNotNull(), "vector")).alias("sources"))
+
+
+def candidate_limit(limit: int) -> int:
+    return max(20, min(100, limit * 4))
+
+
+def hybrid_order(fused: DataFrame, n: int) -> DataFrame:
+    return top_n(fused, ["query_id"], [F.col("combined_score").desc(), F.col("vector_score").desc(),
+                                       F.col("file_id"), F.col("chunk_index")], n, "fused_position")
+
+
+def rerank(candidates: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """Default ranking of fused candidates: (query_id, chunk_id, score)."""
+    best = F.max("combined_score").over(W.partitionBy("query_id"))
+    rows = (candidates.withColumn("best", best).join(chunks.select("chunk_id", "chunk_text"), "chunk_id")
+            .join(queries.select("query_id", "query"), "query_id"))
+    overlap = tx.term_overlap(tx.term_set(F.col("query")), tx.term_set(F.col("chunk_text")))
+    score = (0.6 * F.col("combined_score") / F.when(F.col("best") == 0, 1.0).otherwise(F.col("best"))
+             + 0.25 * F.greatest(F.lit(0.0), "vector_score") + 0.15 * overlap)
+    return rows.select("query_id", "chunk_id", F.round(F.least(F.lit(1.0), score), 8).alias("score"))
+
+
+def checked_ranking(candidates: DataFrame, ranking: DataFrame) -> DataFrame:
+    """Per query, whether a ranking names the same ids once each with finite scores."""
+    want = candidates.select("query_id", "chunk_id", F.lit(1).alias("c"))
+    got = ranking.groupBy("query_id", "chunk_id").agg(
+        F.count(F.lit(1)).alias("times"),
+        F.bool_and(F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") != float("inf"))).alias("finite"))
+    pair = want.join(got, ["query_id", "chunk_id"], "full")
+    fine = F.col("c").isNotNull() & (F.col("times") == 1) & F.col("finite")
+    return pair.groupBy("query_id").agg(F.bool_and(F.coalesce(fine, F.lit(False))).alias("valid"))
+
+
+def apply_ranking(candidates: DataFrame, ranking: DataFrame, limit: int) -> DataFrame:
+    """Top rows by a ranking, or by the fused order where the ranking is not valid."""
+    valid = checked_ranking(candidates, ranking)
+    one = ranking.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+    rows = candidates.join(valid, "query_id", "left").join(one, ["query_id", "chunk_id"], "left").withColumn(
+        "retrieval_score", F.when(F.col("valid"), F.round("score", 8)).otherwise(F.col("combined_score")))
+    order = [F.when(F.col("valid"), F.col("retrieval_score")).desc(), F.when(F.col("valid"), F.col("chunk_id")),
+             F.col("fused_position")]
+    return top_n(rows, ["query_id"], order, limit, "final_position").select(
+        "query_id", "chunk_id", "file_id", "chunk_index", "keyword_score", "vector_score", "combined_score",
+        "retrieval_score", F.when(F.col("valid"), "hybrid").otherwise("rerank_fallback").alias("mode"), "final_position")
+
+
+def keyword_fallback(keyword: DataFrame, limit: int) -> DataFrame:
+    """The list when no vectors are at hand."""
+    score = F.round(1.0 / F.col("keyword_position"), 8)
+    return keyword.filter(F.col("keyword_position") <= limit).select(
+        "query_id", "chunk_id", "file_id", "chunk_index", score.alias("retrieval_score"), F.lit("keyword").alias("sources"))
+
+
+def hybrid_retrieve(chunks: DataFrame, queries: DataFrame, limit: int = 5, scope: DataFrame | None = None,
+                    ranker=None) -> DataFrame:
+    """Keyword and vector recall, fusion, rerank, and the best rows per query.
+
+    ``ranker(candidates, chunks, queries)`` may replace the default ranking.
+    """
+    n = candidate_limit(limit)
+    fused = fuse(keyword_retrieve(chunks, queries, n, scope), vector_retrieve(chunks, queries, n, scope))
+    candidates = hybrid_order(fused, n)
+    return apply_ranking(candidates, (ranker or rerank)(candidates, chunks, queries), limit)
