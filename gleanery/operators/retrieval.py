@@ -60,31 +60,37 @@ def like_search(chunks: DataFrame, phrase: str) -> DataFrame:
     return chunks.filter(F.translate("chunk_text", ASCII_UPPER, ASCII_LOWER).contains(needle)).orderBy("chunk_index")
 
 
-def phrase_hits(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, tf): chunks that hold the whole query text, ignoring case.
+def containment(texts: DataFrame, phrases: DataFrame, on: tuple[str, ...] = (),
+                anchors: tuple[int, ...] = ANCHORS) -> DataFrame:
+    """Pairs where a text holds a whole phrase: (on..., phrase_id, text_id, phrase, body).
 
-    Containment is no equi-join, so each query is first looked up by its opening
+    Containment is no equi-join, so each phrase is first looked up by its opening
     characters, as many as one of the anchor lengths allows, among the overlapping
-    pieces of every chunk; only such candidates are compared in full. Queries under
-    three characters have no hits.
+    pieces of every text; only such candidates are compared in full. Phrases under
+    the shortest anchor have no hits.
     """
-    phrase = F.lower("query")
     length = None
-    for n in ANCHORS:
-        test = F.length(phrase) >= n
+    for n in anchors:
+        test = F.length("phrase") >= n
         length = F.when(test, n) if length is None else length.when(test, n)
-    asked = queries.select("query_id", phrase.alias("phrase"), length.alias("n")).filter("n is not null").withColumn(
+    asked = phrases.select(*on, "phrase_id", "phrase", length.alias("n")).filter("n is not null").withColumn(
         "gram", F.expr("substring(phrase, 1, n)"))
-    # at most four values: the anchor lengths in use
+    # at most as many values as there are anchor lengths
     lengths = sorted(r["n"] for r in asked.select("n").distinct().collect())
-    low = F.lower("chunk_text")
-    pieces = [F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]
+    pieces = [F.regexp_extract_all("body", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]
     grams = pieces[0] if len(pieces) == 1 else F.concat(*pieces) if pieces else F.array().cast("array<string>")
-    lookup = chunks.select("chunk_id", F.explode(F.array_distinct(grams)).alias("gram"))
-    candidates = lookup.join(asked.select("query_id", "phrase", "gram"), "gram").select("query_id", "phrase", "chunk_id")
-    checked = candidates.join(chunks.select("chunk_id", low.alias("low")), "chunk_id").filter(F.col("low").contains(F.col("phrase")))
+    lookup = texts.select(*on, "text_id", F.explode(F.array_distinct(grams)).alias("gram"))
+    found = lookup.join(asked, [*on, "gram"]).select(*on, "phrase_id", "phrase", "text_id")
+    return found.join(texts.select(*on, "text_id", "body"), [*on, "text_id"]).filter(F.col("body").contains(F.col("phrase")))
+
+
+def phrase_hits(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, tf): chunks that hold the whole query text, ignoring case."""
+    pairs = containment(chunks.select(F.col("chunk_id").alias("text_id"), F.lower("chunk_text").alias("body")),
+                        queries.select(F.col("query_id").alias("phrase_id"), F.lower("query").alias("phrase")))
     quoted = F.concat(F.lit("(?=\\Q"), F.replace("phrase", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
-    return checked.select("query_id", "chunk_id", F.regexp_count("low", quoted).cast("bigint").alias("tf"))
+    return pairs.select(F.col("phrase_id").alias("query_id"), F.col("text_id").alias("chunk_id"),
+                        F.regexp_count("body", quoted).cast("bigint").alias("tf"))
 
 
 def keyword_retrieve(chunks: DataFrame, queries: DataFrame, limit: Column | int, scope: DataFrame | None = None) -> DataFrame:
