@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import text as tx
 from gleanery.operators.ranking import top_n
+from gleanery.operators.storage import settle
 
 DIMENSIONS = 2048
 RRF_K = 60
@@ -99,7 +100,8 @@ def keyword_retrieve(chunks: DataFrame, queries: DataFrame, limit: Column | int,
     BM25 over one phrase; document statistics come from all chunks, the scope
     (query_id, file_id) only cuts the list. A lower rank is better.
     """
-    hits = phrase_hits(chunks, queries)
+    # few rows, read twice below; the pieces of all chunks are walked once
+    hits = settle(phrase_hits(chunks, queries))
     size = F.greatest(F.length("chunk_text") - 2, F.lit(0))
     stats = chunks.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg(size).alias("mean")).alias("s")).scalar()
     df = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("df"))
@@ -115,22 +117,27 @@ def keyword_retrieve(chunks: DataFrame, queries: DataFrame, limit: Column | int,
     return top_n(scored, ["query_id"], [F.col("rank"), F.col("chunk_index"), F.col("file_id")], limit, "keyword_position")
 
 
-def vector_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+def chunk_vectors(chunks: DataFrame) -> DataFrame:
+    """Sparse vectors of chunks, to be stored once and searched many times."""
+    return hash_vectors(chunks.select("chunk_id", "chunk_text").repartition("chunk_id"), "chunk_id", "chunk_text")
+
+
+def vector_scores(chunks: DataFrame, queries: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
     """Cosine of hash vectors for chunk and query pairs at or above the least score.
 
     Chunks are partitioned by their id once. Their vectors, the product with a small
     query table and the sum per pair then need no further shuffle.
     """
-    spread = chunks.select("chunk_id", "chunk_text").repartition("chunk_id")
-    left = hash_vectors(spread, "chunk_id", "chunk_text")
+    left = chunk_vectors(chunks) if vectors is None else vectors
     right = hash_vectors(queries.select("query_id", "query"), "query_id", "query").withColumnRenamed("weight", "query_weight")
     score = F.sum(F.col("weight") * F.col("query_weight"))
     return (left.join(right, "bucket").groupBy("chunk_id", "query_id").agg(score.alias("score"))
             .filter(F.col("score") >= VECTOR_MIN_SCORE).select("query_id", "chunk_id", F.round("score", 8).alias("vector_score")))
 
 
-def vector_retrieve(chunks: DataFrame, queries: DataFrame, limit: Column | int, scope: DataFrame | None = None) -> DataFrame:
-    scored = vector_scores(chunks, queries).join(chunks.select("chunk_id", "file_id", "chunk_index"), "chunk_id")
+def vector_retrieve(chunks: DataFrame, queries: DataFrame, limit: Column | int, scope: DataFrame | None = None,
+                    vectors: DataFrame | None = None) -> DataFrame:
+    scored = vector_scores(chunks, queries, vectors).join(chunks.select("chunk_id", "file_id", "chunk_index"), "chunk_id")
     if scope is not None:
         scored = scored.join(scope, ["query_id", "file_id"], "left_semi")
     return top_n(scored, ["query_id"], [F.col("vector_score").desc(), F.col("file_id"), F.col("chunk_index")], limit, "vector_position")
@@ -167,15 +174,20 @@ def hybrid_order(fused: DataFrame, n: int) -> DataFrame:
                                        F.col("file_id"), F.col("chunk_index")], n, "fused_position")
 
 
-def rerank(candidates: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Default ranking of fused candidates: (query_id, chunk_id, score)."""
+def scored(candidates: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """Candidates with the default ``score``."""
     best = F.max("combined_score").over(W.partitionBy("query_id"))
     rows = (candidates.withColumn("best", best).join(chunks.select("chunk_id", "chunk_text"), "chunk_id")
             .join(queries.select("query_id", "query"), "query_id"))
     overlap = tx.term_overlap(tx.term_set(F.col("query")), tx.term_set(F.col("chunk_text")))
     score = (0.6 * F.col("combined_score") / F.when(F.col("best") == 0, 1.0).otherwise(F.col("best"))
              + 0.25 * F.greatest(F.lit(0.0), "vector_score") + 0.15 * overlap)
-    return rows.select("query_id", "chunk_id", F.round(F.least(F.lit(1.0), score), 8).alias("score"))
+    return rows.select(*candidates.columns, F.round(F.least(F.lit(1.0), score), 8).alias("score"))
+
+
+def rerank(candidates: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """Default ranking of fused candidates: (query_id, chunk_id, score)."""
+    return scored(candidates, chunks, queries).select("query_id", "chunk_id", "score")
 
 
 def checked_ranking(candidates: DataFrame, ranking: DataFrame) -> DataFrame:
@@ -210,12 +222,18 @@ def keyword_fallback(keyword: DataFrame, limit: int) -> DataFrame:
 
 
 def hybrid_retrieve(chunks: DataFrame, queries: DataFrame, limit: int = 5, scope: DataFrame | None = None,
-                    ranker=None) -> DataFrame:
+                    ranker=None, vectors: DataFrame | None = None) -> DataFrame:
     """Keyword and vector recall, fusion, rerank, and the best rows per query.
 
-    ``ranker(candidates, chunks, queries)`` may replace the default ranking.
+    ``ranker(candidates, chunks, queries)`` may replace the default ranking; only a
+    foreign ranking needs the check of its ids and scores.
     """
     n = candidate_limit(limit)
-    fused = fuse(keyword_retrieve(chunks, queries, n, scope), vector_retrieve(chunks, queries, n, scope))
+    fused = fuse(keyword_retrieve(chunks, queries, n, scope), vector_retrieve(chunks, queries, n, scope, vectors))
     candidates = hybrid_order(fused, n)
-    return apply_ranking(candidates, (ranker or rerank)(candidates, chunks, queries), limit)
+    if ranker is not None:
+        candidates = settle(candidates)
+        return apply_ranking(candidates, ranker(candidates, chunks, queries), limit)
+    ranked = top_n(scored(candidates, chunks, queries), ["query_id"], [F.col("score").desc(), F.col("chunk_id")], limit, "final_position")
+    return ranked.select("query_id", "chunk_id", "file_id", "chunk_index", "keyword_score", "vector_score", "combined_score",
+                         F.col("score").alias("retrieval_score"), F.lit("hybrid").alias("mode"), "final_position")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("tables", "scalars", "entities", "documents", "retrieval", "traces", "ledgers", "regions", "evidence")
+MODULES = ("tables", "scalars", "entities", "documents", "retrieval", "traces", "ledgers", "regions", "evidence", "rules")
 
 
 def catalogs():
