@@ -80,8 +80,9 @@ def containment(texts: DataFrame, phrases: DataFrame, on: tuple[str, ...] = (),
     lengths = sorted(r["n"] for r in asked.select("n").distinct().collect())
     pieces = [F.regexp_extract_all("body", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]
     grams = pieces[0] if len(pieces) == 1 else F.concat(*pieces) if pieces else F.array().cast("array<string>")
-    lookup = texts.select(*on, "text_id", F.explode(F.array_distinct(grams)).alias("gram"))
-    found = lookup.join(asked, [*on, "gram"]).select(*on, "phrase_id", "phrase", "text_id")
+    # repeated pieces of a text are dropped after the lookup, when few are left
+    lookup = texts.select(*on, "text_id", F.explode(grams).alias("gram"))
+    found = lookup.join(asked, [*on, "gram"]).select(*on, "phrase_id", "phrase", "text_id").distinct()
     return found.join(texts.select(*on, "text_id", "body"), [*on, "text_id"]).filter(F.col("body").contains(F.col("phrase")))
 
 

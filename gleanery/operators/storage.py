@@ -3,22 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; a scratch one only where none is set."""
-    context = spark.sparkContext
-    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write a frame to reliable storage and read it back, so retries see the same rows."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a frame as a table in the shared folder and read it back.
+
+    Later stages and retries then see the same rows, columns are pruned on reading,
+    and the file sizes tell the planner which sides are small.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
