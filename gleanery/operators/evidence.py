@@ -115,6 +115,25 @@ def judge_evidence(e: DataFrame, drafts: DataFrame) -> DataFrame:
     return j.select("draft_id", "evidence_id", "content", codes.alias("codes"), (~(bad | lost | incomplete)).alias("usable"))
 
 
+SMALL_DRAFT = 10_000
+
+
+def _excerpt_hits(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Claims found in evidence of their own draft.
+
+    Drafts with few claim and evidence pairs are compared directly; larger ones go
+    through the lookup of claim openings. Both ways are exact.
+    """
+    sizes = texts.groupBy("draft_id").agg(F.count(F.lit(1)).alias("t")).join(
+        phrases.groupBy("draft_id").agg(F.count(F.lit(1)).alias("p")), "draft_id")
+    large = settle(sizes.filter(F.col("t") * F.col("p") > SMALL_DRAFT).select("draft_id"))
+    if large.isEmpty():
+        return texts.join(phrases, "draft_id").filter(F.col("body").contains(F.col("phrase"))).select("draft_id", "phrase_id", "text_id")
+    small = texts.join(large, "draft_id", "left_anti").join(phrases, "draft_id").filter(F.col("body").contains(F.col("phrase")))
+    looked = containment(texts.join(large, "draft_id", "left_semi"), phrases.join(large, "draft_id", "left_semi"), ("draft_id",), (*ANCHORS, 1))
+    return small.select("draft_id", "phrase_id", "text_id").unionByName(looked.select("draft_id", "phrase_id", "text_id"))
+
+
 def claim_links(claims: DataFrame, usable: DataFrame, claim_map: DataFrame) -> DataFrame:
     """(draft_id, claim_no, method, evidence_id or null, unknown): evidence of every claim.
 
@@ -131,7 +150,7 @@ def claim_links(claims: DataFrame, usable: DataFrame, claim_map: DataFrame) -> D
     silent = unmapped.join(cited.select(*key).distinct(), key, "left_anti")
     phrases = silent.select("draft_id", F.col("claim_no").alias("phrase_id"), plain_claim(F.col("claim")).alias("phrase")).filter("phrase <> ''")
     texts = usable.select("draft_id", F.col("evidence_id").alias("text_id"), tx.claim_normal(F.col("content")).alias("body"))
-    hits = containment(texts, phrases, ("draft_id",), (*ANCHORS, 1)).select(
+    hits = _excerpt_hits(texts, phrases).select(
         "draft_id", F.col("phrase_id").alias("claim_no"), F.col("text_id").alias("evidence_id"))
     excerpts = silent.select(*key).join(hits, key, "left").select(*key, F.lit("exact_excerpt").alias("method"), "evidence_id", F.lit(False).alias("unknown"))
     return named.unionByName(excerpts)

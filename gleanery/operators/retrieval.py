@@ -29,10 +29,11 @@ def token_bucket(token: Column, dimensions: int = DIMENSIONS) -> Column:
 def hash_vectors(df: DataFrame, key: str, text: str) -> DataFrame:
     """Sparse unit vectors (key, bucket, weight) of hashed token counts.
 
-    Tokens are counted before they are hashed, so each distinct token of a text
-    costs one digest. With ``df`` partitioned by ``key`` no step shuffles again.
+    Texts are partitioned by ``key`` once, before they grow into tokens; no later step
+    shuffles again. Tokens are counted before they are hashed, so each distinct token
+    of a text costs one digest.
     """
-    tokens = df.select(F.col(key), F.explode(tx.search_tokens(F.col(text))).alias("token"))
+    tokens = df.select(key, text).repartition(key).select(F.col(key), F.explode(tx.search_tokens(F.col(text))).alias("token"))
     counts = tokens.groupBy(key, "token").agg(F.count(F.lit(1)).alias("c"))
     counted = (counts.select(key, token_bucket(F.col("token")).alias("bucket"), "c")
                .groupBy(key, "bucket").agg(F.sum("c").alias("n")))
@@ -81,9 +82,10 @@ def containment(texts: DataFrame, phrases: DataFrame, on: tuple[str, ...] = (),
     pieces = [F.regexp_extract_all("body", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]
     grams = pieces[0] if len(pieces) == 1 else F.concat(*pieces) if pieces else F.array().cast("array<string>")
     # repeated pieces of a text are dropped after the lookup, when few are left
-    lookup = texts.select(*on, "text_id", F.explode(grams).alias("gram"))
+    spread = texts.select(*on, "text_id", "body").repartition(*on, "text_id")
+    lookup = spread.select(*on, "text_id", F.explode(grams).alias("gram"))
     found = lookup.join(asked, [*on, "gram"]).select(*on, "phrase_id", "phrase", "text_id").distinct()
-    return found.join(texts.select(*on, "text_id", "body"), [*on, "text_id"]).filter(F.col("body").contains(F.col("phrase")))
+    return found.join(spread, [*on, "text_id"]).filter(F.col("body").contains(F.col("phrase")))
 
 
 def phrase_hits(chunks: DataFrame, queries: DataFrame) -> DataFrame:
@@ -120,7 +122,7 @@ def keyword_retrieve(chunks: DataFrame, queries: DataFrame, limit: Column | int,
 
 def chunk_vectors(chunks: DataFrame) -> DataFrame:
     """Sparse vectors of chunks, to be stored once and searched many times."""
-    return hash_vectors(chunks.select("chunk_id", "chunk_text").repartition("chunk_id"), "chunk_id", "chunk_text")
+    return hash_vectors(chunks, "chunk_id", "chunk_text")
 
 
 def vector_scores(chunks: DataFrame, queries: DataFrame, vectors: DataFrame | None = None) -> DataFrame:

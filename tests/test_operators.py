@@ -310,3 +310,12 @@ def test_stream_runs_on_after_a_restart(spark, tmp_path):
     want = {s: (len(x), sum(i % 3 == 0 for i in x), sum(x)) for s in (0, 1) for x in ([i for i in range(16) if i % 2 == s],)}
     assert got == want
     assert {r[0] for r in spark.read.parquet(base + "/log").select("metrics_json").collect()} == {'{"p": "138****5678"}'}
+
+
+def test_large_drafts_use_the_lookup(spark, monkeypatch):
+    from gleanery.operators import evidence as ev
+    texts = spark.createDataFrame([("a", f"e{i}", f"line{i % 7}of{i}") for i in range(40)] + [("b", "e0", "xyz")], "draft_id string, text_id string, body string")
+    phrases = spark.createDataFrame([("a", i, f"line{i}of") for i in range(9)] + [("a", 90, "3"), ("b", 1, "y"), ("b", 2, "q")], "draft_id string, phrase_id int, phrase string")
+    direct = set(rows(ev._excerpt_hits(texts, phrases)))
+    monkeypatch.setattr(ev, "SMALL_DRAFT", 50)
+    assert set(rows(ev._excerpt_hits(texts, phrases))) == direct and ("a", 90, "e3") in direct and ("b", 1, "e0") in direct
