@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import ids
 from gleanery.functions import text as tx
-from gleanery.functions.urls import host, url_part
+from gleanery.functions.urls import host
 from gleanery.operators.ranking import first_per_key, top_n
 from gleanery.operators.retrieval import ANCHORS, containment
 from gleanery.operators.storage import settle
@@ -102,8 +102,10 @@ def judge_evidence(e: DataFrame, drafts: DataFrame) -> DataFrame:
     placed = filled(F.col("chunk_id")) | F.coalesce(F.col("page_no") > 0, F.lit(False)) | filled(F.col("table"), F.col("cell")) | filled(
         F.col("sheet"), F.col("field"), F.col("record_key"))
     url = F.col("url")
-    url_ok = (url_part(url, 1) != "") & (host(url) != "") & ~F.coalesce(url, F.lit("")).rlike(r"^[^/]*//[^/?#]*@")
-    domain_ok = host(url) == F.regexp_replace(F.lower(tx.strip(F.col("domain"))), r"\.+$", "")
+    # one pass over the URL gives its host; a URL with user data has none
+    named = F.lower(F.regexp_extract(url, r"(?i)^\s*https?://(\[[0-9a-f:.]+\]|[^/?#:@\s]+)(?::\d*)?(?:[/?#]|\s*$)", 1))
+    url_ok = named != ""
+    domain_ok = F.rtrim(named, F.lit(".")) == F.rtrim(F.lower(tx.strip(F.col("domain"))), F.lit("."))
     incomplete = F.when(local, ~filled(F.col("file_id"), F.col("file_name"))).when(
         web, ~filled(url, F.col("domain"), F.col("retrieved_at")) | ~F.coalesce(url_ok & domain_ok, F.lit(False))).otherwise(F.lit(True))
     dated = tx.not_blank(F.col("retrieved_at"))
