@@ -21,8 +21,8 @@ from gleanery.plans import all_queries  # noqa: E402
 HEADLINE = (
     "agg_group_by", "agg_sum", "filter_and", "limit_rows", "rank_in_group", "field_profile", "validate_table",
     "duplicate_records", "entity_profile", "entity_match_primary", "text_line_blocks", "overlapping_chunks",
-    "redact_phone", "hash_embedding", "keyword_retrieve", "vector_retrieve", "hybrid_retrieve",
-    "evidence_gate", "region_safety", "tool_summary", "task_view")
+    "redact_phone", "keyword_retrieve", "vector_retrieve", "hybrid_retrieve",
+    "region_safety", "tool_summary", "task_view")
 
 
 def main() -> None:
