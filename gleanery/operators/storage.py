@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,14 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a scratch one only where none is set."""
+    """The session's checkpoint folder.
+
+    On a cluster the folder must be set, since executors share no local disk. A local
+    session without one gets a scratch folder that goes when the program ends.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
+        atexit.register(shutil.rmtree, folder, True)
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def stage_folder(spark: SparkSession) -> str:
+    """Where this application keeps its stage tables."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/stages-{spark.sparkContext.applicationId}"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write a frame as a table in the shared folder and read it back.
 
@@ -24,6 +38,12 @@ def settle(df: DataFrame) -> DataFrame:
     and the file sizes tell the planner which sides are small.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    path = f"{stage_folder(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Delete the stage tables of this application; frames that read them are void then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(stage_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
