@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleanery.llm import linededup, neardup, toxicity
+from gleanery.llm import decontaminate, linededup, mixing, neardup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,14 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "class_id", "group_id", "group_size")
 
 
+def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(mixing.mix(_table(spark, sf_dir, "documents")))
+
+
+def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def toxic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
@@ -44,7 +52,9 @@ from marked group by doc_id
 
 QUERIES = {
     "op2_near_duplicates": near_duplicates,
+    "op4_mixed_sources": mixed_sources,
     "op5_toxic_scores": toxic_scores,
+    "op7_benchmark_leaks": benchmark_leaks,
     "op9_repeated_lines": repeated_lines,
 }
 SQL = {"op9_repeated_lines": REPEATED_LINES_SQL}
