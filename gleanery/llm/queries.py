@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleanery.llm import decontaminate, linededup, mixing, neardup, toxicity
+from gleanery.llm import decontaminate, linededup, mixing, neardup, syncmers, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def toxic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
 
 
+def anchor_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = linededup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -56,5 +60,6 @@ QUERIES = {
     "op5_toxic_scores": toxic_scores,
     "op7_benchmark_leaks": benchmark_leaks,
     "op9_repeated_lines": repeated_lines,
+    "op10_anchor_fingerprints": anchor_fingerprints,
 }
 SQL = {"op9_repeated_lines": REPEATED_LINES_SQL}
