@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleanery.llm import decontaminate, linededup, mixing, neardup, syncmers, toxicity
+from gleanery.llm import decontaminate, linededup, mixing, neardup, privacy, syncmers, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.span_report(privacy.find_spans(_table(spark, sf_dir, "documents")))
+
+
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = neardup.near_groups(_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "class_id", "group_id", "group_size")
@@ -55,6 +59,7 @@ from marked group by doc_id
 """
 
 QUERIES = {
+    "op1_private_spans": private_spans,
     "op2_near_duplicates": near_duplicates,
     "op4_mixed_sources": mixed_sources,
     "op5_toxic_scores": toxic_scores,
