@@ -96,6 +96,17 @@ def _mask_by_kind(text: str, key: str, masks) -> str:
     return "***"
 
 
+def _rewritten(text: str | None, walk) -> str | None:
+    """JSON text after a walk over its value; null where it is no JSON, so nothing unread gets through."""
+    if text is None:
+        return None
+    try:
+        value = json.loads(text)
+    except ValueError:
+        return None
+    return json.dumps(walk(value), ensure_ascii=False)
+
+
 @F.pandas_udf(T.StringType())
 def redact_by_key(values: pd.Series) -> pd.Series:
     """Mask a JSON value by its keys at any depth; other text by pattern."""
@@ -124,7 +135,7 @@ def redact_by_key(values: pd.Series) -> pd.Series:
             return [walk(v) for v in value]
         return plain(value) if isinstance(value, str) else value
 
-    return values.map(lambda t: None if t is None else json.dumps(walk(json.loads(t)), ensure_ascii=False))
+    return values.map(lambda t: _rewritten(t, walk))
 
 
 @F.pandas_udf(T.StringType())
@@ -137,4 +148,4 @@ def strip_hidden_keys(values: pd.Series) -> pd.Series:
             return {k: walk(v) for k, v in value.items() if k.strip().casefold() not in hidden}
         return [walk(v) for v in value] if isinstance(value, list) else value
 
-    return values.map(lambda t: None if t is None else json.dumps(walk(json.loads(t)), ensure_ascii=False))
+    return values.map(lambda t: _rewritten(t, walk))

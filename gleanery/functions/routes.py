@@ -78,7 +78,7 @@ def source_route(message: Column) -> Column:
               .when(local, route("LOCAL", "EXPLICIT_LOCAL_DOCUMENT_SIGNAL"))
               .otherwise(route("LOCAL", "SAFE_LOCAL_DEFAULT")))
     return F.struct(choice["strategy"].alias("strategy"), choice["reason_code"].alias("reason_code"),
-                    F.when(choice["strategy"] == "DIRECT_URL", F.slice(urls, 1, 5))
+                    F.when(choice["strategy"] == "DIRECT_URL", urls)
                     .otherwise(F.array().cast("array<string>")).alias("urls"))
 
 

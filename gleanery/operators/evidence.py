@@ -63,12 +63,14 @@ def value_conflicts(e: DataFrame) -> DataFrame:
     """Rows whose value differs from some value on the other side, local or web, of the same key.
 
     Whether a differing value exists is told by the least and greatest value of the
-    other side, so the rows are never paired.
+    other side, so the rows are never paired. Values of another year, period or unit are
+    not compared; ``period`` and ``unit`` may be absent.
     """
-    key = ["draft_id", "field", "record_key", "year"]
+    key = ["draft_id", "field", "record_key", "year", "period", "unit"]
+    e = e.withColumns({k: F.lit(None).cast("string") for k in ("period", "unit") if k not in e.columns})
     v = e.withColumn("v", tx.value_key(F.col("value"))).withColumn("local", F.col("source_type") == "LOCAL").filter(
         F.col("v").isNotNull() & tx.not_blank(F.col("field")) & F.col("source_type").isin("LOCAL", *WEB_TYPES))
-    v = v.withColumns({k: F.coalesce(F.col(k).cast("string"), F.lit("")) for k in ("record_key", "year")})
+    v = v.withColumns({k: F.coalesce(F.col(k).cast("string"), F.lit("")) for k in ("record_key", "year", "period", "unit")})
     sides = v.groupBy(*key).agg(*[f(F.when(F.col("local") == side, F.col("v"))).alias(n) for n, f, side in (
         ("ll", F.min, True), ("lh", F.max, True), ("wl", F.min, False), ("wh", F.max, False))])
     differs = F.when(F.col("local"), (F.col("wl") != F.col("v")) | (F.col("wh") != F.col("v"))).otherwise(
@@ -117,23 +119,9 @@ def judge_evidence(e: DataFrame, drafts: DataFrame) -> DataFrame:
     return j.select("draft_id", "evidence_id", "content", codes.alias("codes"), (~(bad | lost | incomplete)).alias("usable"))
 
 
-SMALL_DRAFT = 10_000
-
-
 def _excerpt_hits(texts: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Claims found in evidence of their own draft.
-
-    Drafts with few claim and evidence pairs are compared directly; larger ones go
-    through the lookup of claim openings. Both ways are exact.
-    """
-    sizes = texts.groupBy("draft_id").agg(F.count(F.lit(1)).alias("t")).join(
-        phrases.groupBy("draft_id").agg(F.count(F.lit(1)).alias("p")), "draft_id")
-    large = settle(sizes.filter(F.col("t") * F.col("p") > SMALL_DRAFT).select("draft_id"))
-    if large.isEmpty():
-        return texts.join(phrases, "draft_id").filter(F.col("body").contains(F.col("phrase"))).select("draft_id", "phrase_id", "text_id")
-    small = texts.join(large, "draft_id", "left_anti").join(phrases, "draft_id").filter(F.col("body").contains(F.col("phrase")))
-    looked = containment(texts.join(large, "draft_id", "left_semi"), phrases.join(large, "draft_id", "left_semi"), ("draft_id",), (*ANCHORS, 1))
-    return small.select("draft_id", "phrase_id", "text_id").unionByName(looked.select("draft_id", "phrase_id", "text_id"))
+    """Claims found in evidence of their own draft, looked up by their openings whatever the draft's size."""
+    return containment(texts, phrases, ("draft_id",), (*ANCHORS, 1)).select("draft_id", "phrase_id", "text_id")
 
 
 def claim_links(claims: DataFrame, usable: DataFrame, claim_map: DataFrame) -> DataFrame:
@@ -273,16 +261,16 @@ def document_evidence(ranked: DataFrame, chunks: DataFrame, queries: DataFrame,
 AUTHORITIES = ("official", "academic", "general", "unknown")
 
 
-def web_evidence(records: DataFrame, source_type: str, max_chars: int = 12_000) -> DataFrame:
+def web_evidence(records: DataFrame, source_type: str, max_chars: int | None = None) -> DataFrame:
     """Evidence of hits or pages (url, domain, title, content, publisher, published_at, authority, retrieved_at).
 
-    Records without text are dropped. The identity covers the whole text; the content
-    column is bounded, as the record format demands.
+    Records without text are dropped. Identity and content cover the whole text; a caller
+    may bound the content by ``max_chars``, which ``content_truncated`` then tells.
     """
     whole = tx.strip(F.col("content"))
     url = tx.strip(F.col("url"))
     domain = F.lower(F.coalesce(F.nullif(tx.strip(F.col("domain")), F.lit("")), host(url)))
-    body = F.substring(whole, 1, max(1, min(50_000, max_chars)))
+    body = whole if max_chars is None else F.substring(whole, 1, max(1, max_chars))
     eid = ids.evidence_id({"source_type": ids.json_text(F.lit(source_type)), "url": ids.json_text(url), "content_hash": ids.json_text(ids.text_hash(whole))})
     authority = F.lower(tx.strip(F.coalesce("authority", F.lit(""))))
     published = F.nullif(tx.strip(F.col("published_at")), F.lit(""))

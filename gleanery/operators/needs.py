@@ -25,7 +25,7 @@ RULE_TERMS, COMPARE_TERMS = ("规则", "办法", "资格", "条件", "审批"),
 POLICY_SUFFIXES = ("评审办法", "相关规定", "实施办法", "管理办法")
 FIRST_PRIZE = "一等奖学金"
 CONTROL_WORDS = ("结合本地", "结合材料", "对照材料", "本地和网页", "本地与网页", "材料和最新", "联网", "网页", "互联网")
-LOW_CONFIDENCE, MAX_NEEDS, QUERY_LENGTH = 0.70, 6, 500
+LOW_CONFIDENCE = 0.70
 
 
 def clauses(message: Column) -> Column:
@@ -40,11 +40,11 @@ def is_complex(message: Column) -> Column:
 
 
 def need_decompose(requests: DataFrame, domain: str = "general") -> DataFrame:
-    """Up to six needs of each complex request (request_id, message), with type, year and id."""
+    """The needs of each complex request (request_id, message), with type, year and id."""
     text = tx.strip(F.col("message"))
     rows = requests.withColumn("text", text).filter(is_complex(F.col("text")))
     parts = clauses(F.col("text"))
-    parts = F.slice(F.when(F.size(parts) == 1, F.array("text")).otherwise(parts), 1, MAX_NEEDS)
+    parts = F.when(F.size(parts) == 1, F.array("text")).otherwise(parts)
     year = F.nullif(F.regexp_extract("text", r"(?<!\d)(20\d{2})\s*年?", 1), F.lit(""))
     flat = rows.select("request_id", year.alias("year"), F.posexplode(parts).alias("p", "clause"))
     scope = F.concat(F.lit('{"file_id":null,"file_ids":null,"file_type":null,"page":null,"slide":null,"year":'), F.coalesce("year", F.lit("null")),
@@ -54,7 +54,7 @@ def need_decompose(requests: DataFrame, domain: str = "general") -> DataFrame:
         "student_fact" if domain == "student" else "general_fact")
     return flat.select(
         "request_id", (F.col("p") + 1).alias("need_no"), F.concat(F.lit("need-"), F.substring(F.sha2(key, 256), 1, 12)).alias("need_id"),
-        kind.alias("need_type"), F.substring("clause", 1, 128).alias("name"), F.col("clause").alias("query"), F.col("year").cast("int").alias("year"))
+        kind.alias("need_type"), F.col("clause").alias("name"), F.col("clause").alias("query"), F.col("year").cast("int").alias("year"))
 
 
 def need_sufficiency(needs: DataFrame, evidence: DataFrame, threshold: float = LOW_CONFIDENCE) -> DataFrame:
@@ -81,20 +81,16 @@ def need_sufficiency(needs: DataFrame, evidence: DataFrame, threshold: float = L
                     F.when(status.isin("conflict", "sufficient"), F.array().cast("array<string>")).otherwise(lacking).alias("missing_terms"))
 
 
-def bounded(col: Column) -> Column:
-    return F.substring(tx.collapse_space(col), 1, QUERY_LENGTH)
-
-
 def rewrite(query: Column, name: Column, description: Column, round_no: int, missing: Column, given: Column | None = None) -> Column:
     """Query of a round: as is, then given rewrites or fixed suffixes, then none."""
     if round_no <= 1:
         return query
-    extra = F.array_join(F.slice(missing, 1, 5), " ")
+    extra = F.array_join(missing, " ")
     fixed = F.lit(None).cast("string")
     if round_no == 2:
-        fixed = bounded(F.concat(query, F.lit(" 补充证据 "), F.when(extra != "", extra).otherwise(name)))
+        fixed = tx.collapse_space(F.concat(query, F.lit(" 补充证据 "), F.when(extra != "", extra).otherwise(name)))
     elif round_no == 3:
-        fixed = bounded(F.concat(query, F.lit(" 交叉核验 "), description))
+        fixed = tx.collapse_space(F.concat(query, F.lit(" 交叉核验 "), description))
     return fixed if given is None else F.coalesce(F.get(given, F.lit(round_no - 2)), fixed)
 
 
@@ -111,12 +107,12 @@ def source_query(query: Column, round_no: int, missing: Column) -> Column:
     """Query form of a cross-source round."""
     clean = tx.collapse_space(query)
     if round_no <= 1:
-        return F.substring(clean, 1, QUERY_LENGTH)
+        return clean
     base = tx.collapse_space(reduce(lambda q, w: F.replace(q, F.lit(w), F.lit(" ")), CONTROL_WORDS, clean))
     base = F.when(base != "", base).otherwise(clean)
     if round_no == 2:
-        return bounded(F.concat_ws(" ", base, F.array_join(F.slice(missing, 1, 5), " ")))
-    return bounded(F.concat(base, F.lit(" 官方 原文"))) if round_no == 3 else F.lit(None).cast("string")
+        return tx.collapse_space(F.concat_ws(" ", base, F.array_join(missing, " ")))
+    return tx.collapse_space(F.concat(base, F.lit(" 官方 原文"))) if round_no == 3 else F.lit(None).cast("string")
 
 
 def _evidence_of(rows: DataFrame, chunks: DataFrame, asked: DataFrame) -> DataFrame:

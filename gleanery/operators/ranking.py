@@ -19,12 +19,11 @@ SLICES = 256
 def _cuts(df: DataFrame, name: str, slices: int) -> Column:
     """Approximate quantiles of one numeric column as a scalar subquery."""
     points = [i / slices for i in range(1, slices)]
-    return df.select(F.percentile_approx(F.col(name).cast("double"), points, 10 * slices)).scalar()
+    return df.select(F.percentile_approx(F.col(name), points, 10 * slices)).scalar()
 
 
 def _slice_of(value: Column, cuts: Column) -> Column:
     """Odd numbers hold rows equal to a cut, even numbers the rows between cuts."""
-    value = value.cast("double")
     below = F.size(F.filter(cuts, lambda c: c < value))
     on = F.array_contains(cuts, value)
     return F.when(on, 2 * below + 1).otherwise(2 * below)
@@ -34,7 +33,7 @@ def position_in_group(df: DataFrame, groups: Sequence[str], value: str, tie: str
                       descending: bool = False, name: str = "position",
                       slices: int = SLICES) -> DataFrame:
     """1-based position by ``value`` then ``tie`` (both numeric, ``tie`` unique in a group)."""
-    key = -F.col(value).cast("double") if descending else F.col(value).cast("double")
+    key = -F.col(value) if descending else F.col(value)
     base = df.withColumn("__key", key)
     base = (base.withColumn("__cuts", _cuts(base, "__key", slices))
             .withColumn("__s", _slice_of(F.col("__key"), F.col("__cuts"))))
@@ -104,9 +103,12 @@ def nearest_rank(df: DataFrame, groups: Sequence[str], value: str, quantile: flo
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], position: Column, last: bool = False) -> DataFrame:
-    """First (or last) row per key by an explicit position, as a map-side aggregate."""
+    """First (or last) row per key by an explicit position, as a map-side aggregate.
+
+    Rows of equal position are told apart by their other columns, in column order.
+    """
     rest = [c for c in df.columns if c not in keys]
-    pick = (F.max_by if last else F.min_by)(F.struct(*rest), position)
+    pick = (F.max_by if last else F.min_by)(F.struct(*rest), F.struct(position, *rest))
     out = df.groupBy(*keys).agg(pick.alias("__row"))
     return out.select(*keys, *[F.col("__row")[c].alias(c) for c in rest]).select(*df.columns)
 

@@ -176,7 +176,7 @@ def page_route(pages: DataFrame) -> DataFrame:
 
 def region_provenance(chunks: DataFrame, regions: DataFrame) -> DataFrame:
     """Region of each chunk by its region id, else by page and box (first in reading order)."""
-    by_id = regions.select("file_id", F.col("region_id"), F.col("region_id").alias("id_hit"))
+    by_id = regions.groupBy("file_id", "region_id").agg(F.first("region_id").alias("id_hit"))
     by_box = regions.filter("bbox is not null").groupBy("file_id", "page_no", "bbox").agg(F.min_by("region_id", "seq").alias("box_hit"))
     j = chunks.join(by_id, ["file_id", "region_id"], "left").join(by_box, ["file_id", "page_no", "bbox"], "left")
     return j.select("chunk_id", F.when(F.col("region_id").isNotNull(), F.col("id_hit")).otherwise(F.col("box_hit")).alias("source_region_id"))

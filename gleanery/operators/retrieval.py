@@ -169,7 +169,8 @@ def fuse(keyword: DataFrame, vector: DataFrame) -> DataFrame:
 
 
 def candidate_limit(limit: int) -> int:
-    return max(20, min(100, limit * 4))
+    """Candidates that a search for ``limit`` rows ranks."""
+    return max(20, limit * 4)
 
 
 def hybrid_order(fused: DataFrame, n: int) -> DataFrame:

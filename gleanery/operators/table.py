@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
+from decimal import Decimal, InvalidOperation
 from functools import reduce
 from typing import Any
 
@@ -74,6 +75,8 @@ def coerce_literal(value: Any, data_type: T.DataType) -> Any:
             if isinstance(value, bool) or (isinstance(value, float) and not value.is_integer()):
                 raise ValueError(value)
             return int(value)
+        if isinstance(data_type, T.DecimalType) and not isinstance(value, bool):
+            return Decimal(str(value))
         if isinstance(data_type, NUMBERS):
             if isinstance(value, bool):
                 raise ValueError(value)
@@ -89,7 +92,7 @@ def coerce_literal(value: Any, data_type: T.DataType) -> Any:
         if isinstance(data_type, STAMPS):
             return dt.datetime.fromisoformat(str(value))
         return str(value)
-    except (TypeError, ValueError) as exc:
+    except (TypeError, ValueError, InvalidOperation) as exc:
         raise ArgumentError("INVALID_FILTER_VALUE", f"{value!r} for {data_type.simpleString()}") from exc
 
 
@@ -145,8 +148,8 @@ def iso_text(df: DataFrame, name: str) -> Column:
 def query_table(df: DataFrame, query: TableQuery, row_number: str = "row_number") -> DataFrame:
     if not query.select or len(set(query.select)) != len(query.select):
         raise ArgumentError("INVALID_QUERY_ARGUMENTS", "select must be non-empty and free of repeats")
-    if query.limit is not None and not 1 <= query.limit <= 1000:
-        raise ArgumentError("INVALID_QUERY_ARGUMENTS", "limit must be 1..1000")
+    if query.limit is not None and query.limit < 1:
+        raise ArgumentError("INVALID_QUERY_ARGUMENTS", "limit must be 1 or more")
     check_fields(df, query.select)
     out = apply_filters(df, query.filters)
     if query.order_by or query.limit is not None:

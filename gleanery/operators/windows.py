@@ -32,7 +32,6 @@ def heading_path(blocks: DataFrame, group: str = "file_id", order: str = "line_n
 
 
 # How a header row is told from data.
-HEADER_ROWS, HEADER_COLUMNS = 50, 200
 TEXT_SHARE, COVERAGE, MIN_SCORE = 0.8, 0.5, 0.78
 
 
@@ -41,9 +40,7 @@ def header_rows(cells: DataFrame, merged: DataFrame | None = None) -> DataFrame:
 
     ``merged`` has the row and column span of merged ranges (sheet, row, first_col, last_col).
     """
-    filled = cells.filter(F.col("value").isNotNull() & F.col("value").rlike(r"(?U)\S") & (F.col("row") <= HEADER_ROWS + 1))
-    wide = filled.groupBy("sheet").agg(F.max("col").alias("w")).filter(F.col("w") > HEADER_COLUMNS).select("sheet")
-    filled = filled.join(wide, "sheet", "left_anti")
+    filled = cells.filter(F.col("value").isNotNull() & F.col("value").rlike(r"(?U)\S"))
     rows = filled.groupBy("sheet", "row").agg(
         F.count(F.lit(1)).alias("n"), F.min("col").alias("first"), F.max("col").alias("last"),
         F.count_if("is_text").alias("texts"), F.count_distinct(F.trim("value")).alias("names"),
@@ -60,7 +57,7 @@ def header_rows(cells: DataFrame, merged: DataFrame | None = None) -> DataFrame:
     r = r.withColumn("score", F.round(0.35 * F.col("text_share") + 0.35 + 0.20 * F.col("cover") + 0.10 * contrast, 4))
     like = (F.col("text_share") >= TEXT_SHARE) & (F.col("cover") >= COVERAGE)
     wider = F.coalesce((F.col("next_first") < F.col("first")) | (F.col("next_last") > F.col("last")) | (F.col("next_n") > width), F.lit(False))
-    good = r.filter(like & ~F.col("broken") & ~wider & (F.col("score") >= MIN_SCORE) & (F.col("row") <= HEADER_ROWS))
+    good = r.filter(like & ~F.col("broken") & ~wider & (F.col("score") >= MIN_SCORE))
     if merged is not None:
         hits = good.join(merged.withColumnRenamed("first_col", "mf").withColumnRenamed("last_col", "ml"), ["sheet", "row"])
         over = hits.filter((F.col("ml") > F.col("mf")) & (F.col("ml") >= F.col("first")) & (F.col("mf") <= F.col("last")))

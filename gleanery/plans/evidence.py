@@ -103,7 +103,7 @@ select item_id as phrase_id, doc_id as text_id from c join b on contains(body, c
 def claim_excerpt_join(t):
     phrases = t.benchmark.select(F.col("item_id").alias("phrase_id"), tx.claim_normal(F.col("text")).alias("phrase"))
     texts = t.documents.select(F.col("doc_id").alias("text_id"), tx.claim_normal(F.col("text")).alias("body"))
-    return rt.containment(texts, phrases).select("phrase_id", "text_id")
+    return rt.containment(texts, phrases, anchors=(*rt.ANCHORS, 1)).select("phrase_id", "text_id")
 
 
 @query("conversation_claims", "with " + CLAIMS_SQL.replace("{{", "{").replace("}}", "}") + " select conv_id, turn, count(*) as claims from claims group by all")
@@ -215,7 +215,7 @@ WEB_HITS = """select page_id, url, '' as domain, regexp_extract(html, '<title>([
 
 
 @query("web_evidence", f"""with h as ({WEB_HITS.replace("'[^a-zA-Z ]', ''", "'[^a-zA-Z ]', '', 'g'")}), s as (select *, trim(content) as whole from h where trim(content) <> '')
-select substr(sha256('{{"content_hash": "' || sha256(whole) || '", "source_type": "WEB", "url": "' || url || '"}}'), 1, 24) as evidence_id, 'WEB' as source_type, url, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) as domain, nullif(trim(title), '') as title, substr(whole, 1, 500) as content,
-  length(whole) > 500 as content_truncated, publisher, nullif(trim(published_at), '') as published_at, retrieved_at, case when page_id % 3 = 0 then 'official' else 'unknown' end as authority, case when page_id % 3 = 0 then 'published_at_available' else 'retrieval_time_only' end as freshness, 'untrusted_web_data' as trust_level from s""")
+select substr(sha256('{{"content_hash": "' || sha256(whole) || '", "source_type": "WEB", "url": "' || url || '"}}'), 1, 24) as evidence_id, 'WEB' as source_type, url, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) as domain, nullif(trim(title), '') as title, whole as content,
+  false as content_truncated, publisher, nullif(trim(published_at), '') as published_at, retrieved_at, case when page_id % 3 = 0 then 'official' else 'unknown' end as authority, case when page_id % 3 = 0 then 'published_at_available' else 'retrieval_time_only' end as freshness, 'untrusted_web_data' as trust_level from s""")
 def web_evidence(t):
-    return ev.web_evidence(t.sql(WEB_HITS), "WEB", 500)
+    return ev.web_evidence(t.sql(WEB_HITS), "WEB")

@@ -54,10 +54,10 @@ def threshold_approval(t):
 
 @query("need_decompose", f"""with r as ({REQUESTS}), m as (select request_id, regexp_replace(message, '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g') as m from r), s as (select *, {_count(nd.COMPLEX_SIGNALS)} as signals, regexp_split_to_array(m, '{nd.CLAUSE_MARK}') as raw from m),
 c as (select *, list_filter(list_transform(raw, lambda x: regexp_replace(x, '^[ ，。]+|[ ，。]+$', '', 'g')), lambda x: x <> '') as cs, len(list_filter(raw, lambda x: trim(x) <> '')) as spoken from s where signals >= 1),
-d as (select *, case when len(cs) = 1 then [m] else cs end[1:6] as parts, nullif(regexp_extract(m, '(?:^|[^0-9])(20[0-9]{{2}})', 1), '') as year from c where spoken >= 2 or signals >= 2),
+d as (select *, case when len(cs) = 1 then [m] else cs end as parts, nullif(regexp_extract(m, '(?:^|[^0-9])(20[0-9]{{2}})', 1), '') as year from c where spoken >= 2 or signals >= 2),
 e as (select request_id, year, unnest(range(1, len(parts) + 1)) as need_no, unnest(parts) as clause from d)
 select request_id, need_no, 'need-' || substr(sha256('general:' || need_no || ':' || clause || ':{{"file_id":null,"file_ids":null,"file_type":null,"page":null,"slide":null,"year":' || coalesce(year, 'null') || ',"student_id":null,"document_metadata":null}}'), 1, 12) as need_id,
-  case when regexp_matches(clause, '规则|办法|资格|条件|审批') then 'rule' when regexp_matches(clause, '比较|对比|差异') then 'comparison' else 'general_fact' end as need_type, substr(clause, 1, 128) as name, clause as query, year::int as year from e""")
+  case when regexp_matches(clause, '规则|办法|资格|条件|审批') then 'rule' when regexp_matches(clause, '比较|对比|差异') then 'comparison' else 'general_fact' end as need_type, clause as name, clause as query, year::int as year from e""")
 def need_decompose(t):
     return nd.need_decompose(t.sql(REQUESTS)).withColumn("need_no", F.col("need_no").cast("bigint"))
 
@@ -66,7 +66,7 @@ SUFF = """select l_orderkey as need_id, concat('e', cast(l_partkey % 50 as strin
   case when l_suppkey % 4 = 0 then null else 0.5 + l_discount * 5 end as confidence, l_suppkey % 29 = 0 as review_required, l_partkey % 41 = 0 as conflict from {lineitem}"""
 
 
-@query("need_sufficiency", f"""with e as (select * from ({SUFF}) x qualify row_number() over (partition by need_id, evidence_id order by position) = 1), l as (select *, review_required or coalesce(confidence < 0.7, false) as low from e),
+@query("need_sufficiency", f"""with e as (select * from ({SUFF}) x qualify row_number() over (partition by need_id, evidence_id order by position, text, confidence nulls first, review_required nulls first, conflict nulls first) = 1), l as (select *, review_required or coalesce(confidence < 0.7, false) as low from e),
 n as (select o_orderkey as need_id, case when o_orderkey % 3 = 0 then [] else ['term1', 'term' || (1 + o_orderkey % 7)] end as terms, 1 + o_orderkey % 3 as minimum_evidence from {{orders}}),
 g as (select need_id, count(*) as n, bool_or(conflict) as conflict, count(case when not low then 1 end) as safe, bool_or(low) as any_low from l group by 1),
 sn as (select need_id, list(distinct split_part(text, ' ', 1)) as s from l where not low group by 1), k as (select n.need_id, list_filter(list_distinct(terms), lambda x: not list_contains(coalesce(s, []), x)) as lacking from n left join sn using (need_id)),
@@ -82,7 +82,7 @@ def need_sufficiency(t):
 @query("query_rewrite", f"""with r as ({REQUESTS}), b as (select request_id, message, substr(message, 1, 20) as name, case when request_id % 2 = 0 then 'alpha beta' else '' end as extra from r),
 c as (select *, trim(regexp_replace(message || ' 补充证据 ' || case when extra <> '' then extra else name end, '[\\s\\pZ]+', ' ', 'g')) as q2, trim(regexp_replace(message || ' 交叉核验 ' || message, '[\\s\\pZ]+', ' ', 'g')) as q3,
   regexp_replace(replace(replace(replace(replace(message, '评审办法', ''), '相关规定', ''), '实施办法', ''), '管理办法', ''), '^[ ，。；;：:]+|[ ，。；;：:]+$', '', 'g') as plain from b)
-select request_id, substr(q2, 1, 500) as round_2, substr(q3, 1, 500) as round_3, null as round_4, case when plain <> '' and plain <> message then plain else '' end as retry from c""")
+select request_id, q2 as round_2, q3 as round_3, null as round_4, case when plain <> '' and plain <> message then plain else '' end as retry from c""")
 def query_rewrite(t):
     extra = F.when(F.col("request_id") % 2 == 0, F.array(F.lit("alpha"), F.lit("beta"))).otherwise(F.array().cast("array<string>"))
     m = F.col("message")

@@ -378,7 +378,7 @@ v as (select *, case when offline then 'LOCAL' when len(urls) > 0 then 'DIRECT_U
 
 
 @query("source_route", f"""with {ROUTE_SQL} select request_id, strategy, reason_code,
-  case when strategy = 'DIRECT_URL' then array_to_string(urls[1:5], ' ') else '' end as urls from v""")
+  case when strategy = 'DIRECT_URL' then array_to_string(urls, ' ') else '' end as urls from v""")
 def source_route(t):
     return t.sql(REQUESTS).select("request_id", routes.source_route(F.col("message")).alias("r")).select(
         "request_id", "r.strategy", "r.reason_code", F.array_join("r.urls", " ").alias("urls"))

@@ -191,19 +191,19 @@ def agg_status(t):
 @query("agg_lineage", """
 with c as (
   select s_nationkey, s_suppkey + 2 as rn, 's_nationkey' as field, 'C' as letter,
-         cast(s_nationkey as varchar) as v, cast(s_nationkey as varchar) as j from {supplier} where s_suppkey <= 10000000
+         cast(s_nationkey as varchar) as v, cast(s_nationkey as varchar) as j from {supplier} where s_suppkey > 0
   union all
-  select s_nationkey, s_suppkey + 2, 's_name', 'B', s_name, '"' || s_name || '"' from {supplier} where s_suppkey <= 10000000
+  select s_nationkey, s_suppkey + 2, 's_name', 'B', s_name, '"' || s_name || '"' from {supplier} where s_suppkey > 0
   union all
   select s_nationkey, s_suppkey + 2, 's_suppkey', 'A', cast(s_suppkey as varchar), cast(s_suppkey as varchar)
-  from {supplier} where s_suppkey <= 10000000)
+  from {supplier} where s_suppkey > 0)
 select cast(s_nationkey as varchar) as group_s_nationkey, rn as row_number, field, letter || rn as cell, v as value_summary,
        substr(sha256('{"cell": "' || letter || rn || '", "field": "' || field || '", "file_id": "f-supplier", "row": ' || rn
               || ', "sheet": "supplier", "table": "supplier", "value": ' || j || '}'), 1, 24) as evidence_id
 from c""")
 def agg_lineage(t):
     df = t.supplier.withColumn("row_number", F.col("s_suppkey") + 2)
-    ask = Aggregate("count", "s_name", ["s_nationkey"], [Filter("s_suppkey", "<=", 10000000)])
+    ask = Aggregate("count", "s_name", ["s_nationkey"], [Filter("s_suppkey", ">", 0)])
     return aggregate_lineage(df, ask, "f-supplier", "supplier", t.supplier.columns)
 
 

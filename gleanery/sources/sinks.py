@@ -70,10 +70,10 @@ def swap_in(df: DataFrame, name: str) -> str:
     return path
 
 
-def trace_rows(traces: DataFrame, limit: int = 1000) -> DataFrame:
-    """Trace rows with redacted, length-bounded JSON columns and their date."""
+def trace_rows(traces: DataFrame) -> DataFrame:
+    """Trace rows with redacted JSON columns, whole so that they parse, and their date."""
     return traces.withColumns({
-        c: F.substring(redact_text(F.col(c)), 1, limit) for c in ("arguments_json", "metrics_json") if c in traces.columns
+        c: redact_text(F.col(c)) for c in ("arguments_json", "metrics_json") if c in traces.columns
     }).withColumn("trace_date", F.date_format("created_at", "yyyy-MM-dd"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -14,20 +15,32 @@ from gleanery.functions.values import typed_cell
 DELIMITERS = (",", "\t", ";", "|")
 
 
-def read_delimited(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
+def found_delimiter(spark: SparkSession, path: str) -> str:
+    """The delimiter that parts the first line into the most cells; a comma where none does."""
+    first = spark.read.text(path).filter("trim(value) <> ''").first()
+    line = re.sub(r'"[^"]*"', "", first["value"] if first else "")
+    return max(DELIMITERS, key=lambda d: (line.count(d), -DELIMITERS.index(d)))
+
+
+def read_delimited(spark: SparkSession, path: str, delimiter: str | None = ",", line_breaks: bool = True) -> DataFrame:
     """All columns as text; the header must be non-blank and unique.
 
-    Short rows are padded with null and long rows cut to the header by the reader;
-    rows without any text are dropped.
+    Without ``delimiter`` it is found from the first line. Short rows are padded with null
+    and long rows cut to the header by the reader; rows without any text are dropped.
+    Quoted cells may hold line breaks, for which a file is read by one task; very large
+    files without any are split where ``line_breaks`` is off.
     """
+    delimiter = delimiter or found_delimiter(spark, path)
     if delimiter not in DELIMITERS:
         raise ValueError(f"delimiter must be one of {DELIMITERS}")
-    df = spark.read.csv(path, header=True, inferSchema=False, sep=delimiter, enforceSchema=True,
-                        multiLine=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    names = [c.strip() for c in df.columns]
-    if any(not n or n.startswith("_c") for n in names) or len(set(names)) != len(names):
+    options = {"inferSchema": False, "sep": delimiter, "enforceSchema": True, "multiLine": line_breaks, "escape": '"',
+               "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
+    # Read as a row, since the reader renames repeated and blank names of a header.
+    header = spark.read.csv(path, header=False, **options).first()
+    names = [(c or "").strip() for c in header or ()]
+    if not names or not all(names) or len(set(names)) != len(names):
         raise ValueError("header must be non-blank and unique")
-    return drop_blank_rows(df.toDF(*names), names)
+    return drop_blank_rows(spark.read.csv(path, header=True, **options).toDF(*names), names)
 
 
 def drop_blank_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -312,10 +312,90 @@ def test_stream_runs_on_after_a_restart(spark, tmp_path):
     assert {r[0] for r in spark.read.parquet(base + "/log").select("metrics_json").collect()} == {'{"p": "138****5678"}'}
 
 
-def test_large_drafts_use_the_lookup(spark, monkeypatch):
+def test_excerpts_in_drafts_of_any_size(spark):
     from gleanery.operators import evidence as ev
-    texts = spark.createDataFrame([("a", f"e{i}", f"line{i % 7}of{i}") for i in range(40)] + [("b", "e0", "xyz")], "draft_id string, text_id string, body string")
-    phrases = spark.createDataFrame([("a", i, f"line{i}of") for i in range(9)] + [("a", 90, "3"), ("b", 1, "y"), ("b", 2, "q")], "draft_id string, phrase_id int, phrase string")
-    direct = set(rows(ev._excerpt_hits(texts, phrases)))
-    monkeypatch.setattr(ev, "SMALL_DRAFT", 50)
-    assert set(rows(ev._excerpt_hits(texts, phrases))) == direct and ("a", 90, "e3") in direct and ("b", 1, "e0") in direct
+    texts = spark.createDataFrame([("a", f"e{i}", f"line{i % 7}of{i}") for i in range(400)] + [("b", "e0", "xyz")], "draft_id string, text_id string, body string")
+    phrases = spark.createDataFrame([("a", i, f"line{i}of") for i in range(30)] + [("a", 90, "3"), ("b", 1, "y"), ("b", 2, "q")], "draft_id string, phrase_id int, phrase string")
+    direct = texts.join(phrases, "draft_id").filter("contains(body, phrase)").select("draft_id", "phrase_id", "text_id")
+    found = set(rows(ev._excerpt_hits(texts, phrases)))
+    assert found == set(rows(direct)) and ("a", 90, "e3") in found and ("b", 1, "e0") in found
+
+
+def test_other_units_and_periods_are_no_conflict(spark):
+    from gleanery.operators import evidence as ev
+    data = [("d", "l1", "LOCAL", "mass", "5", "r", 2020, "Q1", "kg"), ("d", "w1", "WEB", "mass", "5000", "r", 2020, "Q1", "g"), ("d", "w2", "WEB", "mass", "6", "r", 2020, "Q2", "kg"),
+            ("d", "w3", "WEB", "mass", "7", "r", 2020, "Q1", "kg")]
+    e = spark.createDataFrame(data, "draft_id string, evidence_id string, source_type string, field string, value string, record_key string, year int, period string, unit string")
+    assert sorted(r[1] for r in rows(ev.value_conflicts(e))) == ["l1", "w3"]
+    assert ev.value_conflicts(e.drop("period", "unit")).count() == 4
+
+
+def test_whole_results_above_the_old_bounds(spark):
+    assert rt.candidate_limit(130) == 520
+    long_json = '{"a": "' + "x" * 3000 + '"}'
+    got = sinks.trace_rows(spark.createDataFrame([(long_json,)], "metrics_json string").withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))).first()
+    assert got["metrics_json"] == long_json
+    message = "；".join(f"比较第{i}项并判断" for i in range(9))
+    needs = nd.need_decompose(spark.createDataFrame([(1, message)], "request_id int, message string"))
+    assert needs.count() == 9
+    cells = [(1, r, c, f"name {c}" if r == 70 else str(r * c), r == 70) for r in (70, 71) for c in range(1, 301)]
+    from gleanery.operators.windows import header_rows
+    head = header_rows(spark.createDataFrame(cells, "sheet int, row int, col bigint, value string, is_text boolean")).first()
+    assert (head["header_row"], head["last_column"]) == (70, 300)
+    df = spark.range(5).withColumn("row_number", F.col("id"))
+    assert tb.query_table(df, tb.TableQuery(["id"], limit=5000)).count() == 5
+
+
+def test_one_region_per_chunk_and_total_orders(spark):
+    from gleanery.operators.regions import region_provenance
+    regions = spark.createDataFrame([("f", "r", 1, "b", 2), ("f", "r", 1, "c", 1)], "file_id string, region_id string, page_no int, bbox string, seq int")
+    chunks = spark.createDataFrame([("c1", "f", "r", 1, None), ("c2", "f", None, 1, "b")], "chunk_id string, file_id string, region_id string, page_no int, bbox string")
+    assert sorted(rows(region_provenance(chunks, regions))) == [("c1", "r"), ("c2", "r")]
+    data = [(1, 5, "b", None), (1, 5, "a", 2), (1, 5, "a", 1), (1, 6, "0", 0)]
+    for seed in range(4):
+        random.Random(seed).shuffle(data)
+        df = spark.createDataFrame(data, "k int, position int, t string, n int").repartition(3)
+        assert rows(rk.first_per_key(df, ["k"], F.col("position"))) == [(1, 5, "a", 1)]
+
+
+def test_large_integers_keep_their_order(spark):
+    data = [(1, 2**53 + 1, 1), (1, 2**53, 2), (1, 2**53 + 2, 3), (1, 5, 4)]
+    df = spark.createDataFrame(data, "g int, v bigint, t bigint")
+    assert {r["t"]: r["position"] for r in rk.position_in_group(df, ["g"], "v", "t").collect()} == {4: 1, 2: 2, 1: 3, 3: 4}
+    assert {r["t"]: r["position"] for r in rk.position_in_group(df, ["g"], "v", "t", descending=True).collect()} == {3: 1, 1: 2, 2: 3, 4: 4}
+
+
+def test_delimited_headers_and_quotes(spark, tmp_path):
+    def read(name, text, **options):
+        (tmp_path / name).write_text(text)
+        return tables.read_delimited(spark, str(tmp_path / name), **options)
+    with pytest.raises(ValueError):
+        read("a.csv", "id,id,name\n1,2,3\n")
+    with pytest.raises(ValueError):
+        read("b.csv", "id,,name\n1,2,3\n")
+    assert rows(read("c.csv", '_cost,note\n1,"two\nlines, ""quoted"""\n')) == [("1", 'two\nlines, "quoted"')]
+    assert read("d.csv", "a|b;c\n1|2;3\n4|5;6\n", delimiter=None).columns in (["a", "b;c"], ["a|b", "c"])
+    assert read("e.csv", "a\tb\tc,d\n1\t2\t3\n", delimiter=None).columns == ["a", "b", "c,d"]
+
+
+def test_broken_json_does_not_end_the_job(spark):
+    from gleanery.functions.redact import HIDDEN_KEYS, redact_by_key, strip_hidden_keys
+    df = spark.createDataFrame([('{"a": 1',), ('{"%s": 1, "b": 2}' % HIDDEN_KEYS[0],), (None,)], "j string")
+    assert [r[0] for r in df.select(strip_hidden_keys("j")).collect()] == [None, '{"b": 2}', None]
+    assert [r[0] for r in df.select(redact_by_key("j")).collect()][0] is None
+
+
+def test_decimal_literals_are_exact(spark):
+    df = spark.sql("select cast('12345678901234567.01' as decimal(20,2)) d union all select cast('12345678901234567.02' as decimal(20,2))")
+    assert tb.apply_filters(df, [tb.Filter("d", "=", "12345678901234567.01")]).count() == 1
+    with pytest.raises(tb.ArgumentError):
+        tb.apply_filters(df, [tb.Filter("d", "=", "x")])
+
+
+def test_pages_keep_their_first_values():
+    html = ("<title>A <b>b</b></title><title>c</title><meta name=Description content=' d '><meta property='og:description' content=e><meta name=description content=f>"
+            "<link rel='x Canonical' href='/p#q'><link rel=canonical href='/other'><script>no</script></script><p>one<style>no</style> two</p><svg><p>no</p></svg>three<template>x")
+    got = docs.read_page(html, "HTTP://h.example/a")
+    assert (got["title"], got["description"], got["content"], got["canonical_url"], got["domain"]) == ("A b c", "d", "one\ntwo\nthree", "http://h.example/p", "h.example")
+    assert docs.read_page("<link rel=canonical href='ftp://x/'>", "http://h.example/a")["canonical_url"] == "http://h.example/a"
+    assert docs.read_page("<link rel=canonical href='http://u:p@x/'>t", "http://h.example/a")["content"] == "t"
