@@ -18,6 +18,8 @@ from gleanery.llm.words import batches_by_size, grams, word_hashes
 from gleanery.operators.storage import settle
 
 SEED_WORDS = 4
+#: N-grams on either side that tell whether one is rare.
+NEIGHBOURS = 6
 #: Benchmark words handled in one pass over the corpus; larger benchmarks take more passes.
 VOLUME_WORDS = 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -106,8 +108,20 @@ def _count(volume: Volume):
     return run
 
 
+def rare_places(counts: np.ndarray) -> np.ndarray:
+    """Which n-grams of an item are seeds: those at most twice as common as the median of their neighbours, so that every
+    stretch of the item keeps seeds however common it is. N-grams that no document holds count as nothing."""
+    near = np.pad(counts.astype(float), NEIGHBOURS, constant_values=np.nan)
+    near[near == 0] = np.nan
+    around = np.lib.stride_tricks.sliding_window_view(near, 2 * NEIGHBOURS + 1)
+    held = counts > 0
+    out = np.zeros(len(counts), dtype=bool)
+    out[held] = counts[held] <= 2 * np.nanmedian(around[held], axis=1)
+    return out
+
+
 def _volumes(docs: DataFrame, benchmark: DataFrame):
-    """Volumes whose n-grams are the seeds: of each item the n-grams no more common than its median one."""
+    """Volumes whose n-grams are the seeds."""
     def words_of(batches):
         for batch in batches:
             found = [x.tobytes() for x in word_hashes(batch.column("text").to_pylist())]
@@ -129,14 +143,11 @@ def _volumes(docs: DataFrame, benchmark: DataFrame):
         counts = np.zeros(len(first), dtype=np.int64)
         for r in docs.select("text").mapInArrow(_count(every), "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
             counts[r["place"]] = r["n"]
-        common = counts[first] + np.bincount(first, minlength=len(first))[first]
+        common = counts[first]
         placed = np.empty(len(common), dtype=np.int64)
         placed[every.order] = common
-        sizes = np.array([len(w) - SEED_WORDS + 1 for _, w in every.items])
-        ends = np.cumsum(sizes)
-        rare = [ends[j] - sizes[j] + np.flatnonzero(part <= np.median(part))
-                for j, part in enumerate(np.split(placed, ends[:-1]))]
-        yield Volume(every.items, np.concatenate(rare))
+        ends = np.cumsum([len(w) - SEED_WORDS + 1 for _, w in every.items])
+        yield Volume(every.items, np.flatnonzero(np.concatenate([rare_places(part) for part in np.split(placed, ends[:-1])])))
 
 
 def _report(volume: Volume, least: float):
