@@ -184,7 +184,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
                                F.xxhash64(F.lit(seed), "doc_id", text).alias("hash")))
     targets = settle(source_targets(sized, weights, share, float(most)))
     blocks = F.least(F.col("source_size"), F.greatest(F.lit(least_blocks).cast("long"), F.ceil(F.col("source_size") / block_words)))
-    wanted = F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long")
+    wanted = F.round(F.try_divide(F.col("target") * F.col("blocks"), F.col("source_size"))).cast("long")
     quotas = (targets.withColumn("blocks", blocks)
               .withColumn("drawn", F.coalesce(F.least(most * F.col("blocks"), wanted), F.lit(0).cast("long"))))
     plan = settle(quotas.join(split_quotas(quotas.select("source_no", "drawn"), shards, seed), "source_no"))
