@@ -41,8 +41,11 @@ LOW_CONFIDENCE = 0.70
 
 
 def _labels(text: Column, patterns) -> Column:
-    return F.array_compact(F.array(*[
+    found = F.array_compact(F.array(*[
         F.when(text.rlike("(?i)" + pattern), F.lit(code)) for code, pattern in patterns]))
+    # most texts match nothing: one pass tells, before a pass per pattern
+    any_of_them = "(?i)" + "|".join(f"(?:{pattern})" for _, pattern in patterns)
+    return F.when(text.rlike(any_of_them), found).otherwise(F.array().cast("array<string>"))
 
 
 def injection_labels_web(text: Column) -> Column:

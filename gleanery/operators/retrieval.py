@@ -68,20 +68,21 @@ def containment(texts: DataFrame, phrases: DataFrame, on: tuple[str, ...] = (),
 
     Containment is no equi-join, so each phrase is first looked up by its opening
     characters, as many as one of the anchor lengths allows, among the overlapping
-    pieces of every text; only such candidates are compared in full. Phrases under
-    the shortest anchor have no hits.
+    pieces of every text; only such candidates are compared in full. Pieces are hashed
+    and repeated ones dropped inside the text's row, so what is shuffled is eight bytes
+    per distinct piece. Phrases under the shortest anchor have no hits.
     """
     length = None
     for n in anchors:
         test = F.length("phrase") >= n
         length = F.when(test, n) if length is None else length.when(test, n)
     asked = phrases.select(*on, "phrase_id", "phrase", length.alias("n")).filter("n is not null").withColumn(
-        "gram", F.expr("substring(phrase, 1, n)"))
+        "gram", F.expr("xxhash64(substring(phrase, 1, n))"))
     # at most as many values as there are anchor lengths
     lengths = sorted(r["n"] for r in asked.select("n").distinct().collect())
     pieces = [F.regexp_extract_all("body", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]
     grams = pieces[0] if len(pieces) == 1 else F.concat(*pieces) if pieces else F.array().cast("array<string>")
-    # repeated pieces of a text are dropped after the lookup, when few are left
+    grams = F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))
     spread = texts.select(*on, "text_id", "body").repartition(*on, "text_id")
     lookup = spread.select(*on, "text_id", F.explode(grams).alias("gram"))
     found = lookup.join(asked, [*on, "gram"]).select(*on, "phrase_id", "phrase", "text_id").distinct()
@@ -97,11 +98,23 @@ def phrase_hits(chunks: DataFrame, queries: DataFrame) -> DataFrame:
                         F.regexp_count("body", quoted).cast("bigint").alias("tf"))
 
 
+def in_scope(scored: DataFrame, chunks: DataFrame, scope: DataFrame) -> DataFrame:
+    """The rows that a scope allows, before any ranking.
+
+    A scope has query_id and any of file_id, page_no and chunk_id; ``chunks`` carries the
+    columns that the rows lack.
+    """
+    keys = [c for c in ("query_id", "file_id", "page_no", "chunk_id") if c in scope.columns]
+    lacking = [c for c in keys if c not in scored.columns]
+    rows = scored.join(chunks.select("chunk_id", *lacking), "chunk_id") if lacking else scored
+    return rows.join(scope.select(*keys), keys, "left_semi").select(*scored.columns)
+
+
 def keyword_retrieve(chunks: DataFrame, queries: DataFrame, limit: Column | int, scope: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, file_id, chunk_index, rank, keyword_position), best first.
 
-    BM25 over one phrase; document statistics come from all chunks, the scope
-    (query_id, file_id) only cuts the list. A lower rank is better.
+    BM25 over one phrase; document statistics come from all chunks, the scope (see
+    ``in_scope``) only cuts the list. A lower rank is better.
     """
     # few rows, read twice below; the pieces of all chunks are walked once
     hits = settle(phrase_hits(chunks, queries))
@@ -116,7 +129,7 @@ def keyword_retrieve(chunks: DataFrame, queries: DataFrame, limit: Column | int,
     rank = -idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("d") / F.col("s.mean")))
     scored = rows.select("query_id", "chunk_id", "file_id", "chunk_index", rank.alias("rank"))
     if scope is not None:
-        scored = scored.join(scope, ["query_id", "file_id"], "left_semi")
+        scored = in_scope(scored, chunks, scope)
     return top_n(scored, ["query_id"], [F.col("rank"), F.col("chunk_index"), F.col("file_id")], limit, "keyword_position")
 
 
@@ -142,7 +155,7 @@ def vector_retrieve(chunks: DataFrame, queries: DataFrame, limit: Column | int,
                     vectors: DataFrame | None = None) -> DataFrame:
     scored = vector_scores(chunks, queries, vectors).join(chunks.select("chunk_id", "file_id", "chunk_index"), "chunk_id")
     if scope is not None:
-        scored = scored.join(scope, ["query_id", "file_id"], "left_semi")
+        scored = in_scope(scored, chunks, scope)
     return top_n(scored, ["query_id"], [F.col("vector_score").desc(), F.col("file_id"), F.col("chunk_index")], limit, "vector_position")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,20 @@ def scoped_files(files: DataFrame, wanted: DataFrame | None = None, file_type: s
     return out if wanted is None else out.join(wanted.select("file_id"), "file_id", "left_semi")
 
 
+def search_scope(conditions: DataFrame, files: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(query_id, file_id): files whose metadata meets all conditions (query_id, key, value) of a query.
+
+    Files have file_id and metadata as JSON; ``keys`` are the metadata keys that conditions
+    name. Files and conditions meet by key and value, and the hits are counted.
+    """
+    stated = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), metadata_value(F.col("metadata"), k).alias("value")) for k in keys]))
+    facts = files.select("file_id", stated.alias("f")).select("file_id", "f.key", "f.value").filter("value is not null").distinct()
+    asked = conditions.select("query_id", "key", "value").distinct()
+    wanted = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"))
+    met = asked.join(facts, ["key", "value"]).groupBy("query_id", "file_id").agg(F.count(F.lit(1)).alias("met"))
+    return met.join(wanted, "query_id").filter("met = wanted").select("query_id", "file_id")
+
+
 def scope_violations(ids_asked: DataFrame, ids_allowed: DataFrame, keys_asked: DataFrame,
                      keys_allowed: DataFrame) -> DataFrame:
     """Rows where a need asks for more than its caller's scope.

@@ -120,6 +120,28 @@ def web_safety_summary(traces: DataFrame) -> DataFrame:
         F.count_if(F.col("error_code") == "TOOL_NOT_ALLOWED_FOR_SOURCE").alias("tool_boundary_blocks"))
 
 
+def metric_codes(traces: DataFrame) -> DataFrame:
+    """(session_id, kind, code, count): how often each status, transition, stop reason and source strategy stands in the metrics."""
+    rows = with_metrics(traces)
+    shown = {"classification_status": None, "kie_status": None, "sufficiency_transition": F.col("m.retrieval_round").isNotNull(),
+             "stop_reason": None, "source_strategy": None}
+    codes = F.array(*[F.struct(F.lit(k).alias("kind"), (F.col(f"m.{k}") if test is None else F.when(test, F.col(f"m.{k}"))).alias("code"))
+                      for k, test in shown.items()])
+    return (rows.select("session_id", F.explode(codes).alias("c")).filter("c.code <> ''")
+            .groupBy("session_id", "c.kind", "c.code").agg(F.count(F.lit(1)).alias("count")))
+
+
+def call_counts(traces: DataFrame) -> DataFrame:
+    """Calls by kind of each session: all tool calls, searches, web calls, recognitions and vision calls."""
+    rows = with_metrics(traces)
+    total = lambda c: F.sum(F.coalesce(F.col("m." + c), F.lit(0))).alias(c)
+    return rows.groupBy("session_id").agg(
+        F.count_if(F.col("event_type") == "tool_execution").alias("tool_calls"),
+        F.count_if(F.coalesce("m.retrieval_mode", F.lit("")) != "").alias("retrieval_calls"),
+        F.count_if(F.coalesce("m.untrusted_content", F.lit(False))).alias("untrusted_calls"),
+        total("ocr_call_count"), total("vision_call_count"))
+
+
 def pattern_frequency(traces: DataFrame) -> DataFrame:
     """(session_id, pattern, count) over untrusted content."""
     rows = with_metrics(traces).filter("m.untrusted_content")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import text as tx
 from gleanery.operators import retrieval as rt
+from gleanery.operators.scope import search_scope
 from gleanery.operators.storage import settle
 from gleanery.plans.documents import CHUNKS_SQL, doc_chunks
 from gleanery.plans.registry import Catalog
@@ -69,6 +70,35 @@ def vector_retrieve(t):
         "vector_position", F.col("vector_position").cast("bigint"))
 
 
+SCOPED = """ and d.lang = ['en', 'de', 'fr', 'es'][1 + r.query_id % 4] and 1 + r.chunk_index % 3 = 1 + r.query_id % 3"""
+
+
+def scope(t):
+    """Files of one language per query, by their metadata, and one page of them."""
+    files = t.documents.select(F.concat(F.lit("doc-"), "doc_id").alias("file_id"), F.to_json(F.struct("lang")).alias("metadata"))
+    langs = F.array(*map(F.lit, ("en", "de", "fr", "es")))
+    asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.lit("lang").alias("key"), F.get(langs, (F.col("item_id") % 4).cast("int")).alias("value"))
+    return search_scope(asked, files, ["lang"]).withColumn("page_no", 1 + F.col("query_id") % 3)
+
+
+@query("scoped_keyword_retrieve", WITH + f""", s as (select r.* from ranked r join documents d on r.file_id = 'doc-' || d.doc_id{SCOPED})
+select query_id, chunk_id, file_id, chunk_index, round(rank, 8) as rank, row_number() over (partition by query_id order by rank, chunk_index, file_id) as keyword_position from s qualify keyword_position <= 20""")
+def scoped_keyword_retrieve(t):
+    chunks, queries = inputs(t)
+    chunks = chunks.withColumn("page_no", 1 + F.col("chunk_index") % 3)
+    return rt.keyword_retrieve(chunks, queries, rt.candidate_limit(LIMIT), scope(t)).withColumn("rank", F.round("rank", 8)).withColumn(
+        "keyword_position", F.col("keyword_position").cast("bigint"))
+
+
+@query("scoped_vector_retrieve", WITH + f""", r as (select s.*, file_id, chunk_index from sims s join chunks using (chunk_id)), s as (select r.* from r join documents d on r.file_id = 'doc-' || d.doc_id{SCOPED})
+select query_id, chunk_id, file_id, chunk_index, round(vector_score, 6) as vector_score, row_number() over (partition by query_id order by vector_score desc, file_id, chunk_index) as vector_position from s qualify vector_position <= 20""")
+def scoped_vector_retrieve(t):
+    chunks, queries = inputs(t)
+    chunks = chunks.withColumn("page_no", 1 + F.col("chunk_index") % 3)
+    return rt.vector_retrieve(chunks, queries, rt.candidate_limit(LIMIT), scope(t)).withColumn("vector_score", F.round("vector_score", 6)).withColumn(
+        "vector_position", F.col("vector_position").cast("bigint"))
+
+
 @query("result_position", WITH + "select query_id, chunk_id, vector_position as position from vec where vector_position <= 10")
 def result_position(t):
     return rt.vector_retrieve(*inputs(t), 10).select("query_id", "chunk_id", F.col("vector_position").cast("bigint").alias("position"))

