@@ -63,26 +63,28 @@ def held_out(doc_id: str) -> Column:
 
 def _counts(batches):
     """Documents of each class per n-gram, summed inside a task."""
-    seen = np.zeros((2, 1 << BITS), dtype=np.int64)
+    seen = np.zeros((2, 1 << BITS), dtype=np.int32)
     for batch in batches:
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            seen[toxic][np.unique(char_grams(text))] += 1
+        for rows in batches_by_size(batch, "text"):
+            for text, toxic in zip(rows.column("text").to_pylist(), rows.column("toxic").to_pylist()):
+                seen[toxic][np.unique(char_grams(text))] += 1
     at = np.flatnonzero(seen.any(axis=0))
     for i in range(0, len(at), 50_000):
         part = at[i:i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(seen[0][part]), pa.array(seen[1][part])],
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(seen[0][part], pa.int64()), pa.array(seen[1][part], pa.int64())],
                                          names=["bucket", "clean", "toxic"])
 
 
 def _features(buckets: np.ndarray, ratios: np.ndarray):
     def run(batches):
-        place = np.full(1 << BITS, -1, dtype=np.int64)
+        place = np.full(1 << BITS, -1, dtype=np.int32)
         place[buckets] = np.arange(len(buckets))
         for batch in batches:
-            at = [np.unique(x[x >= 0]) for x in (place[char_grams(t)] for t in batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([float(x) for x in batch.column("toxic").to_pylist()]), pa.array([x.tolist() for x in at], pa.list_(pa.int64())),
-                 pa.array([ratios[x].tolist() for x in at], pa.list_(pa.float64()))], names=["label", "at", "value"])
+            for rows in batches_by_size(batch, "text"):
+                at = [np.unique(x[x >= 0]) for x in (place[char_grams(t)] for t in rows.column("text").to_pylist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([float(x) for x in rows.column("toxic").to_pylist()]), pa.array([x.tolist() for x in at], pa.list_(pa.int64())),
+                     pa.array([ratios[x].tolist() for x in at], pa.list_(pa.float64()))], names=["label", "at", "value"])
     return run
 
 
@@ -118,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS
     if not len(buckets):
         return Model(buckets, ratios, prior)
     vector = F.udf(lambda at, value: Vectors.sparse(len(ratios), at, value), VectorUDT())
-    rows = sample.mapInArrow(_features(buckets, ratios), "label double, at array<long>, value array<double>")
+    rows = settle(sample.mapInArrow(_features(buckets, ratios), "label double, at array<long>, value array<double>"))
     fitted = LogisticRegression(maxIter=40, regParam=regularisation, standardization=False).fit(
         rows.select("label", vector("at", "value").alias("features")))
     return Model(buckets, fitted.coefficients.toArray() * ratios, float(fitted.intercept))

@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
@@ -118,3 +118,11 @@ def batches_by_size(table, column: str, limit: int = 8 << 20) -> Iterator:
         end = max(at + 1, int(np.searchsorted(sizes, base + limit, side="right")))
         yield table.slice(at, end - at)
         at = end
+
+
+def small_batches(spark, rows: int = 1000) -> None:
+    """Hand texts to Python in batches of at most ``rows``, so that the copies on both sides stay small.
+
+    A setting of the session, for programs that run these operators over long texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, str(min(rows, int(spark.conf.get(name)))))
