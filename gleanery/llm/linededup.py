@@ -19,7 +19,7 @@ from gleanery.llm.words import batches_by_size, mix
 from gleanery.operators.storage import settle
 
 SPACE = b" \t\n\x0b\x0c\r"
-SHARD_PROBES = 50_000
+SHARD_PROBES = 5_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
 
