@@ -19,12 +19,13 @@ from gleanery.operators.storage import settle
 
 WORDS = 5
 SIMILARITY = 0.8
+#: Sketches of a text, and shingles in each.
 SKETCHES, KEPT = 24, 3
-#: Sketches in which a pair must agree to be aligned, beyond the first round. Pairs of similarity 0.8
-#: share a sketch with probability 0.8**3, so fewer than three of 24 in one case of 90,000.
+#: Sketches in which a pair must agree to be aligned after the first round. Pairs of similarity 0.8 agree in one with
+#: probability 0.8**3, so in fewer than three of 24 in one case of 90,000.
 AGREED = 3
-#: Rows of a bucket that one task compares with one another.
-BLOCK = 500
+#: Rows of a bucket, and bytes of their shingles, that one task compares with one another.
+BLOCK, BLOCK_BYTES = 500, 8 << 20
 _rng = np.random.default_rng(11)
 _FLIP = _rng.integers(1, 1 << 63, SKETCHES, dtype=np.uint64)
 _TIMES = _rng.integers(1, 1 << 62, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -116,21 +117,22 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
 def _sketch(batches):
     for batch in batches:
         for rows in batches_by_size(batch, "text", 4 << 20):
-            texts, keep, out = rows.column("text").to_pylist(), [], []
+            texts, keep, sizes, out = rows.column("text").to_pylist(), [], [], []
             for i, words in enumerate(word_hashes(texts)):
                 if len(words):
                     keep.append(i)
+                    sizes.append(max(1, len(words) - WORDS + 1))
                     out.append(order_sketches(grams(words, WORDS)).view(np.int64))
             flat = pa.array(np.concatenate(out) if out else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [rows.column("class").take(pa.array(keep, pa.int64())), pa.ListArray.from_arrays(
-                    pa.array(np.arange(len(keep) + 1) * SKETCHES, pa.int32()), flat)], names=["class", "sketches"])
+                [rows.column("class").take(pa.array(keep, pa.int64())), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(
+                    pa.array(np.arange(len(keep) + 1) * SKETCHES, pa.int32()), flat)], names=["class", "size", "sketches"])
 
 
 def _sequences(batches):
     for batch in batches:
         for rows in batches_by_size(batch, "text", 4 << 20):
-            found = [grams(w, WORDS).tobytes() for w in word_hashes(rows.column("text").to_pylist())]
+            found = [(grams(w, WORDS) >> np.uint64(32)).astype(np.uint32).tobytes() for w in word_hashes(rows.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([rows.column("class"), pa.array(found, pa.binary())], names=["class", "shingles"])
 
 
@@ -138,7 +140,7 @@ def _aligned(least: float):
     def run(batches):
         for batch in batches:
             for rows in batches_by_size(batch, "left", 16 << 20):
-                found = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least)
+                found = [similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), least)
                          for x, y in zip(rows.column("left").to_pylist(), rows.column("right").to_pylist())]
                 out = pa.RecordBatch.from_arrays([rows.column("a"), rows.column("b"), pa.array(found, pa.float64())],
                                                  names=["a", "b", "similarity"])
@@ -154,66 +156,96 @@ def _align(pairs: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
                   .mapInArrow(_aligned(least), "a binary, b binary, similarity double"))
 
 
-def _cell_pairs(table: pa.Table) -> pa.Table:
-    """Pairs of one cell of a bucket that agree in enough sketches and lie in different components.
+def _cell_links(least: float):
+    """Links (a, b) inside one cell of a bucket, between the components of near texts.
+
+    A pair is looked at in the first bucket that both share only, in one cell only, and only until
+    their components hang together. The shingles that both hold, in any order, bound what they
+    share in order, so few pairs are aligned."""
+    def run(table: pa.Table) -> pa.Table:
+        place, one, two = (table.column(c)[0].as_py() for c in ("place", "one", "two"))
+        sketches = pc.list_flatten(table.column("sketches").combine_chunks()).to_numpy().reshape(-1, SKETCHES)
+        block, roots = table.column("block").to_numpy(), {}
+        root = np.array([roots.setdefault(x, len(roots)) for x in table.column("root").to_pylist()])
+        names = list(roots)
+        joined = list(range(len(names)))
+        sequences = [np.frombuffer(x, np.uint32) for x in table.column("shingles").to_pylist()]
+
+        def top(i: int) -> int:
+            while joined[i] != i:
+                joined[i] = joined[joined[i]]
+                i = joined[i]
+            return i
+
+        left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
+        agreed = np.zeros((len(left), len(right)), dtype=np.int8)
+        earlier = np.zeros((len(left), len(right)), dtype=bool)
+        for i in range(SKETCHES):
+            equal = sketches[left, i][:, None] == sketches[right, i][None, :]
+            agreed += equal
+            if i < place:
+                earlier |= equal
+        wanted = (agreed >= AGREED) & ~earlier & (root[left][:, None] != root[right][None, :])
+        if one == two:
+            wanted &= left[:, None] < right[None, :]
+        sizes = np.array([len(x) for x in sequences])
+        marked = [labelled(x.astype(np.uint64)) for x in sequences]
+        pool = np.concatenate([marked[j] for j in right]) if len(right) else np.empty(0, np.uint64)
+        values, place_of = np.unique(pool, return_inverse=True)
+        owner = np.repeat(np.arange(len(right)), sizes[right])
+        found: list[tuple[bytes, bytes]] = []
+        for x in np.flatnonzero(wanted.any(axis=1)):
+            held = np.zeros(len(values) + 1, dtype=bool)
+            at = np.searchsorted(values, marked[left[x]])
+            held[at[values[np.minimum(at, len(values) - 1)] == marked[left[x]]]] = True
+            common = np.bincount(owner[held[place_of]], minlength=len(right))
+            may = wanted[x] & (common >= least * (sizes[left[x]] + sizes[right] - common) - 1e-9)
+            for y in np.flatnonzero(may):
+                one_top, two_top = top(root[left[x]]), top(root[right[y]])
+                if one_top != two_top and similarity(sequences[left[x]], sequences[right[y]], least):
+                    joined[two_top] = one_top
+                    found.append((names[root[left[x]]], names[root[right[y]]]))
+        columns = list(zip(*found)) if found else [[]] * 2
+        return pa.table({"a": pa.array(columns[0], pa.binary()), "b": pa.array(columns[1], pa.binary())})
+    return run
 
-    A pair is given by the first sketch in which it agrees only, and by one cell only."""
-    place = table.column("place")[0].as_py()
-    one, two = table.column("one")[0].as_py(), table.column("two")[0].as_py()
-    sketches = pc.list_flatten(table.column("sketches").combine_chunks()).to_numpy().reshape(-1, SKETCHES)
-    block = table.column("block").to_numpy()
-    roots = {x: i for i, x in enumerate(dict.fromkeys(table.column("root").to_pylist()))}
-    root = np.array([roots[x] for x in table.column("root").to_pylist()])
-    left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
-    agreed = np.zeros((len(left), len(right)), dtype=np.int8)
-    earlier = np.zeros((len(left), len(right)), dtype=bool)
-    for i in range(SKETCHES):
-        equal = sketches[left, i][:, None] == sketches[right, i][None, :]
-        agreed += equal
-        if i < place:
-            earlier |= equal
-    wanted = (agreed >= AGREED) & ~earlier & (root[left][:, None] != root[right][None, :])
-    if one == two:
-        wanted &= left[:, None] < right[None, :]
-    x, y = np.nonzero(wanted)
-    names = table.column("class")
-    return pa.table({"a": names.take(pa.array(left[x])), "b": names.take(pa.array(right[y]))})
-
-
-def near_links(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Links (a, b, similarity) between different texts, enough to hang all near duplicates together.
-
-    In a first round each text is aligned with one leader of each of its buckets, another one
-    in each, so that large groups of copies join with work in proportion to their size. Then
-    texts of one bucket that are still in different components are compared in cells of bounded
-    size: pairs that agree in enough sketches are aligned.
+
+def near_roots(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Two tables (node, root) that lead from a text to its group: first by its name, then by the root found.
+
+    First each text is aligned with one leader of each of its buckets, another one in each, so that
+    large groups of copies join with work in proportion to their size. Then the buckets whose texts
+    are still in different components are cut into cells of bounded size. A cell looks at its pairs of
+    different components that agree in enough sketches, and links components with near texts.
     """
     texts = docs.select(text_class().alias("class"), "text")
-    sketched = settle(texts.mapInArrow(_sketch, "class binary, sketches array<long>")
-                      .groupBy("class").agg(F.first("sketches").alias("sketches")))
-    rows = sketched.select("class", F.posexplode("sketches").alias("place", "value"))
+    sketched = settle(texts.mapInArrow(_sketch, "class binary, size long, sketches array<long>")
+                      .groupBy("class").agg(F.first("size").alias("size"), F.first("sketches").alias("sketches")))
+    rows = (sketched.select("class", "size", F.posexplode("sketches").alias("place", "value"))
+            .select(F.xxhash64("place", "value").alias("key"), "place", "class", "size"))
     # A leader is the member of least hash, and the hash depends on the bucket.
-    leader = F.min(F.struct(F.xxhash64("class", "place").alias("hash"), F.col("class").alias("b")))
-    buckets = settle(rows.groupBy("place", "value").agg(leader.alias("lead"), F.count("*").alias("n")).filter("n > 1")
-                     .select("place", "value", "n", "lead.b"))
-    met = settle(rows.join(buckets, ["place", "value"]).select("place", "value", "n", F.col("class").alias("a"), "b"))
-    shingles = settle(texts.join(settle(met.select(F.col("a").alias("class")).distinct()), "class", "left_semi")
-                      .mapInArrow(_sequences, "class binary, shingles binary")
+    leader = F.min(F.struct(F.xxhash64("class", "key").alias("hash"), F.col("class").alias("lead")))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, 4 * F.sum("size") / BLOCK_BYTES)).cast("int")
+    shared = settle(rows.groupBy("key").agg(F.count("*").alias("n"), blocks.alias("blocks"), leader.alias("least")).filter("n > 1")
+                    .select("key", "blocks", "least.lead"))
+    met = settle(rows.join(shared, "key").select("key", "place", "blocks", "class", "lead"))
+    wanted = settle(met.select("class").distinct())
+    # Merged by sort at every size, since the texts have to meet their names somewhere.
+    shingles = settle(texts.join(wanted.hint("merge"), "class", "left_semi").mapInArrow(_sequences, "class binary, shingles binary")
                       .groupBy("class").agg(F.first("shingles").alias("shingles")))
-    first = _align(met.filter("a <> b").select("a", "b").distinct(), shingles, least)
+    pairs = met.filter("class <> lead").select(F.least("class", "lead").alias("a"), F.greatest("class", "lead").alias("b")).distinct()
+    first = _align(pairs, shingles, least)
     roots = components(first)
-    members = settle(met.join(roots, F.col("a") == F.col("node"), "left")
-                     .select("place", "value", "n", F.col("a").alias("class"), F.coalesce("root", "a").alias("root")))
-    mixed = settle(members.groupBy("place", "value").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-                   .filter("low <> high").select("place", "value"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    open_ = (members.join(mixed, ["place", "value"]).join(sketched, "class")
-             .withColumn("block", F.pmod(F.xxhash64("class"), blocks).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-             .withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other")))
-    pairs = (open_.groupBy("place", "value", "one", "two").applyInArrow(_cell_pairs, "a binary, b binary")
-             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return first.union(_align(pairs, shingles, least))
+    members = settle(met.join(roots, F.col("class") == F.col("node"), "left")
+                     .select("key", "place", "blocks", "class", F.coalesce("root", "class").alias("root")))
+    mixed = settle(members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key"))
+    cells = (members.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+             .join(sketched.select("class", "sketches"), "class").join(shingles, "class")
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
+             .select("key", "place", "one", "two", "block", "class", "root", "sketches", "shingles"))
+    rest = cells.groupBy("key", "place", "one", "two").applyInArrow(_cell_links(least), "a binary, b binary")
+    return roots, components(rest)
 
 
 def near_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -224,12 +256,14 @@ def near_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     Texts without words are near only their exact copies. Null texts count as empty. Rows
     without doc_id belong to classes and groups, whose ids are null only where no row has one.
     """
-    links = near_links(docs, least)
-    roots = components(links)
+    first, second = near_roots(docs, least)
     named = docs.select("doc_id", text_class().alias("class"))
     classes = named.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    rooted = settle(classes.join(roots, F.col("class") == F.col("node"), "left")
+    rooted = settle(classes.join(first, F.col("class") == F.col("node"), "left")
                     .select("class", "class_id", "class_size", F.coalesce("root", "class").alias("root")))
+    later = second.withColumnsRenamed({"node": "later_node", "root": "later_root"})
+    rooted = settle(rooted.join(later, F.col("root") == F.col("later_node"), "left")
+                    .select("class", "class_id", "class_size", F.coalesce("later_root", "root").alias("root")))
     groups = settle(rooted.groupBy("root").agg(F.min("class_id").alias("group_id"), F.sum("class_size").alias("group_size")))
     known = settle(rooted.join(groups, "root").select("class", "class_id", "root", "group_id", "group_size"))
     return named.join(known, "class")
