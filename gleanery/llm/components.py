@@ -10,6 +10,7 @@ from gleanery.operators.storage import settle
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (a, b); root is the least node that it hangs together with.
 
+    ``links`` is read in both directions, so it has to give the same rows each time: a written table.
     Each round takes the least root among a node and its neighbours, then the root of that
     root, so long chains halve. Rounds are written tables; only a count reaches the driver.
     """

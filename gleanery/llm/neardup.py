@@ -245,7 +245,8 @@ def near_roots(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, D
              .withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
              .select("key", "place", "one", "two", "block", "class", "root", "sketches", "shingles"))
     rest = cells.groupBy("key", "place", "one", "two").applyInArrow(_cell_links(least), "a binary, b binary")
-    return roots, components(rest)
+    # Written once: a cell may link its components in another order when it runs again.
+    return roots, components(settle(rest))
 
 
 def near_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
