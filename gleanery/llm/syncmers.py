@@ -83,6 +83,27 @@ def with_likeness(df: DataFrame, one: str, other: str, name: str, drift: int = D
     return step.withColumn(name, F.when(F.size(kept) == 0, F.lit(1.0)).otherwise(shared)).drop(merged, kept)
 
 
+def with_moved_likeness(df: DataFrame, one: str, other: str, name: str, spread: int = DRIFT) -> DataFrame:
+    """As ``with_likeness``, with anchors that have moved any way together: of the shared anchors those of the best run
+    of shifts count, a run being the shifts at most ``spread`` units above one of them."""
+    merged, kept, shifts = f"{name}_merged", f"{name}_kept", f"{name}_shifts"
+    place = lambda x: x.bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+    sided = lambda side, number: F.transform(side, lambda x: F.struct(x.alias("x"), F.lit(number).alias("side")))
+    step = df.withColumn(merged, F.sort_array(F.concat(sided(one, 0), sided(other, 1))))
+    step = step.withColumn(kept, F.slice(_firsts(F.col(f"{merged}.x")), 1, ANCHORS))
+    limit = _hash_of(F.element_at(kept, -1))
+
+    def shift(e: Column, i: Column) -> Column:
+        after = F.get(merged, i + 1)
+        both = (_hash_of(e["x"]) == _hash_of(after["x"])) & (_hash_of(e["x"]) <= limit)
+        return F.when(both, (place(after["x"]) - place(e["x"])) * F.when(e["side"] == 0, 1).otherwise(-1))
+
+    step = step.withColumn(shifts, F.array_compact(F.transform(merged, shift)))
+    runs = F.transform(shifts, lambda s: F.size(F.filter(shifts, lambda o: o.between(s, s + spread))))
+    shared = F.coalesce(F.array_max(runs), F.lit(0)) / F.size(kept)
+    return step.withColumn(name, F.when(F.size(kept) == 0, F.lit(1.0)).otherwise(shared)).drop(merged, kept, shifts)
+
+
 def _bucketed(docs: DataFrame, parts: int) -> DataFrame:
     """Rows with ``bucket``, a range in the order of (doc_id, hash of the text), and copies (``copy``) of each
     bucket's first rows at the end of the bucket before, the first bucket's in the last."""
@@ -123,6 +144,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     paired = (rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_entries", F.lead("entries").over(order))
               .filter(~F.col("copy")).select("doc_id", length.cast("long").alias("n_chars"), "entries", "next_entries", edited.alias("edited")))
     done = with_entries(paired, "edited", "edited_entries")
-    done = with_likeness(with_likeness(done, "entries", "edited_entries", "near_edited"), "entries", "next_entries", "near_next")
+    done = with_moved_likeness(with_moved_likeness(done, "entries", "edited_entries", "near_edited"), "entries", "next_entries", "near_next")
     return done.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint("entries").alias("fingerprint"),
                        fingerprint("edited_entries").alias("edited_fingerprint"), "near_edited", "near_next")

@@ -57,3 +57,10 @@ def test_single_and_no_document(spark):
     assert fingerprints(docs_frame(spark, [])).count() == 0
     same = fingerprints(docs_frame(spark, [(1, "abcdef")] * 3)).collect()
     assert len(same) == 3 and {r["edited_sha256"] for r in same} == {one["edited_sha256"]}
+
+
+def test_a_copy_behind_a_long_header(spark):
+    text = prose(1, 2000)
+    rows = [(1, text), (2, prose(5, 900) + " " + text), (3, text), (4, prose(2, 400))]
+    near = {r["doc_id"]: r["near_next"] for r in fingerprints(docs_frame(spark, rows)).collect()}
+    assert 0.4 < near[1] < 0.95 and 0.4 < near[2] < 0.95 and near[3] == 0
