@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleanery.llm import chat, decontaminate, linededup, mixing, neardup, privacy, revisits, syncmers, toxicity, urlfilter
+from gleanery.llm import (alignment, chat, decontaminate, linededup, mixing, neardup, packing, privacy, revisits, syncmers, toxicity,
+                          urlfilter, whitening)
 from gleanery.llm.words import small_batches
 
 
@@ -130,6 +131,20 @@ select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
 from marked group by doc_id
 """
 
+def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def aligned_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_private_spans": private_spans,
     "op2_near_duplicates": near_duplicates,
@@ -141,5 +156,8 @@ QUERIES = {
     "op8_repaired_chats": repaired_chats,
     "op9_repeated_lines": repeated_lines,
     "op10_anchor_fingerprints": anchor_fingerprints,
+    "op11_packed_documents": packed_documents,
+    "op12_aligned_tokenizers": aligned_tokenizers,
+    "op13_whitened_embeddings": whitened_embeddings,
 }
 SQL = {"op3_revisits_resolved": REVISITS_SQL, "op9_repeated_lines": REPEATED_LINES_SQL}

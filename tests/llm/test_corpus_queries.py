@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from comparing import compare, connect
 from helpers import words
+from test_packing import check as packed_rows
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -19,6 +20,9 @@ CONTRACT = {
     "op6_url_verdicts": ["page_id", "host", "path", "rule", "verdict"],
     "op9_repeated_lines": ["doc_id", "n_lines", "n_dropped", "kept_sha256"],
     "op10_anchor_fingerprints": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+    "op11_packed_documents": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+    "op12_aligned_tokenizers": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
+    "op13_whitened_embeddings": ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
 }
 
 
@@ -28,6 +32,9 @@ def test_query(spark, name):
     assert set(CONTRACT.get(name, [])) <= set(df.columns)
     if name in queries.SQL:
         assert compare(df, connect(SF_DIR), queries.SQL[name]) is None
+    elif name == "op11_packed_documents":
+        texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+        packed_rows(df.collect(), texts, 1024)
     elif "doc_id" in df.columns and name != "op7_benchmark_leaks":
         assert df.count() == spark.read.parquet(f"{SF_DIR}/documents.parquet").count()
     else:
