@@ -16,7 +16,7 @@ from gleanery.functions import ids
 from gleanery.functions import text as tx
 from gleanery.functions.urls import host
 from gleanery.operators.ranking import first_per_key, top_n
-from gleanery.operators.retrieval import ANCHORS, containment
+from gleanery.operators.containment import containment
 from gleanery.operators.storage import settle
 
 # Citation form, words of time-sensitive questions, and size notes.
@@ -120,8 +120,8 @@ def judge_evidence(e: DataFrame, drafts: DataFrame) -> DataFrame:
 
 
 def _excerpt_hits(texts: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Claims found in evidence of their own draft, looked up by their openings whatever the draft's size."""
-    return containment(texts, phrases, ("draft_id",), (*ANCHORS, 1)).select("draft_id", "phrase_id", "text_id")
+    """Claims found in evidence of their own draft, whatever its size."""
+    return containment(texts, phrases, ("draft_id",)).select("draft_id", "phrase_id", "text_id")
 
 
 def claim_links(claims: DataFrame, usable: DataFrame, claim_map: DataFrame) -> DataFrame:

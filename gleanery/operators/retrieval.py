@@ -6,39 +6,22 @@ query_id and query. Nothing here depends on the number of queries being small.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as tx
+from gleanery.operators.containment import containment
 from gleanery.operators.ranking import top_n
 from gleanery.operators.storage import settle
+from gleanery.operators.vectors import similar_vectors, text_vectors
 
-DIMENSIONS = 2048
 RRF_K = 60
 VECTOR_MIN_SCORE = 0.12
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
-# anchor lengths: the longest one that a query can fill is looked up exactly
-ANCHORS = (24, 12, 6, 3)
-
-
-def token_bucket(token: Column, dimensions: int = DIMENSIONS) -> Column:
-    return F.conv(F.substring(F.sha2(token, 256), 1, 8), 16, 10).cast("bigint") % dimensions
-
-
-def hash_vectors(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Sparse unit vectors (key, bucket, weight) of hashed token counts.
-
-    Texts are partitioned by ``key`` once, before they grow into tokens; no later step
-    shuffles again. Tokens are counted before they are hashed, so each distinct token
-    of a text costs one digest.
-    """
-    tokens = df.select(key, text).repartition(key).select(F.col(key), F.explode(tx.search_tokens(F.col(text))).alias("token"))
-    counts = tokens.groupBy(key, "token").agg(F.count(F.lit(1)).alias("c"))
-    counted = (counts.select(key, token_bucket(F.col("token")).alias("bucket"), "c")
-               .groupBy(key, "bucket").agg(F.sum("c").alias("n")))
-    norms = F.sqrt(F.sum(F.col("n") * F.col("n")).over(W.partitionBy(key)))
-    return counted.select(key, "bucket", (F.col("n") / norms).alias("weight"))
+LEAST_PHRASE = 3
 
 
 def cosine(left: Column, right: Column) -> Column:
@@ -62,40 +45,12 @@ def like_search(chunks: DataFrame, phrase: str) -> DataFrame:
     return chunks.filter(F.translate("chunk_text", ASCII_UPPER, ASCII_LOWER).contains(needle)).orderBy("chunk_index")
 
 
-def containment(texts: DataFrame, phrases: DataFrame, on: tuple[str, ...] = (),
-                anchors: tuple[int, ...] = ANCHORS) -> DataFrame:
-    """Pairs where a text holds a whole phrase: (on..., phrase_id, text_id, phrase, body).
-
-    Containment is no equi-join, so each phrase is first looked up by its opening
-    characters, as many as one of the anchor lengths allows, among the overlapping
-    pieces of every text; only such candidates are compared in full. Pieces are hashed
-    and repeated ones dropped inside the text's row, so what is shuffled is eight bytes
-    per distinct piece. Phrases under the shortest anchor have no hits.
-    """
-    length = None
-    for n in anchors:
-        test = F.length("phrase") >= n
-        length = F.when(test, n) if length is None else length.when(test, n)
-    asked = phrases.select(*on, "phrase_id", "phrase", length.alias("n")).filter("n is not null").withColumn(
-        "gram", F.expr("xxhash64(substring(phrase, 1, n))"))
-    # at most as many values as there are anchor lengths
-    lengths = sorted(r["n"] for r in asked.select("n").distinct().collect())
-    pieces = [F.regexp_extract_all("body", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]
-    grams = pieces[0] if len(pieces) == 1 else F.concat(*pieces) if pieces else F.array().cast("array<string>")
-    grams = F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))
-    spread = texts.select(*on, "text_id", "body").repartition(*on, "text_id")
-    lookup = spread.select(*on, "text_id", F.explode(grams).alias("gram"))
-    found = lookup.join(asked, [*on, "gram"]).select(*on, "phrase_id", "phrase", "text_id").distinct()
-    return found.join(spread, [*on, "text_id"]).filter(F.col("body").contains(F.col("phrase")))
-
-
-def phrase_hits(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, tf): chunks that hold the whole query text, ignoring case."""
-    pairs = containment(chunks.select(F.col("chunk_id").alias("text_id"), F.lower("chunk_text").alias("body")),
-                        queries.select(F.col("query_id").alias("phrase_id"), F.lower("query").alias("phrase")))
-    quoted = F.concat(F.lit("(?=\\Q"), F.replace("phrase", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
-    return pairs.select(F.col("phrase_id").alias("query_id"), F.col("text_id").alias("chunk_id"),
-                        F.regexp_count("body", quoted).cast("bigint").alias("tf"))
+def phrase_hits(chunks: DataFrame, queries: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """(query_id, chunk_id, carry..., tf): chunks that hold the whole query text, ignoring case; under three characters none."""
+    texts = chunks.select(F.col("chunk_id").alias("text_id"), F.lower("chunk_text").alias("body"), *carry)
+    phrases = queries.filter(F.length("query") >= LEAST_PHRASE).select(F.col("query_id").alias("phrase_id"), F.lower("query").alias("phrase"))
+    return containment(texts, phrases, carry=carry).select(
+        F.col("phrase_id").alias("query_id"), F.col("text_id").alias("chunk_id"), *carry, F.col("n").alias("tf"))
 
 
 def in_scope(scored: DataFrame, chunks: DataFrame, scope: DataFrame) -> DataFrame:
@@ -116,13 +71,12 @@ def keyword_retrieve(chunks: DataFrame, queries: DataFrame, limit: Column | int,
     BM25 over one phrase; document statistics come from all chunks, the scope (see
     ``in_scope``) only cuts the list. A lower rank is better.
     """
-    # few rows, read twice below; the pieces of all chunks are walked once
-    hits = settle(phrase_hits(chunks, queries))
     size = F.greatest(F.length("chunk_text") - 2, F.lit(0))
+    # few rows, read twice below
+    hits = settle(phrase_hits(chunks.withColumn("d", size), queries, ("file_id", "chunk_index", "d")))
     stats = chunks.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg(size).alias("mean")).alias("s")).scalar()
     df = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("df"))
-    rows = (hits.join(df, "query_id").join(chunks.select("chunk_id", "file_id", "chunk_index", size.alias("d")), "chunk_id")
-            .withColumn("s", stats))
+    rows = hits.join(df, "query_id").withColumn("s", stats)
     idf = F.log((F.col("s.n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, IDF_FLOOR).otherwise(idf)
     tf = F.col("tf")
@@ -135,28 +89,28 @@ def keyword_retrieve(chunks: DataFrame, queries: DataFrame, limit: Column | int,
 
 def chunk_vectors(chunks: DataFrame) -> DataFrame:
     """Sparse vectors of chunks, to be stored once and searched many times."""
-    return hash_vectors(chunks, "chunk_id", "chunk_text")
+    return text_vectors(chunks, "chunk_text", ("chunk_id", "file_id", "chunk_index"))
 
 
-def vector_scores(chunks: DataFrame, queries: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
-    """Cosine of hash vectors for chunk and query pairs at or above the least score.
+def _searched(chunks: DataFrame, queries: DataFrame, vectors: DataFrame | None, best: int | None) -> DataFrame:
+    asked = text_vectors(queries, "query", ("query_id",))
+    found = similar_vectors(chunk_vectors(chunks) if vectors is None else vectors, asked, "query_id", VECTOR_MIN_SCORE, best)
+    return found.withColumnRenamed("score", "vector_score")
 
-    Chunks are partitioned by their id once. Their vectors, the product with a small
-    query table and the sum per pair then need no further shuffle.
-    """
-    left = chunk_vectors(chunks) if vectors is None else vectors
-    right = hash_vectors(queries.select("query_id", "query"), "query_id", "query").withColumnRenamed("weight", "query_weight")
-    score = F.sum(F.col("weight") * F.col("query_weight"))
-    return (left.join(right, "bucket").groupBy("chunk_id", "query_id").agg(score.alias("score"))
-            .filter(F.col("score") >= VECTOR_MIN_SCORE).select("query_id", "chunk_id", F.round("score", 8).alias("vector_score")))
+
+def vector_scores(chunks: DataFrame, queries: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """Cosine of hash vectors for chunk and query pairs at or above the least score."""
+    return _searched(chunks, queries, vectors, None).select("query_id", "chunk_id", "vector_score")
 
 
-def vector_retrieve(chunks: DataFrame, queries: DataFrame, limit: Column | int, scope: DataFrame | None = None,
+def vector_retrieve(chunks: DataFrame, queries: DataFrame, limit: int, scope: DataFrame | None = None,
                     vectors: DataFrame | None = None) -> DataFrame:
-    scored = vector_scores(chunks, queries, vectors).join(chunks.select("chunk_id", "file_id", "chunk_index"), "chunk_id")
+    """The best chunks of each query; without a scope, only pairs that can still be among them are scored."""
+    scored = _searched(chunks, queries, vectors, limit if scope is None else None)
     if scope is not None:
         scored = in_scope(scored, chunks, scope)
-    return top_n(scored, ["query_id"], [F.col("vector_score").desc(), F.col("file_id"), F.col("chunk_index")], limit, "vector_position")
+    return top_n(scored, ["query_id"], [F.col("vector_score").desc(), F.col("file_id"), F.col("chunk_index")], limit, "vector_position").select(
+        "query_id", "chunk_id", "file_id", "chunk_index", "vector_score", "vector_position")
 
 
 def fuse(keyword: DataFrame, vector: DataFrame) -> DataFrame:

@@ -218,7 +218,7 @@ b as (select doc_id, ('0x' || substr(sha256(token), 1, 8))::bigint % 2048 as buc
       from (select doc_id, unnest(tokens) as token from tl) group by all)
 select doc_id, bucket, round(c / sqrt(sum(c * c) over (partition by doc_id)), 8) as weight from b""")
 def hash_embedding(t):
-    from gleanery.operators.retrieval import hash_vectors
+    from gleanery.operators.vectors import hash_vectors
     return hash_vectors(t.sql(NOTES), "doc_id", "text").select(
         "doc_id", "bucket", F.round("weight", 8).alias("weight"))
 
