@@ -1,95 +1,102 @@
 """Positions and neighbours inside groups of any size.
 
-A plain window puts a whole group in one task. These helpers cut every group
-into ordered slices first, so one group that holds much of the data still runs
-on many tasks; slice counts are summed and joined back as offsets.
+A plain window puts a whole group in one task. These helpers deal the rows out by
+ranges of group and order first, so one group that holds much of the data still runs on
+many tasks; what a slice adds is summed over slices and joined back.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SLICES = 256
+from gleanery.operators.storage import settle
 
 
-def _cuts(df: DataFrame, name: str, slices: int) -> Column:
-    """Approximate quantiles of one numeric column as a scalar subquery."""
-    points = [i / slices for i in range(1, slices)]
-    return df.select(F.percentile_approx(F.col(name), points, 10 * slices)).scalar()
+def sliced(df: DataFrame, groups: Sequence[str], order: Sequence[str], slices: int | None = None) -> DataFrame:
+    """The rows cut into ranges of (groups, order), with the number of the range as ``__s``; stored.
 
-
-def _slice_of(value: Column, cuts: Column) -> Column:
-    """Odd numbers hold rows equal to a cut, even numbers the rows between cuts."""
-    below = F.size(F.filter(cuts, lambda c: c < value))
-    on = F.array_contains(cuts, value)
-    return F.when(on, 2 * below + 1).otherwise(2 * below)
+    A large group fills many ranges, small ones share one. The ranges are sampled while the
+    rows are dealt, so they are stored before anything is computed on them twice.
+    """
+    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return settle(df.repartitionByRange(n, *groups, *order).withColumn("__s", F.spark_partition_id()))
 
 
 def position_in_group(df: DataFrame, groups: Sequence[str], value: str, tie: str,
                       descending: bool = False, name: str = "position",
-                      slices: int = SLICES) -> DataFrame:
-    """1-based position by ``value`` then ``tie`` (both numeric, ``tie`` unique in a group)."""
+                      slices: int | None = None) -> DataFrame:
+    """1-based position by ``value`` then ``tie`` (``value`` numeric where descending, ``tie`` unique in a group)."""
     key = -F.col(value) if descending else F.col(value)
-    base = df.withColumn("__key", key)
-    base = (base.withColumn("__cuts", _cuts(base, "__key", slices))
-            .withColumn("__s", _slice_of(F.col("__key"), F.col("__cuts"))))
-    if value == tie:
-        base = base.drop("__cuts").withColumn("__t", F.lit(0))
-    else:
-        base = base.withColumn("__cuts", _cuts(df, tie, slices)).withColumn(
-            "__t", F.when(F.col("__s") % 2 == 1, _slice_of(F.col(tie), F.col("__cuts")))
-            .otherwise(F.lit(0))).drop("__cuts")
-    part = [*groups, "__s", "__t"]
+    base = sliced(df.withColumn("__key", key), groups, ["__key", tie], slices)
+    part = [*groups, "__s"]
     counts = base.groupBy(*part).agg(F.count(F.lit(1)).alias("__n"))
-    before = W.partitionBy(*groups).orderBy("__s", "__t").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(
-        *part, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    local = F.row_number().over(W.partitionBy(*part).orderBy("__key", tie))
-    numbered = base.withColumn("__local", local)
-    cond = [numbered[c].eqNullSafe(offsets[c]) for c in part]
-    joined = numbered.join(offsets, _all(cond), "left")
+    before = F.sum("__n").over(_earlier(groups))
+    offsets = counts.select(*part, F.coalesce(before, F.lit(0)).alias("__before"))
+    numbered = base.withColumn("__local", F.row_number().over(W.partitionBy(*part).orderBy("__key", tie)))
+    joined = _with_slices(numbered, offsets, groups)
     return joined.select(*[numbered[c] for c in df.columns],
                          (F.col("__before") + F.col("__local")).cast("bigint").alias(name))
 
 
 def running_sum(df: DataFrame, groups: Sequence[str], order: str, value: str, name: str,
-                slices: int = SLICES) -> DataFrame:
-    """Sum of ``value`` over the rows before, in ``order`` (numeric, unique in a group)."""
-    base = (df.withColumn("__cuts", _cuts(df, order, slices))
-            .withColumn("__s", _slice_of(F.col(order), F.col("__cuts"))).drop("__cuts"))
-    part = [*groups, "__s"]
-    before = W.partitionBy(*groups).orderBy("__s").rowsBetween(W.unboundedPreceding, -1)
+                slices: int | None = None) -> DataFrame:
+    """Sum of ``value`` over the rows before, in ``order`` (unique in a group)."""
+    base, part = sliced(df, groups, [order], slices), [*groups, "__s"]
     starts = (base.groupBy(*part).agg(F.sum(value).alias("__v"))
-              .select(*part, F.coalesce(F.sum("__v").over(before), F.lit(0)).alias("__before")))
+              .select(*part, F.coalesce(F.sum("__v").over(_earlier(groups)), F.lit(0)).alias("__before")))
     inner = base.withColumn("__local", F.coalesce(F.sum(value).over(
         W.partitionBy(*part).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    joined = inner.join(starts, _all([inner[c].eqNullSafe(starts[c]) for c in part]), "left")
+    joined = _with_slices(inner, starts, groups)
     return joined.select(*[inner[c] for c in df.columns], (F.col("__before") + F.col("__local")).alias(name))
 
 
 def previous_in_group(df: DataFrame, groups: Sequence[str], order: str, carry: Sequence[str],
-                      prefix: str = "prev_", slices: int = SLICES) -> DataFrame:
-    """Values of the row before, in ``order`` (numeric, unique in a group)."""
-    base = (df.withColumn("__cuts", _cuts(df, order, slices))
-            .withColumn("__s", _slice_of(F.col(order), F.col("__cuts"))).drop("__cuts"))
-    part = [*groups, "__s"]
-    tail = F.max_by(F.struct(*carry), F.col(order)).alias("__tail")
-    tails = base.groupBy(*part).agg(tail)
+                      prefix: str = "prev_", slices: int | None = None) -> DataFrame:
+    """Values of the row before, in ``order`` (unique in a group)."""
+    base, part = sliced(df, groups, [order], slices), [*groups, "__s"]
+    tails = base.groupBy(*part).agg(F.max_by(F.struct(*carry), F.col(order)).alias("__tail"))
     earlier = tails.select(
         *part, F.lag("__tail").over(W.partitionBy(*groups).orderBy("__s")).alias("__tail"))
     inner = base.withColumn(
         "__prev", F.lag(F.struct(*carry)).over(W.partitionBy(*part).orderBy(order)))
-    cond = [inner[c].eqNullSafe(earlier[c]) for c in part]
-    joined = inner.join(earlier, _all(cond), "left")
+    joined = _with_slices(inner, earlier, groups)
     return joined.select(
         *[inner[c] for c in df.columns],
         *[F.coalesce(F.col("__prev"), F.col("__tail"))[c].alias(prefix + c) for c in carry])
 
 
+def last_seen(df: DataFrame, groups: Sequence[str], order: Sequence[str], values: Mapping[str, Column],
+              slices: int | None = None) -> DataFrame:
+    """For each name the last value that is not null up to the row itself, in ``order`` (unique in a group).
+
+    A slice passes on its own last values where it has any, else those that it was passed.
+    """
+    base = sliced(df.select("*", *[v.alias(f"__v_{n}") for n, v in values.items()]), groups, order, slices)
+    part, at = [*groups, "__s"], F.struct(*order)
+    inside = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    tails = base.groupBy(*part).agg(*[
+        F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), at)).alias(f"__t_{n}") for n in values])
+    passed = tails.select(*part, *[F.last(f"__t_{n}", ignorenulls=True).over(_earlier(groups)).alias(f"__p_{n}") for n in values])
+    inner = base.select("*", *[F.last(f"__v_{n}", ignorenulls=True).over(inside).alias(f"__l_{n}") for n in values])
+    joined = _with_slices(inner, passed, groups)
+    return joined.select(*[inner[c] for c in df.columns],
+                         *[F.coalesce(F.col(f"__l_{n}"), F.col(f"__p_{n}")).alias(n) for n in values])
+
+
+def _earlier(groups: Sequence[str]) -> WindowSpec:
+    """The slices of a group before a slice."""
+    return W.partitionBy(*groups).orderBy("__s").rowsBetween(W.unboundedPreceding, -1)
+
+
+def _with_slices(rows: DataFrame, per_slice: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Rows with what is known of their group and slice."""
+    return rows.join(per_slice, _all([rows[c].eqNullSafe(per_slice[c]) for c in [*groups, "__s"]]), "left")
+
+
 def nearest_rank(df: DataFrame, groups: Sequence[str], value: str, quantile: float,
                  name: str) -> DataFrame:
     """Exact nearest-rank percentile from counts per distinct value."""

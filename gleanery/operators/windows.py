@@ -8,27 +8,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleanery.operators.ranking import previous_in_group, running_sum, top_n
+from gleanery.operators.ranking import last_seen, previous_in_group, top_n
+from gleanery.operators.storage import settle
 
 MAX_LEVEL = 6
 
 
-def heading_path(blocks: DataFrame, group: str = "file_id", order: str = "line_number") -> DataFrame:
+def heading_path(blocks: DataFrame, group: str = "file_id", order: str = "line_number", slices: int | None = None) -> DataFrame:
     """Titles above each block: a level counts while no smaller level came after it.
 
-    ``blocks`` has heading_level (null for text) and content; a group is one document.
+    ``blocks`` has heading_level (null for text) and content; a group is one document of any
+    length. A heading sets the title of its level and takes away those of the levels
+    below, so each level is the last of these events before a block.
     """
-    w = W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    level = F.col("heading_level")
-    marks = [F.last(F.when(level == n, F.struct(F.col(order).alias("at"), F.col("content").alias("title"))), ignorenulls=True).over(w)
-             for n in range(1, MAX_LEVEL + 1)]
-    resets = [F.last(F.when(level < n, F.col(order)), ignorenulls=True).over(w) for n in range(1, MAX_LEVEL + 1)]
-    out = blocks
-    for n, (mark, reset) in enumerate(zip(marks, resets), start=1):
-        out = out.withColumn(f"__m{n}", mark).withColumn(f"__r{n}", reset)
-    valid = [F.when(F.coalesce(F.col(f"__m{n}.at") > F.col(f"__r{n}"), F.col(f"__m{n}").isNotNull()), F.col(f"__m{n}.title"))
-             for n in range(1, MAX_LEVEL + 1)]
-    return out.select(*blocks.columns, F.array_compact(F.array(*valid)).alias("heading_path"))
+    level, none = F.col("heading_level"), F.lit(None).cast("string")
+    events = {f"__h{n}": F.when(level == n, F.struct(F.col("content").alias("title"))).when(level < n, F.struct(none.alias("title")))
+              for n in range(1, MAX_LEVEL + 1)}
+    seen = last_seen(blocks, [group], [order], events, slices)
+    return seen.select(*blocks.columns, F.array_compact(F.array(*[F.col(n)["title"] for n in events])).alias("heading_path"))
 
 
 # How a header row is told from data.
@@ -100,26 +97,33 @@ def status_transition_audit(states: DataFrame, group: str = "file_id", order: st
     return steps.filter(~allowed)
 
 
-def repeat_requests(requests: DataFrame, keys: Sequence[str], at: str, request_id: str, seconds: int = 300) -> DataFrame:
+def repeat_requests(requests: DataFrame, keys: Sequence[str], at: str, request_id: str, seconds: int = 300,
+                    slices: int | None = None) -> DataFrame:
     """For each request the accepted one it returns, itself when it was accepted.
 
-    A gap longer than the period always starts anew, so the chain is followed only
-    inside bursts, and over the distinct times of a burst.
+    The first request of a key and any after a gap longer than the period are accepted, and
+    after an accepted one the first beyond its period. Every distinct time points to the first
+    time beyond its own period, unless that follows a gap; pointers double their
+    reach each round, so a burst that lasts n periods takes log2(n) rounds of plain joins.
     """
-    period = seconds * 1_000_000
-    times = (requests.withColumn("__t", F.unix_micros(F.col(at).cast("timestamp")))
-             .groupBy(*keys, "__t").agg(F.min(request_id).alias("__first")))
-    gaps = previous_in_group(times, keys, "__t", ["__t"])
-    fresh = F.coalesce((F.col("__t") - F.col("prev___t") > period).cast("int"), F.lit(1))
-    bursts = running_sum(gaps.withColumn("__new", fresh), keys, "__t", "__new", "__b").withColumn("__b", F.col("__b") + F.col("__new"))
-    grouped = bursts.groupBy(*keys, "__b").agg(F.array_sort(F.collect_list(F.struct("__t", "__first"))).alias("__all"))
-    start = F.lit([]).cast("array<struct<__t:bigint,__first:bigint>>")
-    accepted = F.aggregate("__all", start, lambda kept, x: F.when(
-        (F.size(kept) == 0) | (x["__t"] - F.element_at(kept, -1)["__t"] > period), F.concat(kept, F.array(x))).otherwise(kept))
-    heads = grouped.select(*keys, "__b", F.explode(accepted).alias("a")).select(
-        *keys, F.col("a.__t").alias("__t"), F.col("a.__first").alias("__accepted"))
-    in_burst = W.partitionBy(*keys, "__b").orderBy("__t").rowsBetween(W.unboundedPreceding, 0)
-    marked = bursts.select(*keys, "__t", "__b").join(heads, [*keys, "__t"], "left").withColumn(
-        "__accepted", F.last("__accepted", ignorenulls=True).over(in_burst)).drop("__b")
-    return requests.withColumn("__t", F.unix_micros(F.col(at).cast("timestamp"))).join(marked, [*keys, "__t"]).select(
-        *requests.columns, F.col("__accepted").alias("accepted_id"))
+    period, keys = seconds * 1_000_000, list(keys)
+    requests = requests.withColumn("__t", F.unix_micros(F.col(at).cast("timestamp")))
+    times = settle(requests.groupBy(*keys, "__t").agg(F.min(request_id).alias("__first")))
+    gaps = previous_in_group(times.select(*keys, "__t"), keys, "__t", ["__t"], slices=slices)
+    begins = settle(gaps.select(*keys, "__t", F.coalesce(F.col("__t") - F.col("prev___t") > period, F.lit(True)).alias("__on")))
+    # probes look back from the end of each period; a time on the end itself is within
+    probes = begins.select(*keys, (-(F.col("__t") + period)).alias("__back"), F.lit(0).alias("__real"), "__t", F.lit(None).cast("boolean").alias("__on"))
+    marks = begins.select(*keys, (-F.col("__t")).alias("__back"), F.lit(1).alias("__real"), "__t", "__on")
+    following = last_seen(probes.unionByName(marks), keys, ["__back", "__real"],
+                          {"__next": F.when(F.col("__real") == 1, F.struct("__t", "__on"))}, slices)
+    ahead = F.when(~F.col("__next")["__on"], F.col("__next")["__t"])
+    nodes = settle(begins.join(following.filter("__real = 0").select(*keys, "__t", ahead.alias("__jump")), [*keys, "__t"]))
+    while not nodes.filter("__on and __jump is not null").isEmpty():
+        reached = nodes.filter("__on and __jump is not null").select(*keys, F.col("__jump").alias("__t"), F.lit(True).alias("__hit")).distinct()
+        hops = nodes.filter("__jump is not null").select(*keys, F.col("__t").alias("__jump"), F.col("__jump").alias("__far"))
+        nodes = settle(nodes.join(reached, [*keys, "__t"], "left").join(hops, [*keys, "__jump"], "left").select(
+            *keys, "__t", (F.col("__on") | F.coalesce("__hit", F.lit(False))).alias("__on"), F.col("__far").alias("__jump")))
+    heads = times.join(nodes.select(*keys, "__t", "__on"), [*keys, "__t"], "left")
+    marked = last_seen(heads, keys, ["__t"], {"__accepted": F.when(F.col("__on"), F.col("__first"))}, slices).select(*keys, "__t", "__accepted")
+    return requests.join(marked, [*keys, "__t"]).select(
+        *[c for c in requests.columns if c != "__t"], F.col("__accepted").alias("accepted_id"))
