@@ -40,12 +40,13 @@ def collapse_space(col: Column) -> Column:
 
 def search_tokens(col: Column) -> Column:
     """Words, single CJK characters, and bigrams over the CJK characters."""
-    low = fold(strip(col))
+    low = fold(col)
     words = F.regexp_extract_all(low, F.lit(r"[a-z0-9]+"), F.lit(0))
     cjk = F.regexp_extract_all(low, F.lit(r"[\u4e00-\u9fff]"), F.lit(0))
     # neighbours are zipped, since a lambda body would extract the characters anew per index
     pairs = F.array_compact(F.zip_with(cjk, F.slice(cjk, F.lit(2), F.greatest(F.size(cjk) - 1, F.lit(0))), lambda a, b: F.concat(a, b)))
-    return F.concat(words, cjk, pairs)
+    # most texts have none, and one look is cheaper than three extractions
+    return F.when(low.rlike(r"[\u4e00-\u9fff]"), F.concat(words, cjk, pairs)).otherwise(words)
 
 
 def term_set(col: Column) -> Column:

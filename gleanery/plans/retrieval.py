@@ -16,7 +16,8 @@ QUERIES = "select item_id as query_id, substr(text, 1 + (item_id % 3) * 10, 20 +
 
 
 def inputs(t):
-    return doc_chunks(t), t.sql(QUERIES)
+    """The chunk table, stored once as a search finds it, and the queries."""
+    return settle(doc_chunks(t).repartition("chunk_id")), t.sql(QUERIES)
 
 
 TOK = """list_concat(regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[a-z0-9]+'), regexp_extract_all({0}, '[一-鿿]'))"""
