@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleanery.functions.semantics import semantics_columns
-from gleanery.functions.text import is_blank, strip
+from gleanery.functions.semantics import field_semantics, semantics_columns
+from gleanery.functions.text import strip
 from gleanery.functions.values import cell_kind, type_of_kinds
 
 
@@ -31,16 +31,23 @@ def _type_name(kind: T.DataType) -> str:
     return {T.BooleanType: "boolean", T.DateType: "date", T.StringType: "string"}.get(type(kind), "other")
 
 
-def field_profile(df: DataFrame, semantics: bool = False) -> DataFrame:
-    """One row per column with null and distinct counts.
+def value_counts(df: DataFrame) -> DataFrame:
+    """(source_name, source_index, canonical_name, value, n): how often each column holds each stripped text; null for blanks.
 
-    Distinct counts come from (column, value) groups, so a wide table costs one
-    shuffle of pre-aggregated values instead of one expansion per column.
+    The one pass over the cells that profiles and checks share. A name's meaning is folded
+    into the plan, so it costs nothing per cell.
     """
-    blank = is_blank(F.col("value"))
-    counted = (long_cells(df).groupBy("source_name", "source_index", F.when(~blank, strip(F.col("value"))).alias("value"))
-               .agg(F.count(F.lit(1)).alias("n")))
-    totals = counted.groupBy("source_name", "source_index").agg(
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("source_name"), F.lit(i).alias("source_index"), field_semantics(F.lit(c))["canonical_name"].alias("canonical_name"),
+                 F.col(f"`{c}`").cast("string").alias("value")) for i, c in enumerate(df.columns, start=1)])
+    stripped = F.nullif(strip(F.col("c.value")), F.lit(""))
+    return (df.select(F.explode(cells).alias("c")).select("c.source_name", "c.source_index", "c.canonical_name", stripped.alias("value"))
+            .groupBy("source_name", "source_index", "canonical_name", "value").agg(F.count(F.lit(1)).alias("n")))
+
+
+def field_profile(df: DataFrame, semantics: bool = False) -> DataFrame:
+    """One row per column with null and distinct counts, from the counts of its values."""
+    totals = value_counts(df).groupBy("source_name", "source_index").agg(
         F.sum("n").cast("bigint").alias("row_count"),
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).cast("bigint").alias("null_count"),
         F.count(F.col("value")).cast("bigint").alias("unique_count"))
@@ -69,5 +76,3 @@ def key_candidates(profile: DataFrame) -> DataFrame:
         F.when(F.col("semantic_type") == "name", "possible_name"),
         F.when(F.col("sensitive"), "possible_sensitive")))
     return profile.select("source_name", F.explode(roles).alias("role"))
-
-

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.functions.text import is_blank, norm_key, strip
-from gleanery.functions.values import cell_kind
-from gleanery.operators.profile import field_profile, inferred_types, long_cells
+from gleanery.functions.text import norm_key, strip
+from gleanery.functions.values import cell_kind, type_of_kinds
+from gleanery.operators.profile import value_counts
 
 # Shapes of contact data and the limits of the checks.
 PHONE_SHAPE = r"^(?:\+?\d[\d\s-]{5,19})$"
@@ -21,26 +21,40 @@ def contact_valid(kind: str, value: Column) -> Column:
     return strip(value).rlike(PHONE_SHAPE if kind == "phone" else EMAIL_SHAPE)
 
 
+KINDS = ("boolean", "integer", "number", "string")
+
 # people columns: meanings that make a sheet a person sheet
 PERSON_MEANINGS = ("name", "college", "grade", "class", "student_id")
 
 
+def column_facts(df: DataFrame) -> DataFrame:
+    """One row per column of a table of raw text: row_count, null_count, what its cells read as, and its faulty and repeated values.
+
+    Values are counted once (``value_counts``); everything else is summed from these counts, so
+    the table is read once. Parts of a table can be summed alike and added up.
+    """
+    value, meaning, filled = F.col("value"), F.col("canonical_name"), F.col("value").isNotNull()
+    kind = cell_kind(value)
+    counts = value_counts(df).select("*", F.when(filled, kind).alias("kind"))
+    number = value.try_cast("double")
+    wrong_range = (meaning == "score") & (~F.col("kind").isin("integer", "number") | ~number.between(0, 100))
+    wrong_contact = ((meaning == "phone") & ~contact_valid("phone", value)) | ((meaning == "email") & ~contact_valid("email", value))
+    weigh = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    columns = ["source_name", "source_index", "canonical_name"]
+    # ids and names are compared by their folded key, all other values of a column share one group
+    per_key = counts.groupBy(*columns, F.when(filled & meaning.isin("student_id", "name"), norm_key(value)).alias("key")).agg(
+        F.sum("n").alias("n"), weigh(~filled).alias("nulls"), weigh(filled & wrong_range).alias("range"), weigh(filled & wrong_contact).alias("contact"),
+        *[F.count_if(F.col("kind") == k).alias(k) for k in KINDS])
+    return per_key.groupBy(*columns).agg(
+        F.sum("n").cast("bigint").alias("row_count"), F.sum("nulls").cast("bigint").alias("null_count"), F.sum("range").alias("range"),
+        F.sum("contact").alias("contact"), F.count_if(F.col("key").isNotNull() & (F.col("n") > 1)).alias("groups"),
+        F.filter(F.array(*[F.when(F.sum(k) > 0, k) for k in KINDS]), lambda k: k.isNotNull()).alias("kinds"))
+
+
 def validate_table(df: DataFrame, sheet: str) -> DataFrame:
     """Issue rows (sheet, field, issue_type, severity, detail) of one table of raw text."""
-    profile = field_profile(df, semantics=True).drop("inferred_type").join(
-        inferred_types(long_cells(df)), "source_name")
-    blank = is_blank(F.col("value"))
-    cells = long_cells(df).join(profile.select("source_name", "canonical_name"), "source_name")
-    number = F.col("value").try_cast("double")
-    bad = cells.filter(~blank).groupBy("source_name").agg(
-        F.count_if((F.col("canonical_name") == "score")
-                   & (~cell_kind(F.col("value")).isin("integer", "number") | ~number.between(0, 100))).alias("range"),
-        F.count_if(((F.col("canonical_name") == "phone") & ~contact_valid("phone", F.col("value")))
-                   | ((F.col("canonical_name") == "email") & ~contact_valid("email", F.col("value")))).alias("contact"))
-    repeated = (cells.filter(~blank & F.col("canonical_name").isin("student_id", "name"))
-                .groupBy("source_name", norm_key(F.col("value")).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-                .groupBy("source_name").agg(F.count_if(F.col("n") > 1).alias("groups")))
-    facts = profile.join(bad, "source_name", "left").join(repeated, "source_name", "left")
+    facts = column_facts(df).withColumns({
+        "null_ratio": F.round(F.col("null_count") / F.col("row_count"), 6), "inferred_type": type_of_kinds(F.col("kinds"))})
 
     def issue(test: Column, kind: str, severity: str, detail: Column) -> Column:
         return F.when(test, F.struct(F.lit(kind).alias("issue_type"), F.lit(severity).alias("severity"),
@@ -57,7 +71,7 @@ def validate_table(df: DataFrame, sheet: str) -> DataFrame:
         issue((F.col("groups") > 0) & (meaning == "name"), "duplicate_name", "warning", F.col("groups"))))
     per_field = facts.select(F.lit(sheet).alias("sheet"), F.col("source_name").alias("field"),
                              F.explode(issues).alias("i")).select("sheet", "field", "i.*")
-    person = profile.agg(F.bool_or(meaning.isin(*PERSON_MEANINGS)).alias("person"),
+    person = facts.agg(F.bool_or(meaning.isin(*PERSON_MEANINGS)).alias("person"),
                          F.coalesce(F.bool_or(meaning == "student_id"), F.lit(False)).alias("has_id"))
     lacking = person.filter("person and not has_id").select(
         F.lit(sheet).alias("sheet"), F.lit(None).cast("string").alias("field"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.text import is_blank
 from gleanery.functions.values import typed_cell
+from gleanery.sources.delimited import read_records
 
 DELIMITERS = (",", "\t", ";", "|")
 
@@ -26,21 +27,26 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = ",",
     """All columns as text; the header must be non-blank and unique.
 
     Without ``delimiter`` it is found from the first line. Short rows are padded with null
-    and long rows cut to the header by the reader; rows without any text are dropped.
-    Quoted cells may hold line breaks, for which a file is read by one task; very large
-    files without any are split where ``line_breaks`` is off.
+    and long rows cut to the header; rows without any text are dropped. Quoted cells may
+    hold line breaks; files are read split by split all the same (``delimited``), in two
+    passes. Where ``line_breaks`` is off, every line is taken for a record in one pass.
     """
     delimiter = delimiter or found_delimiter(spark, path)
     if delimiter not in DELIMITERS:
         raise ValueError(f"delimiter must be one of {DELIMITERS}")
-    options = {"inferSchema": False, "sep": delimiter, "enforceSchema": True, "multiLine": line_breaks, "escape": '"',
-               "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
+    options = {"sep": delimiter, "escape": '"', "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
     # Read as a row, since the reader renames repeated and blank names of a header.
-    header = spark.read.csv(path, header=False, **options).first()
+    header = spark.read.csv(path, header=False, inferSchema=False, multiLine=line_breaks, **options).first()
     names = [(c or "").strip() for c in header or ()]
     if not names or not all(names) or len(set(names)) != len(names):
         raise ValueError("header must be non-blank and unique")
-    return drop_blank_rows(spark.read.csv(path, header=True, **options).toDF(*names), names)
+    records = read_records(spark, path, delimiter) if line_breaks else None
+    if records is None:
+        rows = spark.read.csv(path, header=True, inferSchema=False, enforceSchema=True, **options)
+    else:
+        schema = ", ".join(f"_c{i} string" for i in range(len(names)))
+        rows = records.filter("not first").select(F.from_csv("record", schema, options | {"maxCharsPerColumn": -1}).alias("r")).select("r.*")
+    return drop_blank_rows(rows.toDF(*names), names)
 
 
 def drop_blank_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
