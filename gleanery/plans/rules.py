@@ -92,7 +92,7 @@ def query_rewrite(t):
 
 
 def _needs(t):
-    text = F.substring("text", 1, 60)
+    text = F.col("text")
     return t.benchmark.select(
         F.concat(F.lit("t"), (F.col("item_id") % 20).cast("string")).alias("task_id"), F.concat(F.lit("n"), "item_id").alias("need_id"), F.col("item_id").alias("need_no"),
         text.alias("query"), F.lit("passage").alias("name"), F.when(F.col("item_id") % 4 == 0, F.array(F.lit("zzqx"))).otherwise(F.array(F.substring("text", 5, 6))).alias("required_terms"),
@@ -101,7 +101,10 @@ def _needs(t):
 
 @query("controlled_retrieval")
 def controlled_retrieval(t):
-    return nd.controlled_retrieval(settle(_needs(t)), settle(doc_chunks(t)))[0]
+    """Whole items are asked; the search of every eleventh fails."""
+    failing = t.benchmark.filter("item_id % 11 = 3").select(F.concat(F.lit("n"), "item_id").alias("need_id"), F.lit("INDEX_NOT_READY").alias("error_code"),
+                                                            (F.col("item_id") % 2 == 0).alias("called"))
+    return nd.controlled_retrieval(settle(_needs(t)), settle(doc_chunks(t)), failures=failing)[0]
 
 
 @query("cross_source_retrieval")
@@ -112,7 +115,7 @@ def cross_source_retrieval(t):
                          body.alias("chunk_text"), F.lit("WEB").alias("source"))
     route = F.array(F.lit("LOCAL"), F.lit("WEB"), F.lit("BOTH"))
     asks = t.benchmark.select(
-        F.concat(F.lit("x"), "item_id").alias("task_id"), F.substring("text", 1, 60).alias("query"), F.get(route, (F.col("item_id") % 3).cast("int")).alias("strategy"),
+        F.concat(F.lit("x"), "item_id").alias("task_id"), F.col("text").alias("query"), F.get(route, (F.col("item_id") % 3).cast("int")).alias("strategy"),
         F.when(F.col("item_id") % 5 == 0, F.array(F.lit("zzqx"))).otherwise(F.array().cast("array<string>")).alias("required_terms"), (1 + F.col("item_id") % 4).alias("minimum_evidence"))
     direct = t.pages.filter(source_route(F.col("url"))["strategy"] == "DIRECT_URL").select(
         F.concat(F.lit("u"), "page_id").alias("task_id"), F.col("url").alias("query"), F.lit("DIRECT_URL").alias("strategy"), F.array().cast("array<string>").alias("required_terms"), F.lit(1).cast("bigint").alias("minimum_evidence"))

@@ -274,6 +274,42 @@ def test_controlled_retrieval_stop_reasons(spark):
     assert {r["need_id"]: r["status"] for r in state.collect()} == {"n1": "sufficient", "n2": "missing", "n3": "partial", "n4": "sufficient"}
 
 
+def test_a_failing_search_ends_its_task(spark):
+    chunks = chunk_frame(spark, ["alpha budget", "beta budget"])
+    rows_ = [(f"t{t}", f"n{t}{i}", i, w, w, [], 1) for t in (1, 2, 3, 4) for i, w in enumerate(("alpha budget", "beta budget", "zulu"), 1)]
+    failures = spark.createDataFrame([("n12", "E1", True), ("n21", "E2", False), ("n33", "E3", True), ("n13", "E9", True)], "need_id string, error_code string, called boolean")
+    tasks, state, _ = nd.controlled_retrieval(spark.createDataFrame(rows_, NEED), chunks, failures=failures, max_calls=5)
+    got = {r["task_id"]: (r["calls"], r["rounds"], r["stop_reason"], r["error_code"]) for r in tasks.collect()}
+    assert got == {"t1": (2, 1, "error", "E1"), "t2": (0, 1, "error", "E2"), "t3": (3, 1, "error", "E3"), "t4": (4, 2, "no_new_evidence", None)}
+    status = {r["need_id"]: r["status"] for r in state.collect()}
+    assert [status[f"n{t}{i}"] for t in (1, 2, 3) for i in (1, 2, 3)] == ["sufficient", "missing", "missing", "missing", "missing", "missing", "sufficient", "sufficient", "missing"]
+    # a need behind the budget never has its turn
+    late = spark.createDataFrame([("n43", "E4", True)], "need_id string, error_code string, called boolean")
+    assert nd.controlled_retrieval(spark.createDataFrame(rows_[9:], NEED), chunks, failures=late, max_calls=2)[0].first()["stop_reason"] == "budget"
+
+
+def test_required_fields_and_several_urls(spark):
+    chunks = spark.createDataFrame([
+        ("c0", "http://a/", 0, "alpha", "WEB", None, {"author": "x", "empty": "", "9bad": "y"}), ("c1", "http://b/", 0, "beta", "WEB", "2024-01-01", None),
+        ("c2", "http://b/", 1, "beta two", "WEB", "", None)],
+        "chunk_id string, file_id string, chunk_index bigint, chunk_text string, source string, published_at string, metadata map<string,string>")
+    direct = lambda name, fields, urls, n=1, terms=(): (name, "see these", "DIRECT_URL", list(terms), n, fields, urls)
+    asks = spark.createDataFrame([
+        direct("first", ["author"], ["http://a/", "http://b/"]), direct("second", ["published_at"], ["http://a/", "http://b/"]),
+        direct("none", ["empty"], ["http://a/", "http://b/"]), direct("bad", ["9bad"], ["http://a/"]), direct("many", ["content", "evidence_id"], ["http://a/", "http://b/"], 3),
+        direct("loop", ["empty"], ["http://a/", "http://a/"]), direct("lost", [], ["http://x/", "http://y/", "http://b/"]), direct("calls", ["empty"], [f"http://{c}/" for c in "abxyz"]),
+        ("search", "beta", "WEB", [], 1, ["author"], None), ("terms", "beta", "WEB", ["beta"], 1, ["published_at"], [])],
+        "task_id string, query string, strategy string, required_terms array<string>, minimum_evidence int, required_fields array<string>, urls array<string>")
+    got = {r["task_id"]: (r["status"], r["calls"], r["stop_reason"], r["missing"]) for r in nd.cross_source_retrieval(asks, chunks, max_rounds=5, max_calls=2)[0].collect()}
+    assert got == {
+        "first": ("SUFFICIENT", 1, "SUFFICIENT", ""), "second": ("SUFFICIENT", 2, "SUFFICIENT", ""), "none": ("INSUFFICIENT", 2, "BUDGET_EXHAUSTED", "empty"),
+        "bad": ("INSUFFICIENT", 1, "SOURCES_EXHAUSTED", "9bad"), "many": ("SUFFICIENT", 2, "SUFFICIENT", ""), "loop": ("INSUFFICIENT", 1, "LOOP_PREVENTED", "empty"),
+        "lost": ("INSUFFICIENT", 2, "NO_NEW_EVIDENCE", "minimum_evidence"), "calls": ("INSUFFICIENT", 2, "BUDGET_EXHAUSTED", "empty"),
+        "search": ("INSUFFICIENT", 2, "BUDGET_EXHAUSTED", "author"), "terms": ("SUFFICIENT", 1, "SUFFICIENT", "")}
+    asked = spark.createDataFrame([("q", "zz", "WEB", [], 1, ["author"], None)], asks.schema)
+    assert nd.cross_source_retrieval(asked, chunks, max_rounds=5, max_calls=9)[0].first()["stop_reason"] == "NO_NEW_EVIDENCE"
+
+
 def test_call_budget_follows_need_order(spark):
     chunks = chunk_frame(spark, ["alpha", "beta"])
     needs = spark.createDataFrame([("t", f"n{i}", i, w, w, [], 1) for i, w in enumerate(("alpha", "beta", "alpha x"), 1)], NEED)
