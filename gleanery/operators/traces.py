@@ -6,8 +6,11 @@ input_tokens, output_tokens, total_tokens, cost_usd, metrics_json, created_at.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanery.operators.ranking import nearest_rank
 
@@ -194,13 +197,82 @@ def case_rates(cases: DataFrame) -> DataFrame:
         (F.coalesce(F.max("n") == 1, F.lit(False)) & F.bool_and(F.coalesce(F.col("id") != "", F.lit(False)))).alias("valid"))
 
 
-def retrieval_trace_metrics(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """Metrics row of each retrieval result: status, mode, counts, top score."""
-    found = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("result_count"), F.max("retrieval_score").alias("top_score"), F.min("mode").alias("mode"))
-    return queries.select("query_id").join(found, "query_id", "left").select(
-        "query_id", F.coalesce("mode", F.lit("hybrid")).alias("retrieval_mode"),
-        F.when(F.col("result_count") > 0, "found").otherwise("not_found").alias("retrieval_status"),
-        F.coalesce("result_count", F.lit(0)).alias("result_count"), F.coalesce(F.col("mode") == "rerank_fallback", F.lit(False)).alias("rerank_fallback"), "top_score")
+def _member(value: Column, kind: T.DataType | None, name: str, cast: str) -> Column:
+    """A field of a struct, null where results of this kind have none."""
+    has = isinstance(kind, T.StructType) and name in kind.names
+    return value[name].cast(cast) if has else F.lit(None).cast(cast)
+
+
+def _whole_ms(value: Column) -> Column:
+    return F.when(value.isNotNull(), F.greatest(F.lit(0), value.cast("double").cast("bigint")))
+
+
+def _items(results: DataFrame, name: str) -> tuple[Column, T.DataType | None]:
+    """The evidence list of a result, never null, and the type of its items."""
+    data = results.schema["data"].dataType
+    if name not in data.names:
+        return F.array(), None
+    kind = data[name].dataType
+    return F.coalesce(F.col("data")[name], F.array().cast(kind)), kind.elementType
+
+
+def _texts(items: Column, kind: T.DataType | None, name: str) -> Column:
+    values = F.transform(items, lambda x: _member(x, kind, name, "string"))
+    return F.filter(values, lambda v: v.isNotNull() & (v != ""))
+
+
+def document_metrics(results: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Metrics row of each ``retrieve_document`` result (keys, tool_name, data): modes, fallbacks, counts, times, ids, top score."""
+    rows, kind = results.filter("tool_name = 'retrieve_document'"), results.schema["data"].dataType
+    of = lambda name, cast: _member(F.col("data"), kind, name, cast)
+    items, item = _items(results, "evidence")
+    count = lambda name: F.coalesce(of(name, "bigint"), F.lit(0).cast("bigint"))
+    flag = lambda name: F.coalesce(of(name, "boolean"), F.lit(False))
+    size = F.size(items).cast("bigint")
+    top_k = count("top_k_count")
+    return rows.select(
+        *keys, "tool_name", of("retrieval_mode", "string").alias("retrieval_mode"), flag("fallback_used").alias("fallback_used"),
+        of("fallback_reason", "string").alias("fallback_reason"), flag("rerank_fallback").alias("rerank_fallback"), of("status", "string").alias("retrieval_status"),
+        size.alias("result_count"), *[count(c).alias(c) for c in ("keyword_candidate_count", "vector_candidate_count", "top_n_count")],
+        F.when(top_k == 0, size).otherwise(top_k).alias("top_k_count"),
+        *[_whole_ms(of(c, "double")).alias(c) for c in ("hybrid_retrieval_duration_ms", "rerank_duration_ms")],
+        _texts(items, item, "evidence_id").alias("evidence_ids"), F.array_max(F.transform(items, lambda x: _member(x, item, "score", "double"))).alias("top_score"))
+
+
+def web_metrics(results: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Metrics row of each ``retrieve_web`` result (keys, tool_name, data, arguments, result_status, duration_ms).
+
+    What the result does not say is completed from the call: query, URL, status and time. An
+    item's own patterns count, or where it has none those of its metadata.
+    """
+    rows, kind = results.filter("tool_name = 'retrieve_web'"), results.schema["data"].dataType
+    asked = results.schema["arguments"].dataType if "arguments" in results.columns else None
+    of = lambda name, cast: _member(F.col("data"), kind, name, cast)
+    arg = lambda name: _member(F.col("arguments"), asked, name, "string") if asked else F.lit(None).cast("string")
+    items, item = _items(results, "evidence_chain")
+    noted = item["metadata"].dataType if isinstance(item, T.StructType) and "metadata" in item.names else None
+
+    def patterns(x: Column) -> Column:
+        own = _member(x, item, "detected_untrusted_patterns", "array<string>")
+        other = _member(x["metadata"], noted, "risk_patterns", "array<string>") if noted else F.lit(None).cast("array<string>")
+        return F.coalesce(F.when(F.size(own) > 0, own), other, F.array().cast("array<string>"))
+
+    size = F.size(items).cast("bigint")
+    empty = F.array().cast("array<array<string>>")
+    return rows.select(
+        *keys, "tool_name", of("mode", "string").alias("retrieval_mode"), of("status", "string").alias("retrieval_status"), size.alias("result_count"),
+        F.coalesce(of("query", "string"), arg("query")).alias("search_query"), F.coalesce(of("url", "string"), arg("url")).alias("url"),
+        F.coalesce(of("status", "string"), F.col("result_status")).alias("fetch_status"),
+        F.coalesce(_whole_ms(of("latency_ms", "double")), _whole_ms(F.col("duration_ms"))).alias("latency_ms"),
+        size.alias("evidence_count"), F.lit(True).alias("untrusted_content"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform(items, patterns) if item is not None else empty))).alias("detected_untrusted_patterns"),
+        _texts(items, item, "evidence_id").alias("evidence_ids"), F.array_sort(F.array_distinct(_texts(items, item, "source_type"))).alias("evidence_source_types"),
+        F.when(F.coalesce(arg("url"), F.lit("")) != "", "DIRECT_URL").otherwise("WEB").alias("source_strategy"))
+
+
+def result_metrics(results: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Metrics rows of retrieval results of both kinds; other tools have none."""
+    return document_metrics(results, keys).unionByName(web_metrics(results, keys), allowMissingColumns=True)
 
 
 def stage_timeline(tasks: DataFrame, traces: DataFrame) -> DataFrame:

@@ -162,16 +162,43 @@ def trace_append(t):
     return t.spark.read.parquet(path).select("event_id", F.col("trace_date").cast("string").alias("trace_date"), "metrics_json")
 
 
-@query("report_lines", """
-select item_id as report_id, '# Report ' || item_id || chr(10) || '## Summary' || chr(10) || regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '([\\\\`*_{}\\[\\]()#+!|])', '\\\\\\1', 'g')
-  || chr(10) || case when item_id % 2 = 0 then 'Evidence: ev-' || item_id else 'Evidence: none linked' end as report from {benchmark}""")
+def _plain(value):
+    """Literal text of a report in DuckDB."""
+    return f"regexp_replace(replace(replace(replace({value}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '([\\\\`*_{{{{}}}}\\[\\]()#+!|])', '\\\\\\1', 'g')"
+
+
+REPORT_SQL = f"""
+with b as (select item_id, text, case when item_id % 3 = 0 then 'WEB' else 'LOCAL' end as kind from {{benchmark}})
+select item_id as report_id, concat_ws(chr(10),
+  '# ' || {_plain("'Report *' || item_id")}, '', '报告 ID：' || item_id, '研究任务：task-' || item_id, '生成时间：2024-01-01', '', '## 任务说明', '', {_plain('text')}, '',
+  '## 摘要', '', {_plain("'* ' || text")}, '', '## 分析过程', '', 'as saved', '', '## 核心结论', '',
+  '- ' || {_plain('text')}, '  Evidence：' || case when item_id % 2 = 0 then {_plain("'ev-' || item_id")} || ', ' || {_plain("'ev_b'")} else '未建立证据关联' end, '',
+  '- ' || {_plain("'<b>second</b>'")}, '  Evidence：未建立证据关联', '', '## Evidence 来源', '',
+  '### ' || {_plain("'ev-' || item_id")}, '来源类型：' || case kind when 'LOCAL' then '本地文档' else 'Web 来源' end,
+  '来源：' || case kind when 'LOCAL' then {_plain("'f_' || item_id || '.md'")} else {_plain("'http://x/?a=' || item_id")} end,
+  case kind when 'LOCAL' then '定位：' || {_plain("""'{"page_no": ' || item_id % 7 || case when item_id % 5 <> 0 then ', "chunk_id": "c' || item_id || '"' else '' end || ', "heading_path": ["A \\"q\\"", "B"], "line_end": ' || item_id % 3 || '}'""")}
+    else '检索时间：2024-05-01' end, '',
+  '## 限制说明', '', 'links are no proof', '', 'Evidence Quality：' || case when item_id % 4 = 0 then 'WARNING' else 'PASS' end,
+  case when item_id % 4 = 0 then '- ' || {_plain("'W_1'")} || '：few sources' else '- 规则检查未发现警告；不代表事实正确性保证。' end) || chr(10) as report from b"""
+
+
+@query("report_lines", REPORT_SQL)
 def report_lines(t):
-    b = t.benchmark
-    part = lambda section, seq, line: F.struct(F.lit(section).alias("section"), F.lit(seq).alias("seq"), line.alias("line"))
-    lines = F.array(
-        part(3, 1, F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("Evidence: ev-"), "item_id")).otherwise("Evidence: none linked")),
-        part(1, 1, F.concat(F.lit("# Report "), "item_id")), part(2, 1, F.lit("## Summary")), part(2, 2, sinks.literal(F.col("text"))))
-    return sinks.report_lines(b.select(F.col("item_id").alias("report_id"), F.explode(lines).alias("p")).select("report_id", "p.*"))
+    i = F.col("item_id")
+    b = t.benchmark.withColumn("report_id", i)
+    named = lambda prefix: F.concat(F.lit(prefix), i.cast("string"))
+    reports = b.select("report_id", named("task-").alias("task_id"), named("Report *").alias("title"), F.lit("2024-01-01").alias("created_at"),
+                       F.col("text").alias("task_description"), F.concat(F.lit("* "), "text").alias("summary"), F.lit("as saved").alias("process"),
+                       F.lit("links are no proof").alias("limits"), F.when(i % 4 == 0, "WARNING").otherwise("PASS").alias("quality_status"))
+    none = F.array().cast("array<string>")
+    first = b.select("report_id", F.lit(0).alias("position"), "text", F.when(i % 2 == 0, F.array(named("ev-"), F.lit("ev_b"))).otherwise(none).alias("evidence_refs"))
+    second = b.select("report_id", F.lit(1).alias("position"), F.lit("<b>second</b>").alias("text"), none.alias("evidence_refs"))
+    noted = F.struct(F.array(F.lit('A "q"'), F.lit("B")).alias("heading_path"), (i % 3).alias("line_end"))
+    evidence = b.select("report_id", F.lit(0).alias("position"), named("ev-").alias("evidence_id"), F.when(i % 3 == 0, "WEB").otherwise("LOCAL").alias("source_type"),
+                        F.concat(named("f_"), F.lit(".md")).alias("file_name"), named("http://x/?a=").alias("url"), F.lit("2024-05-01").alias("retrieved_at"),
+                        (i % 7).alias("page_no"), F.when(i % 5 != 0, named("c")).alias("chunk_id"), noted.alias("metadata"))
+    warnings = b.filter(i % 4 == 0).select("report_id", F.lit(0).alias("position"), F.lit("W_1").alias("code"), F.lit("few sources").alias("message"))
+    return sinks.render_reports(reports, first.unionByName(second), evidence, warnings)
 
 
 @query("schema_replace", """

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from gleanery.operators import retrieval as rt
 from gleanery.operators import traces as tr
-from gleanery.operators.ranking import nearest_rank
+from gleanery.operators.ranking import nearest_rank, top_n
+from gleanery.operators.storage import settle
 from gleanery.plans.registry import Catalog
 from gleanery.plans.retrieval import WITH as SEARCH_WITH
 from gleanery.plans.retrieval import inputs
@@ -152,11 +153,48 @@ def case_rates(t):
     return tr.case_rates(t.labels.select(F.col("doc_id").alias("case_id"), (F.col("quality") == 1).alias("passed")))
 
 
-@query("trace_metrics_extract", SEARCH_WITH + """select q.query_id, 'hybrid' as retrieval_mode, case when f.n > 0 then 'found' else 'not_found' end as retrieval_status, coalesce(f.n, 0) as result_count, false as rerank_fallback, f.top as top_score
-  from queries q left join (select query_id, count(*) as n, round(max(score), 6) as top from final group by 1) f using (query_id)""")
+@query("trace_metrics_extract", SEARCH_WITH + """, kc as (select query_id, count(*) as n from kw group by 1), vc as (select query_id, count(*) as n from vec group by 1), cc as (select query_id, count(*) as n from cand group by 1),
+fc as (select query_id, count(*) as n, round(max(score), 6) as top, string_agg(chunk_id, ',' order by final_position) as ids from final group by 1)
+select 'q' || q.query_id as result_id, 'retrieve_document' as tool_name, 'hybrid' as retrieval_mode, coalesce(vc.n, 0) = 0 as fallback_used, case when coalesce(vc.n, 0) = 0 then 'NO_VECTOR_HITS' end as fallback_reason, false as rerank_fallback,
+  case when fc.n > 0 then 'found' else 'not_found' end as retrieval_status, coalesce(fc.n, 0) as result_count, coalesce(kc.n, 0) as keyword_candidate_count, coalesce(vc.n, 0) as vector_candidate_count, coalesce(cc.n, 0) as top_n_count,
+  coalesce(fc.n, 0) as top_k_count, 12 as hybrid_retrieval_duration_ms, null::bigint as rerank_duration_ms, coalesce(fc.ids, '') as evidence_ids, fc.top as top_score,
+  null as search_query, null as url, null as fetch_status, null::bigint as latency_ms, null::bigint as evidence_count, null::boolean as untrusted_content, null as detected_untrusted_patterns, null as evidence_source_types, null as source_strategy
+  from queries q left join kc using (query_id) left join vc using (query_id) left join cc using (query_id) left join fc using (query_id)
+union all
+select 'w' || page_id, 'retrieve_web', 'page', null, null, null, case when page_id % 4 <> 0 then 'found' end, 2, null, null, null, null, null, null, 'e' || page_id, null,
+  'find ' || page_id, url, case when page_id % 4 <> 0 then 'found' else 'success' end, case when page_id % 7 = 0 then page_id when page_id % 2 = 0 then 0 else page_id + 1 end, 2, true,
+  case when page_id % 2 = 0 then 'A,B' else 'C' end, case when page_id % 5 = 0 then 'URL,WEB' else 'WEB' end, case when page_id % 3 = 0 then 'DIRECT_URL' else 'WEB' end from {pages}""".replace("{pages}", "pages"))
 def trace_metrics_extract(t):
+    """Results of the hybrid search, with the sizes of its lists, and of one web lookup per page."""
     chunks, queries = inputs(t)
-    return tr.retrieval_trace_metrics(queries, rt.hybrid_retrieve(chunks, queries, 5)).withColumn("top_score", F.round("top_score", 6))
+    n = rt.candidate_limit(5)
+    keyword, vector = settle(rt.keyword_retrieve(chunks, queries, n)), settle(rt.vector_retrieve(chunks, queries, n))
+    candidates = settle(rt.hybrid_order(rt.fuse(keyword, vector), n))
+    best = top_n(rt.scored(candidates, chunks, queries), ["query_id"], [F.col("score").desc(), F.col("chunk_id")], 5, "at")
+    evidence = best.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "chunk_id", "score"))),
+                                                        lambda x: F.struct(x["chunk_id"].alias("evidence_id"), x["score"].alias("score"))).alias("evidence"))
+    sizes = [(keyword, "keyword_candidate_count"), (vector, "vector_candidate_count"), (candidates, "top_n_count")]
+    rows = queries.select("query_id").join(evidence, "query_id", "left")
+    for df, name in sizes:
+        rows = rows.join(df.groupBy("query_id").agg(F.count(F.lit(1)).alias(name)), "query_id", "left")
+    lone = F.coalesce("vector_candidate_count", F.lit(0)) == 0
+    data = F.struct(F.lit("hybrid").alias("retrieval_mode"), F.when(F.size("evidence") > 0, "found").otherwise("not_found").alias("status"), "evidence",
+                    *[name for _, name in sizes], lone.alias("fallback_used"), F.when(lone, "NO_VECTOR_HITS").alias("fallback_reason"),
+                    F.lit(12.9).alias("hybrid_retrieval_duration_ms"))
+    found = rows.select(F.concat(F.lit("q"), "query_id").alias("result_id"), F.lit("retrieve_document").alias("tool_name"), data.alias("data"))
+    p, none = F.col("page_id"), F.lit(None).cast("string")
+    item = lambda i, kind, own, other: F.struct(i.alias("evidence_id"), kind.alias("source_type"), own.alias("detected_untrusted_patterns"), F.struct(other.alias("risk_patterns")).alias("metadata"))
+    listed = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    chain = F.array(item(F.concat(F.lit("e"), p), F.lit("WEB"), F.when(p % 2 == 0, listed("B", "A")).otherwise(listed()), listed("C")),
+                    item(F.lit(""), F.when(p % 5 == 0, "URL"), F.lit(None).cast("array<string>"), F.lit(None).cast("array<string>")))
+    page = F.struct(F.lit("page").alias("mode"), F.when(p % 4 != 0, "found").alias("status"), none.alias("query"), F.when(p % 3 != 0, F.col("url")).alias("url"),
+                    F.when(p % 7 == 0, None).when(p % 2 == 0, -5.7).otherwise(p + 1.9).alias("latency_ms"), chain.alias("evidence_chain"))
+    call = F.struct(F.concat(F.lit("find "), p).alias("query"), F.when(p % 3 == 0, F.col("url")).alias("url"))
+    web = t.pages.select(F.concat(F.lit("w"), p).alias("result_id"), F.lit("retrieve_web").alias("tool_name"), page.alias("data"), call.alias("arguments"),
+                         F.lit("success").alias("result_status"), p.alias("duration_ms"))
+    both = tr.document_metrics(found, ["result_id"]).unionByName(tr.web_metrics(web, ["result_id"]), allowMissingColumns=True)
+    return both.withColumn("top_score", F.round("top_score", 6)).withColumns(
+        {c: F.array_join(c, ",") for c in ("evidence_ids", "detected_untrusted_patterns", "evidence_source_types")})
 
 
 @query("stage_timeline", W + f""", t as (select user_id * 10 + k % 10 as task_id, min(ts) as created_at, case when bool_or(event_type = 'error') then 'FAILED' else 'COMPLETED' end as status from b group by 1)

@@ -458,3 +458,28 @@ def test_pages_keep_their_first_values():
     assert (got["title"], got["description"], got["content"], got["canonical_url"], got["domain"]) == ("A b c", "d", "one\ntwo\nthree", "http://h.example/p", "h.example")
     assert docs.read_page("<link rel=canonical href='ftp://x/'>", "http://h.example/a")["canonical_url"] == "http://h.example/a"
     assert docs.read_page("<link rel=canonical href='http://u:p@x/'>t", "http://h.example/a")["content"] == "t"
+
+
+def test_metrics_of_results_with_missing_fields(spark):
+    from gleanery.operators import traces as tr
+    data = "named_struct('mode', 'm', 'evidence_chain', array(named_struct('evidence_id', 'e1'), named_struct('evidence_id', cast(null as string))))"
+    df = spark.sql(f"select 1 as id, 'retrieve_web' as tool_name, {data} as data, 'failed' as result_status, -3 as duration_ms union all select 2, 'retrieve_document', {data}, 'success', 5 union all select 3, 'other', null, 'success', 1")
+    got = {r["id"]: r.asDict() for r in tr.result_metrics(df, ["id"]).collect()}
+    assert set(got) == {1, 2}
+    web, doc = got[1], got[2]
+    assert (web["result_count"], web["fetch_status"], web["latency_ms"], web["evidence_ids"], web["source_strategy"], web["detected_untrusted_patterns"]) == (2, "failed", 0, ["e1"], "WEB", [])
+    assert (doc["result_count"], doc["top_k_count"], doc["fallback_used"], doc["top_score"], doc["evidence_ids"]) == (0, 0, False, None, [])
+
+
+def test_reports_of_odd_parts(spark):
+    reports = spark.createDataFrame([("r1", "t", "a\nb", None, "<x>", "*y*", "p", "l", "PASS"), ("r2", "t", "c", "d", "e", "f", "p", "l", "WARNING")],
+                                    "report_id string, task_id string, title string, created_at string, task_description string, summary string, process string, limits string, quality_status string")
+    conclusions = spark.createDataFrame([("r1", 1, "second", None), ("r1", 0, "first", ["a_b"])], "report_id string, position int, text string, evidence_refs array<string>")
+    evidence = spark.createDataFrame([("r1", 0, None, "LOCAL", None, None, None, 3, 5, {"line_number": 9, "line_end": None})],
+                                     "report_id string, position int, evidence_id string, source_type string, file_name string, url string, retrieved_at string, page_no int, line_number int, metadata struct<line_number int, line_end int>")
+    warnings = spark.createDataFrame([("r2", 0, "C", None)], "report_id string, position int, code string, message string")
+    got = dict(tuple(r) for r in sinks.render_reports(reports, conclusions, evidence, warnings).collect())
+    assert got["r1"] == ("# a b\n\n报告 ID：r1\n研究任务：t\n生成时间：None\n\n## 任务说明\n\n&lt;x&gt;\n\n## 摘要\n\n\\*y\\*\n\n## 分析过程\n\np\n\n## 核心结论\n\n- first\n  Evidence：a\\_b\n\n"
+                         "- second\n  Evidence：未建立证据关联\n\n## Evidence 来源\n\n### 未标识\n来源类型：本地文档\n来源：None\n定位：\\{\"page\\_no\": 3, \"line\\_number\": 9\\}\n\n"
+                         "## 限制说明\n\nl\n\nEvidence Quality：PASS\n- 规则检查未发现警告；不代表事实正确性保证。\n")
+    assert got["r2"].endswith("Evidence Quality：WARNING\n- C：None\n") and "### " not in got["r2"]
