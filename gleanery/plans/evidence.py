@@ -182,16 +182,19 @@ LOCATORS = """select event_id as evidence_id, case event_id % 4 when 0 then 'txt
   case when event_id % 4 = 3 then concat('r', cast(event_id % 2000 as string)) end as region_id from {events}"""
 
 
-@query("locate_evidence", f"""with {CHUNKS_SQL}, l as ({LOCATORS}), f as (select file_id, block_id, chunk_id, chunk_text from chunks where chunk_index = 0)
+@query("locate_evidence", f"""with {CHUNKS_SQL}, l as ({LOCATORS}), n as (select file_id, count(*) as n from chunks group by 1), f as (select file_id, block_id, chunk_text from chunks where chunk_index = 0)
 select l.evidence_id, locator_type, case when coalesce(case when locator_type = 'excel' then s.s_name else coalesce(c.chunk_text, b.chunk_text, p.p_name) end, '') = '' then 'UNAVAILABLE' else 'located' end as status,
   case when locator_type = 'excel' then s.s_name else coalesce(c.chunk_text, b.chunk_text, p.p_name) end as text
-from l left join f c on locator_type = 'txt' and c.file_id = l.file_id left join f b on b.file_id = l.file_id and b.block_id = l.block_id
+from l left join n using (file_id) left join chunks c on locator_type = 'txt' and c.file_id = l.file_id and c.chunk_index = l.evidence_id // 4 % n left join f b on b.file_id = l.file_id and b.block_id = l.block_id
 left join {{supplier}} s on table_name = 't' || s_nationkey and cell = 'A' || s_suppkey left join {{part}} p on region_id = 'r' || p_partkey""")
 def locate_evidence(t):
     chunks = doc_chunks(t)
-    first = chunks.filter("chunk_index = 0").select("file_id", F.col("chunk_id").alias("cid"))
-    e = t.sql(LOCATORS).withColumnRenamed("table_name", "table").join(first, "file_id", "left").withColumn(
-        "chunk_id", F.when(F.col("locator_type") == "txt", F.col("cid"))).drop("cid")
+    # the evidence of a file is spread over all its chunks
+    sizes = chunks.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
+    named = chunks.select("file_id", "chunk_index", F.col("chunk_id").alias("cid"))
+    e = (t.sql(LOCATORS).withColumnRenamed("table_name", "table").join(sizes, "file_id", "left")
+         .withColumn("chunk_index", F.floor(F.col("evidence_id") / 4) % F.col("n")).join(named, ["file_id", "chunk_index"], "left")
+         .withColumn("chunk_id", F.when(F.col("locator_type") == "txt", F.col("cid"))).drop("cid", "n", "chunk_index"))
     cells = t.supplier.select(F.concat(F.lit("t"), "s_nationkey").alias("table"), F.concat(F.lit("A"), "s_suppkey").alias("cell"), F.col("s_name").alias("text"))
     return ev.locate(e, chunks, cells, t.part.select(F.concat(F.lit("r"), "p_partkey").alias("region_id"), F.col("p_name").alias("text")))
 

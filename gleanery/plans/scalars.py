@@ -171,17 +171,19 @@ BLOCK_SQL = """substr(sha256('{"bbox": null, "block_type": "paragraph", "content
 
 
 @query("stable_block_chunk_ids", f"""
-with b as (select doc_id, text, {BLOCK_SQL} as block_id from {{documents}})
-select doc_id, block_id, substr(sha256(block_id || ':0:' || sha256(substr(text, 1, 900))), 1, 32) as chunk_id,
-       substr(sha256('doc-' || doc_id || ':cell:1:2'), 1, 32) as cell_id from b""")
+with b as (select doc_id, text, {BLOCK_SQL} as block_id, unnest(range(0, greatest(ceil(length(text) / 800.0)::bigint, 1))) as chunk_index from {{documents}})
+select doc_id, block_id, chunk_index, substr(sha256(block_id || ':' || chunk_index || ':' || sha256(substr(text, chunk_index * 800 + 1, 900))), 1, 32) as chunk_id,
+       substr(sha256('doc-' || doc_id || ':cell:' || chunk_index || ':2'), 1, 32) as cell_id from b""")
 def stable_block_chunk_ids(t):
+    """The ids of every chunk of every document."""
     none = F.lit(None)
-    d = t.documents.select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id")).alias("file_id"), "text")
-    d = d.withColumn("block_id", ids.block_id(F.col("file_id"), F.lit(0), F.lit("paragraph"), F.col("text"),
+    d = t.documents.select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id")).alias("file_id"), F.col("text").alias("content"))
+    d = d.withColumn("block_id", ids.block_id(F.col("file_id"), F.lit(0), F.lit("paragraph"), F.col("content"),
                                               none, none, F.lit("v5-text-parser")))
-    return d.select("doc_id", "block_id",
-                    ids.chunk_id(F.col("block_id"), F.lit(0), ids.text_hash(F.substring("text", 1, 900))).alias("chunk_id"),
-                    ids.cell_id(F.col("file_id"), F.lit(1), F.lit(2)).alias("cell_id"))
+    parts = block_chunks(d, ["doc_id", "file_id", "block_id"])
+    return parts.select("doc_id", "block_id", F.col("chunk_index").cast("bigint").alias("chunk_index"),
+                        ids.chunk_id(F.col("block_id"), F.col("chunk_index"), ids.text_hash(F.col("chunk_text"))).alias("chunk_id"),
+                        ids.cell_id(F.col("file_id"), F.col("chunk_index"), F.lit(2)).alias("cell_id"))
 
 
 @query("text_hash", "select doc_id, sha256(text) as text_hash from {documents}")
