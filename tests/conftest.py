@@ -8,12 +8,16 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import SparkSession  # noqa: E402
 
+from gleanery.operators.storage import clear_stages  # noqa: E402
+
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "4")
+               .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
                .config("spark.driver.memory", "8g").config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate())
     session.sparkContext.setLogLevel("OFF")
     yield session
+    clear_stages(session)
     session.stop()
