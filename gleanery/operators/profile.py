@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleanery.functions.semantics import field_semantics, semantics_columns
-from gleanery.functions.text import strip
+from gleanery.functions.semantics import semantics_columns
+from gleanery.functions.text import is_blank, strip
 from gleanery.functions.values import cell_kind, type_of_kinds
 
 
@@ -32,17 +32,16 @@ def _type_name(kind: T.DataType) -> str:
 
 
 def value_counts(df: DataFrame) -> DataFrame:
-    """(source_name, source_index, canonical_name, value, n): how often each column holds each stripped text; null for blanks.
+    """(source_name, source_index, value, n): how often each column holds each stripped text; null for blanks.
 
-    The one pass over the cells that profiles and checks share. A name's meaning is folded
-    into the plan, so it costs nothing per cell.
+    The one pass over the cells that profiles and checks share.
     """
     cells = F.array(*[
-        F.struct(F.lit(c).alias("source_name"), F.lit(i).alias("source_index"), field_semantics(F.lit(c))["canonical_name"].alias("canonical_name"),
+        F.struct(F.lit(c).alias("source_name"), F.lit(i).alias("source_index"),
                  F.col(f"`{c}`").cast("string").alias("value")) for i, c in enumerate(df.columns, start=1)])
-    stripped = F.nullif(strip(F.col("c.value")), F.lit(""))
-    return (df.select(F.explode(cells).alias("c")).select("c.source_name", "c.source_index", "c.canonical_name", stripped.alias("value"))
-            .groupBy("source_name", "source_index", "canonical_name", "value").agg(F.count(F.lit(1)).alias("n")))
+    stripped = F.when(~is_blank(F.col("c.value")), strip(F.col("c.value")))
+    return (df.select(F.explode(cells).alias("c")).select("c.source_name", "c.source_index", stripped.alias("value"))
+            .groupBy("source_name", "source_index", "value").agg(F.count(F.lit(1)).alias("n")))
 
 
 def field_profile(df: DataFrame, semantics: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.functions.semantics import field_semantics
 from gleanery.functions.text import norm_key, strip
 from gleanery.functions.values import cell_kind, type_of_kinds
 from gleanery.operators.profile import value_counts
@@ -35,7 +36,7 @@ def column_facts(df: DataFrame) -> DataFrame:
     """
     value, meaning, filled = F.col("value"), F.col("canonical_name"), F.col("value").isNotNull()
     kind = cell_kind(value)
-    counts = value_counts(df).select("*", F.when(filled, kind).alias("kind"))
+    counts = value_counts(df).select("*", F.when(filled, kind).alias("kind"), field_semantics(F.col("source_name"))["canonical_name"].alias("canonical_name"))
     number = value.try_cast("double")
     wrong_range = (meaning == "score") & (~F.col("kind").isin("integer", "number") | ~number.between(0, 100))
     wrong_contact = ((meaning == "phone") & ~contact_valid("phone", value)) | ((meaning == "email") & ~contact_valid("email", value))
