@@ -5,8 +5,9 @@ share becomes an exact number of blocks of each source. A tree splits these quot
 output shards: at every node the left half draws its blocks without replacement, source
 by source, so each shard gets exactly its number of blocks, in random proportions that
 add up to the quotas. Shards then take disjoint runs of each source's blocks in a random
-permutation, and order their blocks by hash. All of it is DataFrame expressions; random
-values are hashes, so reruns agree.
+permutation: the words of these blocks are cut out of the texts, sent to their shard and
+put there in hash order of the blocks. All of it is DataFrame expressions; random values
+are hashes, so reruns agree.
 """
 
 from __future__ import annotations
@@ -169,10 +170,16 @@ def _rank(block: Column, turn: Column, seed: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), block, swap)
 
 
+def _row_hash(doc_id: str, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), doc_id, F.coalesce("text", F.lit("")))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, shards: int = SHARDS,
         block_words: int = BLOCK_WORDS, least_blocks: int = LEAST_BLOCKS, seed: int = 0) -> DataFrame:
-    """One row per document: doc_id, source, size (words), source_size, target (its source's), and
-    ``pieces``: what the mix takes of it, each (shard, place, turn, block, word_from, word_to).
+    """The plan, one row per document: doc_id, source, size (words), source_size, target (its source's),
+    ``pieces``: what the mix takes of it, each (shard, place, turn, block, word_from, word_to), and what
+    ``shard_texts`` finds the text by: ``row_hash`` (of doc_id and text), source_no and ``at``, the words before it
+    in its source.
 
     A word is a run of characters other than ASCII white space; null texts have none. Pieces of a
     shard are read by ``place``. Each source gives a whole number of blocks, so its words come
@@ -181,7 +188,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     """
     text = F.coalesce("text", F.lit(""))
     sized = settle(docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-                               F.xxhash64(F.lit(seed), "doc_id", text).alias("hash")))
+                               _row_hash("doc_id", seed).alias("hash")))
     targets = settle(source_targets(sized, weights, share, float(most)))
     blocks = F.least(F.col("source_size"), F.greatest(F.lit(least_blocks).cast("long"), F.ceil(F.col("source_size") / block_words)))
     wanted = F.round(F.try_divide(F.col("target") * F.col("blocks"), F.col("source_size"))).cast("long")
@@ -214,21 +221,49 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     touched = F.sequence(_block_of(F.col("at")), _block_of(F.col("at") + F.col("size") - 1))
     found = F.flatten(F.transform(touched, lambda b: F.array(*[piece(b, t) for t in range(most)])))
     pieces = F.when(F.col("size") > 0, F.filter(found, lambda p: p.isNotNull()))
-    return placed.select("doc_id", "source", "size", "source_size", "target", pieces.alias("pieces"))
-
+    return placed.select("doc_id", "source", "size", "source_size", "target", pieces.alias("pieces"),
+                         F.col("hash").alias("row_hash"), "source_no", "at")
 
-def taken_words(mixed: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, ``taken`` (words the mix takes, repeats counted) and ``shards`` it goes to."""
-    words = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["word_to"] - p["word_from"])
-    return mixed.select("doc_id", "size", "source_size", "target", F.coalesce(words, F.lit(0).cast("long")).alias("taken"),
-                        F.coalesce(F.size(F.array_distinct("pieces.shard")), F.lit(0)).alias("shards"))
 
+def shard_texts(docs: DataFrame, mixed: DataFrame, seed: int = 0) -> DataFrame:
+    """The mix itself, one row per piece of a document: shard, place, turn, block, doc_id, source, size (the document's
+    words), source_size, target, word_from, ``taken`` (words of the piece) and ``text``, its words joined by blanks; also
+    source_no and at, which tell one document row from all others.
 
-def shard_texts(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mix itself: (shard, place, turn, block, doc_id, word_from, text), one row per piece, with the words joined by blanks.
-
-    Written by ``repartition("shard").sortWithinPartitions("shard", "place", "doc_id")`` or any finer dealing."""
-    words = docs.select(F.col("doc_id").alias("text_id"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)).alias("words"))
-    rows = mixed.select("doc_id", F.explode("pieces").alias("p")).join(words, F.col("doc_id").eqNullSafe(F.col("text_id")))
-    part = F.slice("words", (F.col("p.word_from") + 1).cast("int"), (F.col("p.word_to") - F.col("p.word_from")).cast("int"))
-    return rows.select("p.shard", "p.place", "p.turn", "p.block", "doc_id", "p.word_from", F.array_join(part, " ").alias("text"))
+    ``docs`` and ``seed`` are those of the plan ``mixed``. Texts are cut in one pass per document and dealt by shard and
+    range of places, so that a shard may fill many tasks; the rows of a partition stand by shard, place and document.
+    Repeated rows, and rows that share a doc_id, each give the words that the plan takes of them.
+    """
+    texts = docs.select(F.col("doc_id").alias("text_id"), _row_hash("doc_id", seed).alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
+    # A row of the plan has to meet its text once: the texts of repeated rows are told apart by nothing, so one stands for all.
+    repeated = settle(mixed.groupBy(F.col("row_hash").alias("text_hash")).count().filter("count > 1").select("text_hash"))
+    single = texts.join(repeated, "text_hash", "left_anti").select(texts.columns)
+    several = texts.join(repeated, "text_hash", "left_semi").select(texts.columns).dropDuplicates(["text_hash", "text_id"])
+    met = (mixed.filter(F.size("pieces") > 0)
+           .join(single.unionByName(several), (F.col("row_hash") == F.col("text_hash")) & F.col("doc_id").eqNullSafe(F.col("text_id"))))
+
+    def cut(words: Column) -> Column:
+        part = lambda p: F.slice(words, (p["word_from"] + 1).cast("int"), (p["word_to"] - p["word_from"]).cast("int"))
+        return F.transform("pieces", lambda p: F.struct(
+            p["shard"].alias("shard"), p["place"].alias("place"), p["turn"].alias("turn"), p["block"].alias("block"),
+            p["word_from"].alias("word_from"), F.array_join(part(p), " ").alias("text")))
+
+    drawn = met.select("doc_id", "source", "size", "source_size", "target", "source_no", "at",
+                       F.explode(_let(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), cut)).alias("p"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stretch = F.floor((F.col("p.place").cast("double") / float(1 << 64) + 0.5) * tasks)
+    return (drawn.repartition(tasks, "p.shard", stretch)
+            .select("p.shard", "p.place", "p.turn", "p.block", "doc_id", "source", "size", "source_size", "target", "p.word_from",
+                    F.regexp_count("p.text", F.lit(WORD)).cast("long").alias("taken"), "p.text", "source_no", "at")
+            .sortWithinPartitions("shard", "place", "at"))
+
+
+def taken_words(mixed: DataFrame, pieces: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target, ``taken`` (words of its ``pieces`` as drawn by ``shard_texts``, repeats counted) and
+    the number of ``shards`` they went to, for every document of the plan."""
+    counts = (pieces.groupBy(F.col("source_no").alias("from_no"), F.col("at").alias("from_at"))
+              .agg(F.sum("taken").alias("taken"), F.size(F.collect_set("shard")).alias("shards")))
+    same = (F.col("source_no") == F.col("from_no")) & (F.col("at") == F.col("from_at")) & (F.col("size") > 0)
+    return mixed.join(counts, same, "left").select(
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"),
+        F.coalesce("shards", F.lit(0)).alias("shards"))

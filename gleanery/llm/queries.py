@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gleanery.llm import (alignment, chat, decontaminate, linededup, mixing, neardup, packing, privacy, revisits, syncmers, toxicity,
                           urlfilter, whitening)
 from gleanery.llm.words import small_batches
+from gleanery.operators.storage import settle
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,7 +86,9 @@ from judged
 
 
 def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.taken_words(mixing.mix(_table(spark, sf_dir, "documents")))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    mixed = settle(mixing.mix(docs))
+    return mixing.taken_words(mixed, mixing.shard_texts(docs, mixed))
 
 
 def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

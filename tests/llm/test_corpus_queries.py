@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from comparing import compare, connect
 from helpers import words
+from test_mixing import WORD
 from test_packing import check as packed_rows
 
 import __spark_entry__ as entry
@@ -56,5 +57,12 @@ def test_pipeline_stages(spark):
     assert near == []
     items = [r["text"] for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
     assert not any(item in r["text"] for item in items for r in seen["decontamination"].collect())
-    assert seen["mixing"].count() == seen["decontamination"].count()
-    assert sorted(corpus_pipeline.run(spark, SF_DIR).collect()) == sorted(seen["mixing"].collect())
+    left = {r["doc_id"]: WORD.findall(r["text"] or "") for r in seen["decontamination"].collect()}
+    pieces = seen["mixing"].collect()
+    for r in pieces:
+        assert r["text"].split(" ") == left[r["doc_id"]][r["word_from"]:r["word_from"] + r["taken"]] and r["size"] == len(left[r["doc_id"]])
+    for source, target in {(r["source"], r["target"]) for r in pieces}:
+        mine = [r for r in pieces if r["source"] == source]
+        assert abs(sum(r["taken"] for r in mine) - target) <= max(2, 0.005 * mine[0]["source_size"])
+    key = lambda r: (r["shard"], r["place"], r["at"])
+    assert sorted(corpus_pipeline.run(spark, SF_DIR).collect(), key=key) == sorted(pieces, key=key)

@@ -5,6 +5,7 @@ from helpers import prose
 from pyspark.sql import functions as F
 
 from gleanery.llm.mixing import _uniform, hypergeometric, mix, shard_texts, split_quotas, taken_words
+from gleanery.operators.storage import settle
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -32,9 +33,15 @@ def corpus(spark):
     return rows, df.selectExpr("*", "'x' as size", "1 as hash", "1 as slice", "1 as target", "1 as blocks")
 
 
+def drawn(docs, **settings):
+    mixed = settle(mix(docs, **settings))
+    return mixed, shard_texts(docs, mixed)
+
+
 def test_targets_and_words_taken(spark):
     rows, docs = corpus(spark)
-    got = taken_words(mix(docs)).collect()
+    mixed, pieces = drawn(docs)
+    got = taken_words(mixed, pieces).collect()
     sizes = {}
     for _, text, source in rows:
         sizes[source] = sizes.get(source, 0) + len(WORD.findall(text or ""))
@@ -52,20 +59,45 @@ def test_targets_and_words_taken(spark):
     assert sorted(r["size"] for r in got) == sorted(len(WORD.findall(t or "")) for _, t, _ in rows)
     for s, n in sizes.items():
         assert abs(taken[s] - target[s]) <= max(2, 0.005 * n), (s, taken[s], target[s])
-    again = taken_words(mix(docs.repartition(7))).collect()
+    again = taken_words(*drawn(docs.repartition(7))).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
 def test_shards_hold_disjoint_blocks_of_exact_number(spark):
-    _, docs = corpus(spark)
-    docs = docs.filter("doc_id is not null and doc_id <> 1")
-    mixed = mix(docs, shards=5)
-    texts = shard_texts(docs, mixed).collect()
-    assert sum(len(WORD.findall(r["text"])) for r in texts) == sum(r["taken"] for r in taken_words(mixed).collect())
-    pieces = mixed.select("source", F.explode("pieces").alias("p")).select("source", "p.shard", "p.turn", "p.block").distinct().collect()
-    assert len({(r["source"], r["turn"], r["block"]) for r in pieces}) == len(pieces)
-    per_shard = np.bincount([r["shard"] for r in pieces], minlength=5)
+    rows, docs = corpus(spark)
+    mixed, texts = drawn(docs, shards=5)
+    got = texts.withColumn("task", F.spark_partition_id()).collect()
+    planned = mixed.select("doc_id", "source", "source_no", "at", F.explode("pieces").alias("p")).select("*", "p.*").collect()
+    # every planned piece is drawn once with the words of its document, whatever rows repeat or share a doc_id
+    words = {}
+    for doc_id, text, source in rows:
+        words.setdefault((doc_id, source), []).append(WORD.findall(text or ""))
+    key = lambda r: (r["source_no"], r["at"], r["turn"], r["block"], r["word_from"])
+    wanted = {key(r): r for r in planned}
+    assert len(wanted) == len(planned) == len(got) and set(wanted) == set(map(key, got))
+    for r in got:
+        piece = wanted[key(r)]
+        choices = [" ".join(w[r["word_from"]:piece["word_to"]]) for w in words[r["doc_id"], r["source"]]]
+        assert r["text"] in choices and r["taken"] == piece["word_to"] - piece["word_from"] == len(WORD.findall(r["text"]))
+        assert (r["shard"], r["place"]) == (piece["shard"], piece["place"])
+    blocks = {(r["source_no"], r["turn"], r["block"]): r["shard"] for r in planned}
+    assert len({(r["source_no"], r["turn"], r["block"], r["shard"]) for r in planned}) == len(blocks)
+    per_shard = np.bincount(list(blocks.values()), minlength=5)
     assert per_shard.max() - per_shard.min() <= 1
+    # partitions hold their pieces by shard and place, and a block stays together
+    for task in {r["task"] for r in got}:
+        places = [(r["shard"], r["place"], r["at"]) for r in got if r["task"] == task]
+        assert places == sorted(places)
+    assert len({(r["source_no"], r["turn"], r["block"], r["task"]) for r in got}) == len(blocks)
+
+
+def test_rows_that_repeat_give_their_own_words(spark):
+    rows = [(1, prose(1, 900), "a"), (1, prose(2, 1200), "a"), (1, prose(1, 900), "a"), (2, prose(3, 700), "b"), (None, prose(4, 60), "b"), (None, prose(4, 60), "b")]
+    mixed, pieces = drawn(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    plan = mixed.select("size", F.expr("aggregate(pieces, 0L, (a, p) -> a + p.word_to - p.word_from)").alias("n")).collect()
+    got = pieces.collect()
+    assert sum(r["n"] for r in plan) == sum(r["taken"] for r in got) == sum(len(WORD.findall(r["text"])) for r in got)
+    assert sorted((r["size"], r["n"]) for r in plan) == sorted((r["size"], r["taken"]) for r in taken_words(mixed, pieces).collect())
 
 
 def test_quotas_add_up_and_look_hypergeometric(spark):
@@ -85,6 +117,6 @@ def test_quotas_add_up_and_look_hypergeometric(spark):
 
 def test_empty_and_wordless_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
-    assert taken_words(mix(none)).count() == 0
+    assert taken_words(*drawn(none)).count() == 0
     bare = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
-    assert sorted((r["doc_id"], r["size"], r["target"], r["taken"]) for r in taken_words(mix(bare)).collect()) == [(1, 0, 0.0, 0), (2, 0, 0.0, 0)]
+    assert sorted((r["doc_id"], r["size"], r["target"], r["taken"]) for r in taken_words(*drawn(bare)).collect()) == [(1, 0, 0.0, 0), (2, 0, 0.0, 0)]
