@@ -1,7 +1,7 @@
 """Corpus pipeline: toxicity, line dedup, near-dedup, benchmark decontamination, mixing.
 
 Every stage takes (spark, docs, sf_dir) and returns the documents it keeps, with their
-columns; the last returns the mix. ``run`` writes each stage's result as Parquet in the
+columns; the last returns the mix itself, its pieces of text dealt to shards. ``run`` writes each stage's result as Parquet in the
 shared folder and reads it again for the next one.
 
 All stages: an empty table gives an empty one. A null or empty text has no words, n-grams
@@ -69,8 +69,10 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken and shards of every document left."""
-    return mixing.taken_words(mixing.mix(docs))
+    """The mix: a row per piece drawn, with its shard, place, text and words taken, beside doc_id, source, size, source_size
+    and target. Partitions hold their pieces by shard and place. Documents that the mix takes nothing of are not in it."""
+    own = docs.select("doc_id", "text", "source")
+    return mixing.shard_texts(own, settle(mixing.mix(own)))
 
 
 STAGES = [
