@@ -165,6 +165,16 @@ def _rewrite(min_chars: int):
     return run
 
 
+def _counted(lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """Lines with ``n``, how many documents a row adds to its key's count: 1, but for doc_ids of several rows, which add 1 once."""
+    shared = settle(docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"))
+    several = lines.join(shared, "doc_id", "left_semi")
+    parts = [(lines.join(shared, "doc_id", "left_anti"), 1), (several, 0),
+             (several.groupBy("h1", "h2", "doc_id").agg(F.min("part").alias("part")), 1)]
+    single, asked, counted = (rows.select("h1", "h2", "part", "doc_id", F.lit(n).cast("long").alias("n")) for rows, n in parts)
+    return single.unionByName(asked).unionByName(counted)
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """Documents without the lines that other documents hold as well.
 
@@ -173,15 +183,16 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     lines, except in the largest doc_id that holds them. Returns the columns of ``docs`` with
     the kept text, and ``n_lines`` (before dropping) and ``n_dropped``; columns of these two
     names or named ``part`` in ``docs`` are replaced. A null text is left null and counts as one
-    empty line; every row counts as a document, repeated rows too; a key held only by rows
-    without doc_id stays in all of them. Line breaks other than \\n stay inside lines.
+    empty line; rows that share a doc_id are one document, each row without doc_id is one of its
+    own; a key held only by rows without doc_id stays in all of them. Line breaks other than \\n
+    stay inside lines.
     """
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_dropped", "part")
     parts = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.withColumn("part", _part(parts))
     lines = settle(dealt.select("doc_id", "text", "part").mapInArrow(_gather(min_chars), "h1 long, h2 long, part int, doc_id long"))
-    probes = settle(lines.groupBy("h1", "h2", "part").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")))
+    probes = settle(_counted(lines, docs).groupBy("h1", "h2", "part").agg(F.sum("n").alias("n"), F.max("doc_id").alias("keeper")))
     shards = 1 + probes.count() // SHARD_PROBES
     shard = F.pmod("h1", F.lit(shards)).cast("int").alias("shard")
     index = (probes.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"))

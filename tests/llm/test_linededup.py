@@ -17,7 +17,7 @@ def plain(rows, min_chars=20, min_docs=3):
     out = []
     for doc_id, text in rows:
         lines = (text or "").split("\n")
-        gone = [len(held.get(k, ())) >= min_docs and max(i for i in held[k] if i is not None) != doc_id for k in keys(text)]
+        gone = [len({i for i in held.get(k, ()) if i is not None}) + held.get(k, []).count(None) >= min_docs and max(i for i in held[k] if i is not None) != doc_id for k in keys(text)]
         kept = "\n".join(x for x, g in zip(lines, gone) if not g)
         out.append((doc_id, len(lines), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
     return sorted(out, key=str)
@@ -42,6 +42,14 @@ def test_repeated_rows_and_missing_ids(spark):
     assert got == [(0, OTHER)] * 3 + [(1, LINE)] * 3
 
 
+def test_rows_of_one_doc_id_are_one_document(spark):
+    rows = [(1, LINE), (1, f"{LINE}\nmore"), (2, LINE), (3, OTHER), (3, f"{OTHER}\nx"), (4, OTHER), (4, OTHER), (5, f"y\n{OTHER}"), (None, LINE + LINE), (6, LINE + LINE), (6, LINE + LINE)]
+    out = dedup_lines(docs_frame(spark, rows)).collect()
+    got = sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in out), key=str)
+    assert got == plain(rows)
+    assert [sum(r["n_dropped"] for r in out if r["doc_id"] == i) for i in (1, 2, 3, 4, 5, 6)] == [0, 0, 2, 2, 0, 0]
+
+
 def test_empty_table(spark):
     assert dedup_lines(docs_frame(spark, [])).count() == 0
 
