@@ -28,6 +28,14 @@ def canonical_url(url: str | Column) -> Column:
     return F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
+#: What a judgement rests on. A record_id alone may stand on several records.
+IDENTITY = ("record_id", "uri", "date", "etag", "modified")
+
+
+def _identity(*columns: str) -> Column:
+    return F.struct(*[F.col(c).alias(name) for c, name in zip(columns, IDENTITY)])
+
+
 def _strong(etag: Column) -> Column:
     return F.regexp_replace(etag, r"\AW/", "")
 
@@ -41,7 +49,8 @@ def resolve_revisits(records: DataFrame, slices: int | None = None) -> DataFrame
     last-modified), ``changed`` where they differ, ``unchecked`` where no validator stands on both sides, and ``orphan``
     without an earlier response. Headers are the response's, updated by those that a not-modified answer may carry, when
     resolved or unchecked; otherwise the revisit's own. Records without URL or date resolve nothing: such revisits
-    are orphans. Repeated records give repeated rows.
+    are orphans. Repeated records give repeated rows; records that share a record_id are judged each by its own URL, date
+    and validators. Of responses equal in all of these, the one of least digest and headers answers.
     """
     n = slices or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     etag = F.try_element_at("headers", F.lit("etag"))
@@ -63,11 +72,14 @@ def resolve_revisits(records: DataFrame, slices: int | None = None) -> DataFrame
     met = met.join(carried, ["uri", "slice"], "left").withColumn("found", F.coalesce("found", "carried"))
     agree = F.coalesce(F.col("etag") == F.col("found.etag"), F.col("modified") == F.col("found.modified"))
     status = (F.when(F.col("found").isNull(), "orphan").when(agree.isNull(), "unchecked").when(agree, "resolved").otherwise("changed"))
-    judged = settle(met.select("record_id", F.col("found.record_id").alias("response_id"), status.alias("status")).distinct())
-    stored = keyed.filter("full").select(F.col("record_id").alias("response_id"), F.col("headers").alias("stored"), "digest").dropDuplicates(["response_id"])
-    wanted = settle(stored.join(judged.select("response_id").distinct(), "response_id", "left_semi"))
-    rows = (keyed.filter("not full").select("record_id", "uri", "headers").join(judged, "record_id", "left")
-            .join(wanted, "response_id", "left"))
+    response_key = F.when(F.col("found").isNotNull(), _identity("found.record_id", "uri", "found.date", "found.etag", "found.modified"))
+    judged = settle(met.select(_identity(*IDENTITY).alias("key"), response_key.alias("response"), status.alias("status")).distinct())
+    stored = (keyed.filter("full").select(_identity(*IDENTITY).alias("response"), F.struct(F.col("headers").alias("stored"), "digest").alias("body"))
+              .join(judged.select("response").distinct(), "response", "left_semi"))
+    wanted = settle(stored.groupBy("response").agg(F.min_by("body", F.struct("body.digest", header_lines("body.stored"))).alias("body")))
+    rows = (keyed.filter("not full").select(_identity(*IDENTITY).alias("key"), "record_id", "uri", "headers").join(judged, "key", "left")
+            .join(wanted, "response", "left")
+            .select("record_id", "uri", F.col("response.record_id").alias("response_id"), "status", "headers", "body.stored", "body.digest"))
     used = F.col("status").isin("resolved", "unchecked")
     fresh = F.map_filter("headers", lambda k, _: k.isin(*PERMITTED))
     kept = F.map_filter("stored", lambda k, _: ~F.map_contains_key(fresh, k))

@@ -50,3 +50,15 @@ def test_repeats_and_empty(spark):
     got = resolve_revisits(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((x["record_id"], x["status"]) for x in got) == [(2, "resolved")] * 3 + [(3, "orphan")]
     assert resolve_revisits(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_records_that_share_an_id(spark):
+    rows = [(1, "response", "a", 1, {"etag": "x"}, "p"), (1, "response", "b", 1, {"etag": "y"}, "q"), (1, "response", "b", 1, {"etag": "y"}, "r"),
+            (2, "revisit", "a", 2, {"etag": "x"}, None), (2, "revisit", "b", 2, {"etag": "z"}, None), (2, "revisit", "b", 3, {}, None),
+            (2, "revisit", "b", 3, {"etag": "y"}, None), (2, "revisit", "c", 3, {"etag": "y"}, None), (None, "revisit", "a", 4, {"etag": "x"}, None)]
+    got = resolve_revisits(spark.createDataFrame(rows, SCHEMA)).collect()
+    digest = {x: hashlib.sha256(x.encode()).hexdigest() for x in "pqr"}
+    either = min(digest["q"], digest["r"])
+    assert sorted(((x["record_id"], x["uri"], x["response_id"], x["status"], x["digest"]) for x in got), key=str) == sorted([
+        (2, "a", 1, "resolved", digest["p"]), (2, "b", 1, "changed", None), (2, "b", 1, "unchecked", either), (2, "b", 1, "resolved", either),
+        (2, "c", None, "orphan", None), (None, "a", 1, "resolved", digest["p"])], key=str)
