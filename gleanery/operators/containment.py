@@ -5,6 +5,8 @@ that the fewest texts hold. A first walk over the texts counts the runs that phr
 a second one looks for the chosen runs; both test each position against a filter of the
 asked runs while they walk, so nothing leaves a text but its hits. A hit brings
 the bytes around it, as far as its longest phrase reaches, and is compared in full.
+Where phrases and texts meet in groups, this is left to groups with many of both; in
+all others each phrase is looked for in each text of its group.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from gleanery.operators.storage import settle
 RUNS = (24, 12, 6, 3, 1)
 #: Asked runs per walk, which bounds what is sent to tasks; more of them take further walks.
 WALK_RUNS = 2_000_000
+#: A group with at most that many phrases, or at most that many texts, is joined by its key instead of walked.
+FEW = 256
 _PIECE = 1 << 18
 _FILTER_BITS = 24
 _rng = np.random.default_rng(20250611)
@@ -181,15 +185,39 @@ def _volumes(keys: DataFrame, limit: int) -> list[Column]:
     return [F.pmod(F.xxhash64("key"), F.lit(n)) == i for i in range(n)]
 
 
-def containment(texts: DataFrame, phrases: DataFrame, on: Sequence[str] = (), carry: Sequence[str] = (), limit: int = WALK_RUNS) -> DataFrame:
+def containment(texts: DataFrame, phrases: DataFrame, on: Sequence[str] = (), carry: Sequence[str] = (), limit: int = WALK_RUNS, few: int = FEW) -> DataFrame:
     """Pairs where a text holds a whole phrase: (on..., carry..., phrase_id, text_id, n).
 
     ``texts`` has text_id, body and any columns to ``carry``, ``phrases`` has phrase_id and
     phrase; with ``on`` both meet only where these columns are equal. ``n`` counts
-    the places, overlapping ones too. Empty and null phrases are in no text. The texts are read
+    the places, overlapping ones too. Empty and null phrases are in no text. Groups of ``on`` with
+    more than ``few`` texts and more than ``few`` phrases, and all rows without ``on``, are walked: the texts are read
     twice for every ``limit`` runs that phrases offer and once for every ``limit`` chosen ones.
     """
-    on, carry, salted = list(on), list(carry), bool(on)
+    on, carry = list(on), list(carry)
+    if not on:
+        return _walked(texts, phrases, on, carry, limit)
+    phrases = settle(phrases.select(*on, "phrase_id", "phrase").filter("phrase <> ''"))
+    many = [df.groupBy(*on).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > few).select(*on) for df in (texts, phrases)]
+    large = settle(many[0].join(many[1], on))
+    if large.isEmpty():
+        return _joined(texts, phrases, on, carry)
+    small, big = ([df.join(large, on, how) for df in (texts, phrases)] for how in ("left_anti", "left_semi"))
+    return _joined(*small, on, carry).unionByName(_walked(*big, on, carry, limit))
+
+
+def _joined(texts: DataFrame, phrases: DataFrame, on: list[str], carry: list[str]) -> DataFrame:
+    """Each phrase looked for in each text of its group; stored, so that a task's share of a large group can be split."""
+    ahead = F.concat(F.lit(r"(?=\Q"), F.replace("phrase", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
+    met = texts.select(*on, *carry, "text_id", "body").join(phrases, on).filter(F.contains("body", "phrase"))
+    held = settle(met.select(*on, *carry, "phrase_id", "text_id", F.regexp_count("body", ahead).alias("n")))
+    group = [*on, "phrase_id", "text_id"]
+    found = held.groupBy(*group).agg(*[F.any_value(c).alias(c) for c in carry], F.sum("n").alias("n"))
+    return found.select(*on, *carry, "phrase_id", "text_id", "n")
+
+
+def _walked(texts: DataFrame, phrases: DataFrame, on: list[str], carry: list[str], limit: int) -> DataFrame:
+    salted = bool(on)
     salt = [F.xxhash64(*on).alias("salt")] if on else []
     names = [*on, "phrase_id"]
     offered = settle(phrases.select(*names, "phrase", *salt).mapInArrow(

@@ -48,6 +48,26 @@ def test_containment_within_groups_and_in_many_walks(spark):
     assert containment(spark.createDataFrame(texts, "g int, text_id int, body string, extra string"), none, ["g"]).collect() == []
 
 
+def test_containment_of_many_small_groups_takes_no_walk_and_large_groups_do(spark, monkeypatch):
+    from gleanery.operators import containment as module
+
+    rng = random.Random(6)
+    odd = ["", None, r"a\Eb\Q", "😀a😀", "aaaa", "(?=b)", "日b日b日"]
+    texts = [(g, i, x, f"x{i}") for g in range(40) for i, x in enumerate([*odd, *("".join(rng.choice("ab\\E") for _ in range(20)) for _ in range(3))])]
+    phrases = [(g, i, x) for g in range(45) for i, x in enumerate([*odd, r"\E", "aa", "a", "日b日", "ab"])]
+    texts += [(50, i, "".join(rng.choice("ab") for _ in range(30)), "y") for i in range(20)]
+    phrases += [(50, i, "".join(rng.choice("ab") for _ in range(rng.randint(1, 9)))) for i in range(20)]
+    of = lambda table, g: [(i, x) for h, i, x, *_ in table if h == g and x]
+    want = {(g, q, t, n) for g in [*range(40), 50] for q, t, n in found_in(of(texts, g), of(phrases, g))}
+    frames = spark.createDataFrame(texts, "g int, text_id int, body string, extra string"), spark.createDataFrame(phrases, "g int, phrase_id int, phrase string")
+    walks, walk = [], module._walked
+    monkeypatch.setattr(module, "_walked", lambda t, p, *a: (walks.append(sorted({r["g"] for r in p.collect()})), walk(t, p, *a))[1])
+    for few, large in ((256, []), (15, [[50]]), (0, [[*range(40), 50]])):
+        walks.clear()
+        got = containment(*frames, ["g"], few=few)
+        assert {(r["g"], r["phrase_id"], r["text_id"], r["n"]) for r in got.collect()} == want and walks == large
+
+
 def unit_vectors(rng, n, length):
     """Rows with one bucket in common."""
     out = np.zeros((n, 2048))
