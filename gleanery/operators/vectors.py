@@ -25,15 +25,38 @@ DIMENSIONS = 2048
 #: Query postings per walk, which bounds what is sent to tasks; more of them take further walks.
 WALK_POSTINGS = 1_000_000
 DIGITS = 8
-_ROWS = 1000
+#: Stored rows, tokens, and places of queries that a task holds in arrays at a time, and tokens whose buckets it remembers.
+_ROWS, _TOKENS, _PLACES, _KNOWN = 1000, 200_000, 1_000_000, 500_000
 _SLACK = 1e-7
 
 
+def _parts(batch: pa.RecordBatch, lists: str, most: int):
+    """Slices of a batch with about ``most`` list elements, or a single row with more."""
+    ends = np.cumsum(batch.column(lists).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        upto = min(max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")), at + 1), at + _ROWS, batch.num_rows)
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
+def _shares(sizes: np.ndarray, most: int):
+    """(first, last) of consecutive items whose sizes sum up to about ``most``, or of a single larger item."""
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        upto = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")), at + 1)
+        yield at, upto
+        at = upto
+
+
 def _vectors(keep: Sequence[str], dimensions: int):
     def run(batches):
         known: dict[str, int] = {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole, "tokens", _TOKENS)):
             tokens = batch.column("tokens")
+            if len(known) > _KNOWN:
+                known.clear()
             row = np.repeat(np.arange(len(tokens)), tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
             coded = tokens.flatten().dictionary_encode()
             buckets = np.empty(len(coded.dictionary), dtype=np.int64)
@@ -111,24 +134,39 @@ class QueryPostings:
         row, bucket, weight = row[order], bucket[order], weight[order]
         reach = np.searchsorted(self.place, bucket * self.scale - (1 - _SLACK) / np.maximum(tail, _SLACK), side="right")
         n = np.maximum(np.minimum(reach, self.start[bucket + 1]) - self.start[bucket], 0)
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[bucket], n)
-        pairs = np.unique(np.repeat(row, n) * len(self.floor) + self.posted[at])
-        self.candidates += len(pairs)
-        r, q = np.divmod(pairs, len(self.floor))
         dense = np.zeros((rows, self.dimensions))
         dense[row, bucket] = weight
-        size = self.first[q + 1] - self.first[q]
-        which = np.repeat(np.arange(len(pairs)), size)
-        at = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.first[q], size)
-        exact = np.bincount(which, dense[r[which], self.bucket[at]] * self.weight[at], minlength=len(pairs))
-        high = (exact >= self.least) & (exact >= self.floor[q])
-        r, q, score = r[high], q[high], exact[high]
+        found = []
+        # the postings are in the order of rows, so a share of whole rows has all of their pairs
+        first = np.searchsorted(row, np.arange(rows + 1))
+        upto = np.concatenate([[0], np.cumsum(n)])
+        for a, b in _shares(upto[first[1:]] - upto[first[:-1]], _PLACES):
+            here = slice(first[a], first[b])
+            m = n[here]
+            at = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(self.start[bucket[here]], m)
+            pairs = np.unique(np.repeat(row[here], m) * len(self.floor) + self.posted[at])
+            self.candidates += len(pairs)
+            for c, d in _shares(self._sizes(pairs % len(self.floor)), _PLACES):
+                found.append(self._exact(*np.divmod(pairs[c:d], len(self.floor)), dense))
+        r, q, score = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         if self.best and len(q):
             self._raise(q, score)
             high = score >= self.floor[q]
             r, q, score = r[high], q[high], score[high]
         return r, q, score
 
+    def _sizes(self, query: np.ndarray) -> np.ndarray:
+        return self.first[query + 1] - self.first[query]
+
+    def _exact(self, r: np.ndarray, q: np.ndarray, dense: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs that reach their floor, with their scores."""
+        size = self._sizes(q)
+        which = np.repeat(np.arange(len(q)), size)
+        at = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.first[q], size)
+        exact = np.bincount(which, dense[r[which], self.bucket[at]] * self.weight[at], minlength=len(q))
+        high = (exact >= self.least) & (exact >= self.floor[q])
+        return r[high], q[high], exact[high]
+
     def _raise(self, query: np.ndarray, score: np.ndarray) -> None:
         """Keep the best scores of the queries met; a full list lifts the floor to its least score."""
         met = np.unique(query)

@@ -1,12 +1,15 @@
 """Containment and similarity joins against plain versions over all pairs."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from gleanery.operators import retrieval as rt
 from gleanery.operators import vectors
 from gleanery.operators.containment import containment
+from gleanery.plans import all_queries
 
 
 def chunk_frame(spark, texts):
@@ -114,3 +117,37 @@ def test_best_vectors_in_many_walks(spark, monkeypatch):
     for r in rt.vector_retrieve(chunks.repartition(3), queries, 4).collect():
         got.setdefault(r["query_id"], []).append((-r["vector_score"], r["file_id"], r["chunk_index"]))
     assert {q: sorted(x) for q, x in got.items()} == {q: sorted(x)[:4] for q, x in want.items()}
+
+
+def traced_mb(use):
+    tracemalloc.start()
+    try:
+        return use(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_many_queries_and_long_texts_take_bounded_arrays():
+    rows, queries, half = 1000, 3000, 3 ** 0.5 / 2
+    asked = vectors.QueryPostings(np.repeat(np.arange(queries), 2), np.tile([0, 3], queries), np.tile([0.5, half], queries), queries, 0.5, None, 2048)
+    asked.query[-2:], asked.weight[-2:] = queries - 1, (1.0, 0.0)  # one query is near all rows
+    (r, q, score), peak = traced_mb(lambda: asked.meet(np.repeat(np.arange(rows), 2), np.tile([0, 1], rows), np.tile([0.5, half], rows), rows))
+    assert asked.candidates == rows * queries and peak < 160
+    assert r.tolist() == list(range(rows)) and set(q.tolist()) == {queries - 1} and np.allclose(score, 0.5)
+
+    tokens = pa.array([[f"t{(i * 7 + k) % 900}" for k in range(1000)] for i in range(2000)] + [None, []])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2002)), tokens], names=["id", "tokens"])
+    made, peak = traced_mb(lambda: [(b.column("id").to_pylist(), b.column("weights").value_lengths().to_pylist()) for b in vectors._vectors(["id"], 2048)([batch])])
+    assert sum((ids for ids, _ in made), []) == list(range(2002)) and made[-1][1][-2:] == [0, 0] and peak < 60
+
+
+def test_queries_hand_small_batches_to_python(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for given, held in (("10000", "1000"), ("0", "1000"), ("64", "64")):
+            spark.conf.set(name, given)
+            all_queries()["hash_embedding"](spark, "/root/testdata/sf0.001")
+            assert spark.conf.get(name) == held
+    finally:
+        spark.conf.set(name, before)
