@@ -115,7 +115,8 @@ def first_per_key(df: DataFrame, keys: Sequence[str], position: Column, last: bo
     Rows of equal position are told apart by their other columns, in column order.
     """
     rest = [c for c in df.columns if c not in keys]
-    pick = (F.max_by if last else F.min_by)(F.struct(*rest), F.struct(position, *rest))
+    # the position stands in front of the row, so that a row is held once
+    pick = (F.max if last else F.min)(F.struct(position.alias("__position"), *rest))
     out = df.groupBy(*keys).agg(pick.alias("__row"))
     return out.select(*keys, *[F.col("__row")[c].alias(c) for c in rest]).select(*df.columns)
 

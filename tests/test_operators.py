@@ -404,6 +404,13 @@ def test_one_region_per_chunk_and_total_orders(spark):
         assert rows(rk.first_per_key(df, ["k"], F.col("position"))) == [(1, 5, "a", 1)]
 
 
+def test_first_rows_are_held_once(spark):
+    df = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (2, None, "c"), (2, 7, None)], "k int, position int, t string")
+    first, last = (rk.first_per_key(df, ["k"], F.col("position"), last) for last in (False, True))
+    assert sorted(rows(first)) == [(1, 1, "a"), (2, None, "c")] and sorted(rows(last)) == [(1, 2, "b"), (2, 7, None)]
+    assert "min_by" not in first._jdf.queryExecution().toString()
+
+
 def test_large_integers_keep_their_order(spark):
     data = [(1, 2**53 + 1, 1), (1, 2**53, 2), (1, 2**53 + 2, 3), (1, 5, 4)]
     df = spark.createDataFrame(data, "g int, v bigint, t bigint")
