@@ -109,7 +109,9 @@ def page_title_parent(blocks: DataFrame) -> DataFrame:
 
 def label_value_fields(blocks: DataFrame) -> DataFrame:
     """``label: value`` lines of text blocks that have a box, with a review mark."""
-    lines = blocks.filter(F.col("block_type").isin("paragraph", "table", "unknown") & F.col("bbox").isNotNull()).select(
+    # a text without a colon has no such line, and leaves before its kind is told
+    named = blocks.filter(F.col("text").rlike("[:：]"))
+    lines = named.filter(F.col("block_type").isin("paragraph", "table", "unknown") & F.col("bbox").isNotNull()).select(
         "file_id", "block_id", "confidence", "review_required", "safe_for_high_impact",
         F.explode(F.split("text", r"\R")).alias("line")).filter(F.col("line").rlike(LABEL_VALUE))
     review = (F.col("review_required") | F.coalesce(F.col("confidence") < FIELD_CONFIDENCE, F.lit(True)) | ~F.col("safe_for_high_impact"))
