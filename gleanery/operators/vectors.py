@@ -5,17 +5,20 @@ these rows with a volume of query postings at hand. Buckets are ordered from rar
 common; from any bucket on, a pair can gain at most the product of what is left
 of both norms. Only pairs whose rarest common bucket still allows the score asked
 for become candidates, and these are scored exactly. With ``best``, the score asked for
-rises to the best-th score that the task has met for the query.
+rises to the best-th score that the task has met for the query. Against few queries the
+products of all common buckets are summed up instead, which is less work than telling
+the candidates. Rows may name the queries that they are for; no others meet them.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from gleanery.functions import text as tx
@@ -28,6 +31,10 @@ DIGITS = 8
 #: Stored rows, tokens, and places of queries that a task holds in arrays at a time, and tokens whose buckets it remembers.
 _ROWS, _TOKENS, _PLACES, _KNOWN = 1000, 200_000, 1_000_000, 500_000
 _SLACK = 1e-7
+#: Products and sums for each stored posting up to which all of a batch are made.
+_SUMMED = 64
+#: Queries that a row may name at a time, about.
+LISTED = 10_000
 
 
 def _parts(batch: pa.RecordBatch, lists: str, most: int):
@@ -120,31 +127,24 @@ class QueryPostings:
         bucket = self.bucket[order]
         by = np.lexsort((-ratio, bucket))
         self.posted, self.scale = self.query[order][by], float(max(ratio.max(initial=1), 1)) * 2
+        self.held = self.weight[order][by]
         self.place = bucket[by] * self.scale - ratio[by]
         self.start = np.searchsorted(bucket[by], np.arange(self.dimensions + 1))
 
-    def meet(self, row: np.ndarray, bucket: np.ndarray, weight: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, query, score) of the pairs that reach the floors."""
+    def meet(self, row: np.ndarray, bucket: np.ndarray, weight: np.ndarray, rows: int, allowed: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, query, score) of the pairs that reach the floors, among the ``allowed`` (row, query) where these are given; in the order of rows."""
         if self.rank is None:  # any order is right; that of the first batch is near enough
             self.rank = np.argsort(np.argsort(np.bincount(bucket, minlength=self.dimensions), kind="stable"))
         if not self.batches & (self.batches - 1):
             self._arrange()
         self.batches += 1
-        order, tail = _tails(row, self.rank[bucket], weight)
-        row, bucket, weight = row[order], bucket[order], weight[order]
-        reach = np.searchsorted(self.place, bucket * self.scale - (1 - _SLACK) / np.maximum(tail, _SLACK), side="right")
-        n = np.maximum(np.minimum(reach, self.start[bucket + 1]) - self.start[bucket], 0)
         dense = np.zeros((rows, self.dimensions))
         dense[row, bucket] = weight
+        only = None if allowed is None else np.unique(allowed[0] * len(self.floor) + allowed[1])
+        n = self.start[bucket + 1] - self.start[bucket]
+        few = n.sum() + rows * len(self.floor) <= _SUMMED * len(bucket)
         found = []
-        # the postings are in the order of rows, so a share of whole rows has all of their pairs
-        first = np.searchsorted(row, np.arange(rows + 1))
-        upto = np.concatenate([[0], np.cumsum(n)])
-        for a, b in _shares(upto[first[1:]] - upto[first[:-1]], _PLACES):
-            here = slice(first[a], first[b])
-            m = n[here]
-            at = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(self.start[bucket[here]], m)
-            pairs = np.unique(np.repeat(row[here], m) * len(self.floor) + self.posted[at])
+        for pairs in self._summed(row, bucket, weight, rows, n, only) if few else self._reached(row, bucket, weight, rows, only):
             self.candidates += len(pairs)
             for c, d in _shares(self._sizes(pairs % len(self.floor)), _PLACES):
                 found.append(self._exact(*np.divmod(pairs[c:d], len(self.floor)), dense))
@@ -155,6 +155,43 @@ class QueryPostings:
             r, q, score = r[high], q[high], score[high]
         return r, q, score
 
+    def _places(self, here: slice, bucket: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The first ``n`` query postings of each bucket."""
+        m = n[here]
+        return np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(self.start[bucket[here]], m)
+
+    def _summed(self, row: np.ndarray, bucket: np.ndarray, weight: np.ndarray, rows: int, n: np.ndarray, only: np.ndarray | None) -> Iterator[np.ndarray]:
+        """Pairs whose products sum up to their floors."""
+        order = np.argsort(row, kind="stable")
+        row, bucket, weight, n = row[order], bucket[order], weight[order], n[order]
+        queries = len(self.floor)
+        first = np.searchsorted(row, np.arange(rows + 1))
+        upto = np.concatenate([[0], np.cumsum(n)])
+        for a, b in _shares(upto[first[1:]] - upto[first[:-1]] + queries, _PLACES):
+            here = slice(first[a], first[b])
+            at = self._places(here, bucket, n)
+            pairs = np.repeat((row[here] - a) * queries, n[here]) + self.posted[at]
+            sums = np.bincount(pairs, np.repeat(weight[here], n[here]) * self.held[at], minlength=(b - a) * queries)
+            if only is None:
+                yield np.flatnonzero(sums.reshape(b - a, queries) >= self.floor - _SLACK) + a * queries
+            else:
+                some = only[slice(*np.searchsorted(only, (a * queries, b * queries)))]
+                yield some[sums[some - a * queries] >= self.floor[some % queries] - _SLACK]
+
+    def _reached(self, row: np.ndarray, bucket: np.ndarray, weight: np.ndarray, rows: int, only: np.ndarray | None) -> Iterator[np.ndarray]:
+        """Pairs whose rarest common bucket allows their floors."""
+        order, tail = _tails(row, self.rank[bucket], weight)
+        row, bucket, weight = row[order], bucket[order], weight[order]
+        reach = np.searchsorted(self.place, bucket * self.scale - (1 - _SLACK) / np.maximum(tail, _SLACK), side="right")
+        n = np.maximum(np.minimum(reach, self.start[bucket + 1]) - self.start[bucket], 0)
+        # the postings are in the order of rows, so a share of whole rows has all of their pairs
+        first = np.searchsorted(row, np.arange(rows + 1))
+        upto = np.concatenate([[0], np.cumsum(n)])
+        for a, b in _shares(upto[first[1:]] - upto[first[:-1]], _PLACES):
+            here = slice(first[a], first[b])
+            pairs = np.unique(np.repeat(row[here], n[here]) * len(self.floor) + self.posted[self._places(here, bucket, n)])
+            yield pairs if only is None else pairs[np.isin(pairs, only, assume_unique=True)]
+
     def _sizes(self, query: np.ndarray) -> np.ndarray:
         return self.first[query + 1] - self.first[query]
 
@@ -180,6 +217,17 @@ class QueryPostings:
         self.floor[met] = np.maximum(self.floor[met], self.top[met, -1] - 10.0 ** -DIGITS)
 
 
+def _named(batch: pa.RecordBatch, keys: pa.Array) -> tuple[np.ndarray, np.ndarray] | None:
+    """(row, query) of the queries that rows name, as far as they are among the keys."""
+    if "queries" not in batch.schema.names:
+        return None
+    lists = batch.column("queries")
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    place = pc.index_in(lists.flatten(), value_set=keys).to_numpy(zero_copy_only=False)
+    known = ~np.isnan(place.astype(float))
+    return row[known], place[known].astype(np.int64)
+
+
 def _search(keys: pa.Array, postings: tuple[np.ndarray, ...], least: float, best: int | None, keep: Sequence[str], key: str, dimensions: int):
     def run(batches):
         asked = QueryPostings(*postings, len(keys), least, best, dimensions)
@@ -188,7 +236,7 @@ def _search(keys: pa.Array, postings: tuple[np.ndarray, ...], least: float, best
                 batch = whole.slice(at, _ROWS)
                 buckets, weights = batch.column("buckets"), batch.column("weights")
                 row = np.repeat(np.arange(len(buckets)), buckets.value_lengths().to_numpy().astype(np.int64))
-                r, q, score = asked.meet(row, buckets.flatten().to_numpy().astype(np.int64), weights.flatten().to_numpy(), len(buckets))
+                r, q, score = asked.meet(row, buckets.flatten().to_numpy().astype(np.int64), weights.flatten().to_numpy(), len(buckets), _named(batch, keys))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(r)) for c in keep), keys.take(pa.array(q)), pa.array(score)],
                                                  names=[*keep, key, "score"])
     return run
@@ -199,12 +247,13 @@ def similar_vectors(vectors: DataFrame, queries: DataFrame, key: str, least: flo
 
     With ``best``, pairs that cannot be among the best so many of their query (ties included)
     may be missing. The vectors are read once for every ``WALK_POSTINGS`` postings of
-    queries, and nothing is shuffled.
+    queries, and nothing is shuffled. Where ``vectors`` have a list ``queries`` of keys (of their
+    type), a row meets no others.
     """
     asked = settle(queries.select(key, "buckets", "weights").filter(F.size("buckets") > 0))
     total = asked.agg(F.coalesce(F.sum(F.size("buckets")), F.lit(0)).alias("n")).first()["n"]
     volumes = -(-total // WALK_POSTINGS)
-    keep = [c for c in vectors.columns if c not in ("buckets", "weights")]
+    keep = [c for c in vectors.columns if c not in ("buckets", "weights", "queries")]
     schema = f"{_fields(vectors, keep)}, {_fields(queries, [key])}, score double"
     found = [vectors.sparkSession.createDataFrame([], schema)]
     for i in range(volumes):

@@ -5,6 +5,7 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from gleanery.operators import retrieval as rt
 from gleanery.operators import vectors
@@ -151,3 +152,19 @@ def test_queries_hand_small_batches_to_python(spark):
             assert spark.conf.get(name) == held
     finally:
         spark.conf.set(name, before)
+
+
+def test_summed_and_reached_pairs_are_the_same(monkeypatch):
+    rng = np.random.default_rng(12)
+    stored, queries = unit_vectors(rng, 600, 40), unit_vectors(rng, 30, 8)
+    flat = lambda m: tuple(x.astype(np.int64) for x in np.nonzero(m)) + (m[np.nonzero(m)],)
+    some = np.nonzero(rng.random((600, 30)) < 0.1)
+    for best, named in ((None, None), (None, some), (5, None), (5, some)):
+        got = []
+        for summed in (0, 10 ** 9):
+            monkeypatch.setattr(vectors, "_SUMMED", summed)
+            asked = vectors.QueryPostings(*flat(queries), 30, 0.12, best, 2048)
+            got.append([x.tolist() for x in asked.meet(*flat(stored), 600, named)])
+        assert got[0] == got[1] and len(got[0][0]) > 100
+        assert named is None or set(zip(*got[0][:2])) <= set(zip(*(x.tolist() for x in named)))
+    assert asked.candidates < 30 * 600 / 10
