@@ -16,7 +16,7 @@ from gleanery.functions import text as tx
 from gleanery.operators.containment import containment
 from gleanery.operators.ranking import top_n
 from gleanery.operators.storage import settle
-from gleanery.operators.vectors import similar_vectors, text_vectors
+from gleanery.operators.vectors import LISTED, similar_vectors, text_vectors
 
 RRF_K = 60
 VECTOR_MIN_SCORE = 0.12
@@ -92,23 +92,36 @@ def chunk_vectors(chunks: DataFrame) -> DataFrame:
     return text_vectors(chunks, "chunk_text", ("chunk_id", "file_id", "chunk_index"))
 
 
-def _searched(chunks: DataFrame, queries: DataFrame, vectors: DataFrame | None, best: int | None) -> DataFrame:
-    asked = text_vectors(queries, "query", ("query_id",))
-    found = similar_vectors(chunk_vectors(chunks) if vectors is None else vectors, asked, "query_id", VECTOR_MIN_SCORE, best)
+def _searched(vectors: DataFrame, queries: DataFrame, best: int | None) -> DataFrame:
+    found = similar_vectors(vectors, text_vectors(queries, "query", ("query_id",)), "query_id", VECTOR_MIN_SCORE, best)
     return found.withColumnRenamed("score", "vector_score")
 
 
 def vector_scores(chunks: DataFrame, queries: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
     """Cosine of hash vectors for chunk and query pairs at or above the least score."""
-    return _searched(chunks, queries, vectors, None).select("query_id", "chunk_id", "vector_score")
+    return _searched(chunk_vectors(chunks) if vectors is None else vectors, queries, None).select("query_id", "chunk_id", "vector_score")
+
+
+def named_in_scope(chunks: DataFrame, queries: DataFrame, scope: DataFrame) -> DataFrame:
+    """Chunks with the ``queries`` whose scope allows them; with very many queries a chunk has a row for each share of them."""
+    keys = [c for c in ("file_id", "page_no", "chunk_id") if c in scope.columns]
+    shares = max(1, -(-queries.count() // LISTED))
+    same = scope.select(F.col("query_id").cast(queries.schema["query_id"].dataType), *keys)
+    share = F.pmod(F.xxhash64("query_id"), F.lit(shares))
+    named = same.join(queries.select("query_id"), "query_id", "left_semi").groupBy(*keys, share.alias("__share")).agg(F.collect_set("query_id").alias("queries"))
+    return chunks.join(named, keys).drop("__share") if keys else chunks.join(named.drop("__share"))
 
 
 def vector_retrieve(chunks: DataFrame, queries: DataFrame, limit: int, scope: DataFrame | None = None,
                     vectors: DataFrame | None = None) -> DataFrame:
-    """The best chunks of each query; without a scope, only pairs that can still be among them are scored."""
-    scored = _searched(chunks, queries, vectors, limit if scope is None else None)
+    """The best chunks of each query; a scope names the pairs before they are scored, and only pairs that can still be among the best are."""
     if scope is not None:
-        scored = in_scope(scored, chunks, scope)
+        if vectors is None:
+            vectors = text_vectors(named_in_scope(chunks, queries, scope), "chunk_text", ("chunk_id", "file_id", "chunk_index", "queries"))
+        else:
+            paged = vectors.join(chunks.select("chunk_id", "page_no"), "chunk_id") if "page_no" in scope.columns else vectors
+            vectors = named_in_scope(paged, queries, scope).select(*vectors.columns, "queries")
+    scored = _searched(chunk_vectors(chunks) if vectors is None else vectors, queries, limit)
     return top_n(scored, ["query_id"], [F.col("vector_score").desc(), F.col("file_id"), F.col("chunk_index")], limit, "vector_position").select(
         "query_id", "chunk_id", "file_id", "chunk_index", "vector_score", "vector_position")
 

@@ -168,3 +168,21 @@ def test_summed_and_reached_pairs_are_the_same(monkeypatch):
         assert got[0] == got[1] and len(got[0][0]) > 100
         assert named is None or set(zip(*got[0][:2])) <= set(zip(*(x.tolist() for x in named)))
     assert asked.candidates < 30 * 600 / 10
+
+
+def test_a_scope_names_pairs_before_they_are_scored(spark, monkeypatch):
+    chunks = spark.createDataFrame([(f"c{i}", f"f{i % 4}", i, i % 3, " ".join(["red fox hen cow"[:4 + i % 12], "sky"])) for i in range(240)],
+                                   "chunk_id string, file_id string, chunk_index int, page_no int, chunk_text string")
+    queries = spark.createDataFrame([(i, "red fox sky") for i in range(6)], "query_id int, query string")
+    scope = spark.createDataFrame([(q, f"f{q % 4}", q % 3) for q in range(5)] + [(9, "f0", 0)], "query_id bigint, file_id string, page_no int")
+    every = {(r["query_id"], r["chunk_id"]): (-r["vector_score"], r["file_id"], r["chunk_index"])
+             for r in rt.vector_scores(chunks, queries).join(chunks, "chunk_id").collect() if (r["query_id"], r["file_id"], r["page_no"]) in {(q, f"f{q % 4}", q % 3) for q in range(5)}}
+    want = {(q, c) for q in range(5) for c in [c for _, c in sorted((place, c) for (p, c), place in every.items() if p == q)][:4]}
+    met = []
+    search = rt.similar_vectors
+    monkeypatch.setattr(rt, "similar_vectors", lambda *a: (met.append(search(*a)), met[-1])[1])
+    for listed, vectors_ in ((10_000, None), (2, None), (10_000, rt.chunk_vectors(chunks))):
+        monkeypatch.setattr(rt, "LISTED", listed)
+        got = rt.vector_retrieve(chunks, queries, 4, scope, vectors_)
+        assert {(r["query_id"], r["chunk_id"]) for r in got.collect()} == want and len(want) == 20
+        assert {(r["query_id"], r["chunk_id"]) for r in met[-1].collect()} <= set(every)
