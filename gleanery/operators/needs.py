@@ -132,7 +132,8 @@ def _filled_fields(chunks: DataFrame) -> Column:
 
 
 def _evidence_of(rows: DataFrame, chunks: DataFrame, asked: DataFrame) -> DataFrame:
-    """Evidence rows (need_id, evidence_id, text, ...) of retrieval results."""
+    """Evidence rows (need_id, evidence_id, text, ...) of retrieval results, which are stored so that few of them are sent to the texts."""
+    rows = settle(rows)
     meta = chunks.select("chunk_id", F.col("chunk_text").alias("text"), _filled_fields(chunks).alias("fields"),
                          *[F.col(c) if c in chunks.columns else F.lit(None).cast(k).alias(c)
                            for c, k in (("confidence", "double"), ("review_required", "boolean"), ("conflict", "boolean"), ("source", "string"))])

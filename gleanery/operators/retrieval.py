@@ -214,9 +214,9 @@ def hybrid_retrieve(chunks: DataFrame, queries: DataFrame, limit: int = 5, scope
     """
     n = candidate_limit(limit)
     fused = fuse(keyword_retrieve(chunks, queries, n, scope), vector_retrieve(chunks, queries, n, scope, vectors))
-    candidates = hybrid_order(fused, n)
+    # few rows: stored, they are sent to the chunks instead of the texts to them
+    candidates = settle(hybrid_order(fused, n))
     if ranker is not None:
-        candidates = settle(candidates)
         return apply_ranking(candidates, ranker(candidates, chunks, queries), limit)
     ranked = top_n(scored(candidates, chunks, queries), ["query_id"], [F.col("score").desc(), F.col("chunk_id")], limit, "final_position")
     return ranked.select("query_id", "chunk_id", "file_id", "chunk_index", "keyword_score", "vector_score", "combined_score",

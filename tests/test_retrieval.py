@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gleanery.operators import retrieval as rt
 from gleanery.operators import vectors
 from gleanery.operators.containment import containment
+from gleanery.operators.storage import settle
 from gleanery.plans import all_queries
 
 
@@ -186,3 +187,17 @@ def test_a_scope_names_pairs_before_they_are_scored(spark, monkeypatch):
         got = rt.vector_retrieve(chunks, queries, 4, scope, vectors_)
         assert {(r["query_id"], r["chunk_id"]) for r in got.collect()} == want and len(want) == 20
         assert {(r["query_id"], r["chunk_id"]) for r in met[-1].collect()} <= set(every)
+
+
+def test_texts_are_not_shuffled_to_few_hits(spark):
+    chunks = settle(spark.range(3000).select(F.concat(F.lit("c"), "id").alias("chunk_id"), F.lit("f").alias("file_id"), F.col("id").alias("chunk_index"),
+                                             F.concat(F.lit("red fox "), "id", F.lit(" "), *[F.sha2(F.concat("id", F.lit(f"-{i}")), 512) for i in range(4)]).alias("chunk_text")))
+    queries = settle(spark.createDataFrame([(i, f"fox {i}") for i in range(6)], "query_id int, query string"))
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "256k")
+        plan = rt.hybrid_retrieve(chunks, queries)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
