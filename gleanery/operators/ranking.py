@@ -37,7 +37,7 @@ def position_in_group(df: DataFrame, groups: Sequence[str], value: str, tie: str
     before = F.sum("__n").over(_earlier(groups))
     offsets = counts.select(*part, F.coalesce(before, F.lit(0)).alias("__before"))
     numbered = base.withColumn("__local", F.row_number().over(W.partitionBy(*part).orderBy("__key", tie)))
-    joined = _with_slices(numbered, offsets, groups)
+    joined = with_slices(numbered, offsets, groups)
     return joined.select(*[numbered[c] for c in df.columns],
                          (F.col("__before") + F.col("__local")).cast("bigint").alias(name))
 
@@ -50,7 +50,7 @@ def running_sum(df: DataFrame, groups: Sequence[str], order: str, value: str, na
               .select(*part, F.coalesce(F.sum("__v").over(_earlier(groups)), F.lit(0)).alias("__before")))
     inner = base.withColumn("__local", F.coalesce(F.sum(value).over(
         W.partitionBy(*part).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    joined = _with_slices(inner, starts, groups)
+    joined = with_slices(inner, starts, groups)
     return joined.select(*[inner[c] for c in df.columns], (F.col("__before") + F.col("__local")).alias(name))
 
 
@@ -63,7 +63,7 @@ def previous_in_group(df: DataFrame, groups: Sequence[str], order: str, carry: S
         *part, F.lag("__tail").over(W.partitionBy(*groups).orderBy("__s")).alias("__tail"))
     inner = base.withColumn(
         "__prev", F.lag(F.struct(*carry)).over(W.partitionBy(*part).orderBy(order)))
-    joined = _with_slices(inner, earlier, groups)
+    joined = with_slices(inner, earlier, groups)
     return joined.select(
         *[inner[c] for c in df.columns],
         *[F.coalesce(F.col("__prev"), F.col("__tail"))[c].alias(prefix + c) for c in carry])
@@ -82,7 +82,7 @@ def last_seen(df: DataFrame, groups: Sequence[str], order: Sequence[str], values
         F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), at)).alias(f"__t_{n}") for n in values])
     passed = tails.select(*part, *[F.last(f"__t_{n}", ignorenulls=True).over(_earlier(groups)).alias(f"__p_{n}") for n in values])
     inner = base.select("*", *[F.last(f"__v_{n}", ignorenulls=True).over(inside).alias(f"__l_{n}") for n in values])
-    joined = _with_slices(inner, passed, groups)
+    joined = with_slices(inner, passed, groups)
     return joined.select(*[inner[c] for c in df.columns],
                          *[F.coalesce(F.col(f"__l_{n}"), F.col(f"__p_{n}")).alias(n) for n in values])
 
@@ -92,7 +92,7 @@ def _earlier(groups: Sequence[str]) -> WindowSpec:
     return W.partitionBy(*groups).orderBy("__s").rowsBetween(W.unboundedPreceding, -1)
 
 
-def _with_slices(rows: DataFrame, per_slice: DataFrame, groups: Sequence[str]) -> DataFrame:
+def with_slices(rows: DataFrame, per_slice: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Rows with what is known of their group and slice."""
     return rows.join(per_slice, _all([rows[c].eqNullSafe(per_slice[c]) for c in [*groups, "__s"]]), "left")
 

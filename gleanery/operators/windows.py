@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gleanery.operators.ranking import last_seen, previous_in_group, top_n
+from gleanery.operators.ranking import last_seen, previous_in_group, sliced, top_n, with_slices
 from gleanery.operators.storage import settle
 
 MAX_LEVEL = 6
@@ -97,33 +100,76 @@ def status_transition_audit(states: DataFrame, group: str = "file_id", order: st
     return steps.filter(~allowed)
 
 
+def _ways(period: int, keys: Sequence[str]):
+    """The times of a slice at which a chain may come in, with the last time that it accepts there."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("__t")
+        t = table.column("__t").to_numpy()
+        after = np.searchsorted(t, t + period, side="right")
+        last = np.where(after < len(t), after, np.arange(len(t)))
+        while (last[last] != last).any():
+            last = last[last]
+        # the end of the slice before is the latest that may have been accepted
+        end = table.column("__end")[0].as_py()
+        enter = np.arange(1 if end is None else min(np.searchsorted(t, end + period, side="right") + 1, len(t)))
+        to = table.take(last[enter])
+        return table.take(enter).select([*keys, "__s", "__t"]).append_column("__exit", to.column("__t")).append_column("__exit_id", to.column("__first"))
+    return run
+
+
+def _accepted(period: int, keys: Sequence[str]):
+    """Each time of a slice with the request that was last accepted, here or in a slice before."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("__t")
+        t, begin = table.column("__t").to_numpy(), table.column("__begin")[0].as_py()
+        after = np.searchsorted(t, t + period, side="right")
+        chain, at = [], len(t) if begin is None else int(np.searchsorted(t, begin))
+        while at < len(t):
+            chain.append(at)
+            at = int(after[at])
+        which = np.searchsorted(chain, np.arange(len(t)), side="right") - 1
+        ids = pa.concat_arrays([table.column("__carried").combine_chunks()[:1], table.column("__first").combine_chunks().take(pa.array(chain, pa.int64()))])
+        return table.select([*keys, "__t"]).append_column("__accepted", ids.take(pa.array(which + 1)))
+    return run
+
+
 def repeat_requests(requests: DataFrame, keys: Sequence[str], at: str, request_id: str, seconds: int = 300,
                     slices: int | None = None) -> DataFrame:
     """For each request the accepted one it returns, itself when it was accepted.
 
-    The first request of a key and any after a gap longer than the period are accepted, and
-    after an accepted one the first beyond its period. Every distinct time points to the first
-    time beyond its own period, unless that follows a gap; pointers double their
-    reach each round, so a burst that lasts n periods takes log2(n) rounds of plain joins.
+    The first request of a key is accepted, and after an accepted one the first beyond its
+    period. The distinct times are cut into slices. A chain of accepted ones comes into a slice within a
+    period of its start, or at the first time after that; for these times alone it is told where the chain leaves
+    the slice and comes in next. Such pointers double their reach each round, so n slices
+    take log2(n) rounds of joins; then each slice follows the chain from where it came in.
     """
     period, keys = seconds * 1_000_000, list(keys)
     requests = requests.withColumn("__t", F.unix_micros(F.col(at).cast("timestamp")))
-    times = settle(requests.groupBy(*keys, "__t").agg(F.min(request_id).alias("__first")))
-    gaps = previous_in_group(times.select(*keys, "__t"), keys, "__t", ["__t"], slices=slices)
-    begins = settle(gaps.select(*keys, "__t", F.coalesce(F.col("__t") - F.col("prev___t") > period, F.lit(True)).alias("__on")))
+    times = requests.filter("__t is not null").groupBy(*keys, "__t").agg(F.min(request_id).alias("__first"))
+    base, part = sliced(times, keys, ["__t"], slices), [*keys, "__s"]
+    ends = base.groupBy(*part).agg(F.max("__t").alias("__max"))
+    bounds = settle(ends.select(*part, F.lag("__max").over(W.partitionBy(*keys).orderBy("__s")).alias("__end")))
+    fields = [base.schema[c] for c in keys]
+    kind = base.schema["__first"].dataType
+    ways = T.StructType([*fields, base.schema["__s"], base.schema["__t"], T.StructField("__exit", T.LongType()), T.StructField("__exit_id", kind)])
+    entries = settle(with_slices(base, bounds, keys).select(*[base[c] for c in base.columns], "__end").groupBy(*part).applyInArrow(_ways(period, keys), ways))
     # probes look back from the end of each period; a time on the end itself is within
-    probes = begins.select(*keys, (-(F.col("__t") + period)).alias("__back"), F.lit(0).alias("__real"), "__t", F.lit(None).cast("boolean").alias("__on"))
-    marks = begins.select(*keys, (-F.col("__t")).alias("__back"), F.lit(1).alias("__real"), "__t", "__on")
-    following = last_seen(probes.unionByName(marks), keys, ["__back", "__real"],
-                          {"__next": F.when(F.col("__real") == 1, F.struct("__t", "__on"))}, slices)
-    ahead = F.when(~F.col("__next")["__on"], F.col("__next")["__t"])
-    nodes = settle(begins.join(following.filter("__real = 0").select(*keys, "__t", ahead.alias("__jump")), [*keys, "__t"]))
+    probes = entries.select(*keys, "__exit").distinct().select(
+        *keys, (-(F.col("__exit") + period)).alias("__back"), F.lit(0).alias("__real"), F.col("__exit").alias("__t"))
+    marks = entries.select(*keys, (-F.col("__t")).alias("__back"), F.lit(1).alias("__real"), "__t")
+    following = last_seen(probes.unionByName(marks), keys, ["__back", "__real"], {"__jump": F.when(F.col("__real") == 1, F.col("__t"))}, slices)
+    jumps = following.filter("__real = 0").select(*keys, F.col("__t").alias("__exit"), "__jump")
+    starts = bounds.filter("__end is null").select(*part, F.lit(True).alias("__on"))
+    nodes = settle(entries.join(jumps, [*keys, "__exit"], "left").join(starts, part, "left").select(*keys, "__t", F.coalesce("__on", F.lit(False)).alias("__on"), "__jump"))
     while not nodes.filter("__on and __jump is not null").isEmpty():
         reached = nodes.filter("__on and __jump is not null").select(*keys, F.col("__jump").alias("__t"), F.lit(True).alias("__hit")).distinct()
         hops = nodes.filter("__jump is not null").select(*keys, F.col("__t").alias("__jump"), F.col("__jump").alias("__far"))
         nodes = settle(nodes.join(reached, [*keys, "__t"], "left").join(hops, [*keys, "__jump"], "left").select(
             *keys, "__t", (F.col("__on") | F.coalesce("__hit", F.lit(False))).alias("__on"), F.col("__far").alias("__jump")))
-    heads = times.join(nodes.select(*keys, "__t", "__on"), [*keys, "__t"], "left")
-    marked = last_seen(heads, keys, ["__t"], {"__accepted": F.when(F.col("__on"), F.col("__first"))}, slices).select(*keys, "__t", "__accepted")
+    taken = entries.join(nodes.filter("__on").select(*keys, "__t"), [*keys, "__t"], "left_semi").select(*part, F.col("__t").alias("__begin"), "__exit_id")
+    carried = F.last("__exit_id", ignorenulls=True).over(W.partitionBy(*keys).orderBy("__s").rowsBetween(W.unboundedPreceding, -1))
+    passed = settle(bounds.join(taken, part, "left").select(*part, "__begin", carried.alias("__carried")))
+    out = T.StructType([*fields, base.schema["__t"], T.StructField("__accepted", kind)])
+    marked = with_slices(base, passed, keys).select(*[base[c] for c in base.columns], "__begin", "__carried").groupBy(*part).applyInArrow(_accepted(period, keys), out)
     return requests.join(marked, [*keys, "__t"]).select(
         *[c for c in requests.columns if c != "__t"], F.col("__accepted").alias("accepted_id"))

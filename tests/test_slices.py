@@ -49,6 +49,19 @@ def test_a_burst_of_a_million_times(spark):
     assert rows["accepted_id"].nunique() > 1400
 
 
+def test_pointers_are_kept_for_the_times_at_which_chains_come_in(spark, monkeypatch):
+    """One key, 20,000 times in a burst of 400 periods: pointers for a period of each of 24 slices, not for every time."""
+    from gleanery.operators import windows
+    kept, settle = [], windows.settle
+    monkeypatch.setattr(windows, "settle", lambda df: (kept.append(settle(df)), kept[-1])[1])
+    ids = spark.range(20_000).select("id", F.lit("k").alias("k"), F.timestamp_micros(F.col("id") * 20_000 + F.xxhash64("id") % 9000).alias("at"))
+    got = repeat_requests(ids, ["k"], "at", "id", seconds=1, slices=24)
+    rows = got.select("id", F.unix_micros("at").alias("t"), "accepted_id").toPandas()
+    want, first = accepted(rows["t"].tolist(), 1_000_000), rows.groupby("t")["id"].min()
+    assert len(rows) == 20_000 and (rows["accepted_id"] == rows["t"].map(want).map(first)).all()
+    pointers = [df.count() for df in kept if "__jump" in df.columns]
+    assert pointers and max(pointers) < 24 * 60
+
 def paths(levels):
     out, titles = [], {}
     for i, level in enumerate(levels):
