@@ -178,10 +178,14 @@ def page_route(pages: DataFrame) -> DataFrame:
 
 def region_provenance(chunks: DataFrame, regions: DataFrame) -> DataFrame:
     """Region of each chunk by its region id, else by page and box (first in reading order)."""
-    by_id = regions.groupBy("file_id", "region_id").agg(F.first("region_id").alias("id_hit"))
-    by_box = regions.filter("bbox is not null").groupBy("file_id", "page_no", "bbox").agg(F.min_by("region_id", "seq").alias("box_hit"))
-    j = chunks.join(by_id, ["file_id", "region_id"], "left").join(by_box, ["file_id", "page_no", "bbox"], "left")
-    return j.select("chunk_id", F.when(F.col("region_id").isNotNull(), F.col("id_hit")).otherwise(F.col("box_hit")).alias("source_region_id"))
+    # a chunk is looked up one way or the other, and only takes along what that needs
+    named, boxed = chunks.filter("region_id is not null"), chunks.filter("region_id is null")
+    by_id = regions.select("file_id", "region_id").distinct().withColumn("__known", F.lit(True))
+    by_box = regions.filter("bbox is not null").groupBy("file_id", "page_no", "bbox").agg(F.min_by("region_id", "seq").alias("source_region_id"))
+    first = named.select("chunk_id", "file_id", "region_id").join(by_id, ["file_id", "region_id"], "left").select(
+        "chunk_id", F.when(F.col("__known"), F.col("region_id")).alias("source_region_id"))
+    second = boxed.select("chunk_id", "file_id", "page_no", "bbox").join(by_box, ["file_id", "page_no", "bbox"], "left")
+    return first.unionByName(second.select("chunk_id", "source_region_id"))
 
 
 def grid_check(cells: DataFrame) -> DataFrame:

@@ -511,3 +511,16 @@ def test_reports_of_odd_parts(spark):
                          "- second\n  Evidence：未建立证据关联\n\n## Evidence 来源\n\n### 未标识\n来源类型：本地文档\n来源：None\n定位：\\{\"page\\_no\": 3, \"line\\_number\": 9\\}\n\n"
                          "## 限制说明\n\nl\n\nEvidence Quality：PASS\n- 规则检查未发现警告；不代表事实正确性保证。\n")
     assert got["r2"].endswith("Evidence Quality：WARNING\n- C：None\n") and "### " not in got["r2"]
+
+
+def test_a_chunk_is_looked_up_by_id_or_by_box(spark):
+    from gleanery.operators.regions import region_provenance
+    regions = spark.createDataFrame([(1, 1, 2, "b", [0.0, 1.0]), (1, 1, 1, "a", [0.0, 1.0]), (1, 1, 3, "c", None), (1, 1, 3, "c", None)], "file_id int, page_no int, seq int, region_id string, bbox array<double>")
+    chunks = spark.createDataFrame([("id", 1, 1, None, "c"), ("box", 1, 1, [0.0, 1.0], None), ("other", 1, 1, [0.0, 1.0], "zz"), ("page", 1, 2, [0.0, 1.0], None),
+                                    ("bare", 1, 1, None, None), ("file", None, 1, None, "c")], "chunk_id string, file_id int, page_no int, bbox array<double>, region_id string")
+    found = region_provenance(chunks, regions)
+    assert dict(map(tuple, found.collect())) == {"id": "c", "box": "a", "other": None, "page": None, "bare": None, "file": None}
+    assert found.count() == 6
+    # no chunk goes through both lookups
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert plan[0].startswith("Union") and len([line for line in plan if "Join" in line]) == 2
