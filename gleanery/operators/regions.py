@@ -84,20 +84,28 @@ DOCUMENT_RULES = (
     ("form", r"(?:申请表|登记表|信息表|表单)", 0.90), ("report", r"(?:报告|总结|分析报告)", 0.88),
     ("letter", r"(?:尊敬的|此致\s*敬礼|来信|函)", 0.86))
 
+GRID_MARK = r"[\t|]"
+RULE_MARK = "|".join(pattern for _, pattern, _ in DOCUMENT_RULES)
+
 
 def visual_blocks(regions: DataFrame) -> DataFrame:
     """Blocks with their kind and the last title above them on the page."""
     firsts = regions.groupBy("file_id", "page_no").agg(F.min("seq").alias("__first"))
-    rows = regions.join(firsts, ["file_id", "page_no"])
+    # a left join, which is left out where nothing asks for titles
+    rows = regions.join(firsts, ["file_id", "page_no"], "left")
     text = strip(F.coalesce("text", F.lit("")))
     bars = F.length("text") - F.length(F.replace("text", F.lit("|"), F.lit("")))
     short_title = (F.col("seq") == F.col("__first")) & (text != "") & (F.length(text) <= 40) & (
         text.rlike(TITLE_END) | ~text.rlike(SENTENCE_MARK))
-    kind = (F.when(F.col("visual_block_type").isNotNull(), F.col("visual_block_type"))
+    given, grid = F.col("visual_block_type"), text.contains("\t") | (bars >= 2)
+    kind = (F.when(given.isNotNull(), given)
             .when(text.rlike(SIGNATURE), "signature").when(text.rlike(STAMP), "stamp")
-            .when(text.contains("\t") | (bars >= 2), "table").when(short_title, "title")
+            .when(grid, "table").when(short_title, "title")
             .when(text != "", "paragraph").otherwise("unknown"))
-    typed = rows.withColumn("block_type", kind).drop("__first")
+    # tables are known without the first of the page; the first test spares most texts the others
+    table = F.coalesce(F.when(given.isNotNull(), given == "table").otherwise(
+        F.col("text").rlike(GRID_MARK) & grid & ~text.rlike(SIGNATURE) & ~text.rlike(STAMP)), F.lit(False))
+    typed = rows.withColumns({"block_type": kind, "is_table": table}).drop("__first")
     return typed.withColumn("block_id", short_hash(F.concat_ws(":", F.col("file_id").cast("string"), "region_id", "block_type")))
 
 
@@ -123,11 +131,11 @@ def label_value_fields(blocks: DataFrame) -> DataFrame:
 
 def document_class(blocks: DataFrame) -> DataFrame:
     """(file_id, document_type, confidence, block_id): first rule that hits, with its evidence."""
-    hit = None
-    for i, (_, pattern, _) in enumerate(DOCUMENT_RULES):
-        test = F.when(F.col("text").rlike(pattern), i)
-        hit = [*(hit or []), test]
-    marked = blocks.select("file_id", "block_id", F.array_compact(F.array(*hit)).alias("hits"), (F.col("block_type") == "table").alias("is_table"))
+    text = F.col("text")
+    hits = F.array_compact(F.array(*[F.when(text.rlike(pattern), i) for i, (_, pattern, _) in enumerate(DOCUMENT_RULES)]))
+    hits = F.when(text.rlike(RULE_MARK), hits).otherwise(F.array().cast("array<int>"))
+    marks = lambda rows: rows.select("file_id", "block_id", hits.alias("hits"), "is_table")
+    marked = marks(blocks)
     verdict = marked.groupBy("file_id").agg(F.min(F.array_min("hits")).alias("rule"), F.bool_and("is_table").alias("tables"))
     names = F.array(*[F.lit(n) for n, _, _ in DOCUMENT_RULES])
     scores = F.array(*[F.lit(s) for _, _, s in DOCUMENT_RULES])
@@ -135,9 +143,10 @@ def document_class(blocks: DataFrame) -> DataFrame:
         "file_id", "rule", "tables",
         F.when(F.col("rule").isNotNull(), F.get(names, F.col("rule"))).when(F.col("tables"), "table").otherwise("unknown").alias("document_type"),
         F.when(F.col("rule").isNotNull(), F.get(scores, F.col("rule"))).when(F.col("tables"), 0.85).otherwise(0.0).alias("confidence"))
-    evidence = marked.join(verdict.select("file_id", "rule", "tables"), "file_id").filter(
-        F.coalesce(F.array_contains("hits", F.col("rule")), F.col("tables"))).select("file_id", "block_id")
-    return verdict.select("file_id", "document_type", "confidence").join(evidence, "file_id", "left")
+    # evidence is a block that some rule hits, or a table; one look at a text tells most others, before blocks are formed
+    held = marks(blocks.filter(F.col("visual_block_type").isNotNull() | text.rlike(f"{RULE_MARK}|{GRID_MARK}"))).withColumnRenamed("file_id", "__file")
+    shown = (F.col("file_id") == F.col("__file")) & F.coalesce(F.array_contains("hits", F.col("rule")), F.col("tables"))
+    return verdict.join(held, shown, "left").select("file_id", "document_type", "confidence", "block_id")
 
 
 def bbox_union(box: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -513,6 +514,34 @@ def test_reports_of_odd_parts(spark):
     assert got["r2"].endswith("Evidence Quality：WARNING\n- C：None\n") and "### " not in got["r2"]
 
 
+def region_rows(spark):
+    texts = ["奖学金证书", "正文。", "a|b|c", "通知", "x|y|z", None, "a\tb"]
+    data = [(i // 3, None if i == 4 else 1, i, f"r{i}", texts[i % 7], "table" if i in (2, 20) else None) for i in range(60)] + [(90, 1, 1, "t1", "a|b|c", None), (90, 2, 2, "t2", "a\tb", None)]
+    return spark.createDataFrame(data, "file_id int, page_no int, seq int, region_id string, text string, visual_block_type string"), data
+
+
+def test_document_class_forms_blocks_for_evidence_only(spark):
+    from gleanery.operators.regions import document_class, visual_blocks
+    regions, data = region_rows(spark)
+    blocks = visual_blocks(regions)
+    assert blocks.count() == len(data), "a region without a page is a block too"
+    kinds = {r["block_id"]: (r["file_id"], r["region_id"]) for r in blocks.collect()}
+    found = document_class(blocks)
+    assert len(re.findall(r"\bJoin\b", found._jdf.queryExecution().optimizedPlan().toString())) == 2
+    rule = lambda text: 0 if "证书" in (text or "") else 1 if "通知" in (text or "") else None
+    table = lambda text, kind: kind == "table" or (kind is None and ("\t" in (text or "") or (text or "").count("|") >= 2))
+    want = set()
+    for file in {d[0] for d in data}:
+        here = [d for d in data if d[0] == file]
+        best = min((rule(d[4]) for d in here if rule(d[4]) is not None), default=None)
+        tables = all(table(d[4], d[5]) for d in here)
+        name = {0: "certificate", 1: "notice", None: "table" if tables else "unknown"}[best]
+        shown = [d[3] for d in here if (rule(d[4]) == best if best is not None else tables)]
+        want |= {(file, name, r) for r in shown or [None]}
+    assert {(r["file_id"], r["document_type"], r["block_id"] and kinds[r["block_id"]][1]) for r in found.collect()} == want
+    assert (90, "table", "t1") in want and {n for _, n, _ in want} == {"certificate", "notice", "table", "unknown"}
+
+
 def test_a_chunk_is_looked_up_by_id_or_by_box(spark):
     from gleanery.operators.regions import region_provenance
     regions = spark.createDataFrame([(1, 1, 2, "b", [0.0, 1.0]), (1, 1, 1, "a", [0.0, 1.0]), (1, 1, 3, "c", None), (1, 1, 3, "c", None)], "file_id int, page_no int, seq int, region_id string, bbox array<double>")
