@@ -70,7 +70,9 @@ def unique_links(ids: DataFrame, found: DataFrame, cells: DataFrame, profile: Da
 
 def consensus_values(links: DataFrame, cells: DataFrame) -> DataFrame:
     """Per entity and field, the value when all linked records agree."""
-    values = links.join(_with_norm(cells), ROW)
+    # an aggregate of texts sorts all that a task reads, and stored cells are packed far denser than sorted ones; so they are dealt out by rows
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = links.join(_with_norm(cells).repartition(parts, *ROW), ROW)
     return (values.groupBy("workspace", "entity_id", "canonical_name")
             .agg(F.min("norm").alias("norm"), F.max("norm").alias("top"),
                  F.max_by("value", F.struct("source", "row_number")).alias("value"))
@@ -93,8 +95,10 @@ def auxiliary_links(links: DataFrame, anchors: DataFrame, cells: DataFrame, prof
               .join(linked, ["workspace", "entity_id", "source"], "left_anti")
               .select("workspace", "entity_id", "source", "row_number", rank.alias("r"),
                       F.col("canonical_name").alias("method")))
+    # both lists of candidates are stored, so that a task holds the sorted sides of a few joins at a time, not of all
+    by_key = settle(by_key)
     best = by_key.groupBy("workspace", "entity_id", "source").agg(F.min("r").alias("r"))
-    by_key = by_key.join(best, ["workspace", "entity_id", "source", "r"]).drop("r")
+    by_key = settle(by_key.join(best, ["workspace", "entity_id", "source", "r"]).drop("r"))
 
     def composite(rows: DataFrame, key: Sequence[str]) -> DataFrame:
         parts = [F.max(F.when(F.col("canonical_name") == c, F.col("norm"))).alias(c) for c in COMPOSITE_KEYS]
@@ -102,12 +106,12 @@ def auxiliary_links(links: DataFrame, anchors: DataFrame, cells: DataFrame, prof
         return wide.dropna(subset=list(COMPOSITE_KEYS))
 
     names = (composite(anchors, ["workspace", "entity_id"])
-             .join(composite(norm_cells, ROW), ["workspace", *COMPOSITE_KEYS])
-             .join(linked, ["workspace", "entity_id", "source"], "left_anti")
+             .join(composite(norm_cells, ROW), ["workspace", *COMPOSITE_KEYS]).select("workspace", "entity_id", "source", "row_number"))
+    names = (settle(names).join(linked, ["workspace", "entity_id", "source"], "left_anti")
              .join(by_key, ["workspace", "entity_id", "source"], "left_anti")
              .select("workspace", "entity_id", "source", "row_number",
                      F.lit("name_college_grade_class").alias("method")))
-    candidates = by_key.unionByName(names)
+    candidates = settle(by_key.unionByName(names))
     sizes = candidates.groupBy("workspace", "entity_id", "source").agg(F.count(F.lit(1)).alias("candidates"))
     return candidates.join(sizes, ["workspace", "entity_id", "source"])
 

@@ -140,13 +140,15 @@ def consensus_values(t):
 @query("entity_match_auxiliary", WITH + "select * from cand")
 def entity_match_auxiliary(t):
     links, cells, profile = _linked(t)
-    return en.auxiliary_links(links, en.consensus_values(links, cells), cells, profile)
+    links = settle(links)
+    return en.auxiliary_links(links, settle(en.consensus_values(links, cells)), cells, profile)
 
 
 @query("entity_partial_key_issue", WITH + "select workspace, entity_id, source, 'PARTIAL_IDENTITY_KEYS' as reason from part")
 def entity_partial_key_issue(t):
     links, cells, profile = _linked(t)
-    anchors = en.consensus_values(links, cells)
+    links = settle(links)
+    anchors = settle(en.consensus_values(links, cells))
     return en.partial_key_issues(links, anchors, en.auxiliary_links(links, anchors, cells, profile), profile)
 
 

@@ -553,3 +553,13 @@ def test_a_chunk_is_looked_up_by_id_or_by_box(spark):
     # no chunk goes through both lookups
     plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert plan[0].startswith("Union") and len([line for line in plan if "Join" in line]) == 2
+
+
+def test_cells_are_dealt_out_by_rows_before_they_are_compared(spark):
+    from gleanery.operators import entities as en
+    cells = spark.createDataFrame([(1, s, r, n, v) for s, r, n, v in (("a", 1, "name", "X"), ("b", 2, "name", " x "), ("b", 3, "name", "Y"), ("b", 2, "class", "1"), ("a", 1, "class", ""))],
+                                  "workspace int, source string, row_number int, canonical_name string, value string")
+    links = spark.createDataFrame([(1, "e", "a", 1, "m"), (1, "e", "b", 2, "m"), (1, "f", "b", 3, "m"), (1, "f", "b", 2, "m")], "workspace int, entity_id string, source string, row_number int, method string")
+    found = en.consensus_values(links, cells)
+    assert sorted(map(tuple, found.collect())) == [(1, "e", "class", "1", "1"), (1, "e", "name", "x", " x "), (1, "f", "class", "1", "1")]
+    assert "RepartitionByExpression [workspace" in found._jdf.queryExecution().optimizedPlan().toString()
