@@ -152,10 +152,15 @@ def resolve_entities(ids: DataFrame, cells: DataFrame, profile: DataFrame) -> tu
 DEDICATED = {"name": "same_id_different_name", "college": "same_id_different_college"}
 
 
-def entity_conflicts(links: DataFrame, cells: DataFrame, raw_cells: DataFrame | None = None) -> DataFrame:
-    """(entity, conflict_type, severity, field, value_count) without choosing a winner."""
+def linked_values(links: DataFrame, cells: DataFrame) -> DataFrame:
+    """Every filled cell of the linked rows; stored."""
+    return settle(links.join(_with_norm(cells), ROW))
+
+
+def entity_conflicts(links: DataFrame, cells: DataFrame, raw_cells: DataFrame | None = None, values: DataFrame | None = None) -> DataFrame:
+    """(entity, conflict_type, severity, field, value_count) without choosing a winner; ``values`` are the ``linked_values`` where these are at hand."""
     key = ["workspace", "entity_id"]
-    values = settle(links.join(_with_norm(cells), ROW))
+    values = linked_values(links, cells) if values is None else values
     per_value = values.groupBy(*key, "canonical_name", "norm").agg(F.count(F.lit(1)).alias("n"))
     differing = (per_value.filter(F.col("canonical_name") != PRIMARY_KEY).groupBy(*key, "canonical_name")
                  .agg(F.count(F.lit(1)).alias("value_count")).filter("value_count > 1"))
@@ -173,10 +178,10 @@ def entity_conflicts(links: DataFrame, cells: DataFrame, raw_cells: DataFrame |
                    .filter("seen > 1 and value_count > 1")
                    .select(*key, F.lit("same_field_different_value").alias("conflict_type"),
                            F.lit("warning").alias("severity"), F.col("canonical_name").alias("field"), "value_count"))
-    per_row = values.groupBy(*key, "source", "row_number").agg(
-        F.bool_or(F.col("canonical_name") == "date").alias("dated"),
+    row = [*key, "source", "row_number"]
+    per_row = values.join(values.filter(F.col("canonical_name") == "date").select(*row), row, "left_semi").groupBy(*row).agg(
         F.array_sort(F.collect_list(F.when(F.col("canonical_name") != "date", F.struct("canonical_name", "norm")))).alias("snapshot"))
-    dated = (per_row.filter("dated").groupBy(*key, "snapshot").agg(F.count(F.lit(1)).alias("rows"))
+    dated = (per_row.groupBy(*key, "snapshot").agg(F.count(F.lit(1)).alias("rows"))
              .groupBy(*key).agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("value_count"))
              .filter("rows > 1 and value_count > 1"))
     out.append(dated.select(*key, F.lit("time_version_conflict").alias("conflict_type"), F.lit("warning").alias("severity"),
@@ -202,14 +207,15 @@ def validate_entities(ids: DataFrame, cells: DataFrame, profile: DataFrame) -> t
     links, statuses = resolve_entities(ids, cells, profile)
     clear = statuses.filter("status = 'found'").select(*key)
     links = settle(links.join(clear, key, "left_semi"))
-    conflicts = entity_conflicts(links, cells).filter("conflict_type <> 'single_source_only'").select(
+    values = linked_values(links, cells)
+    conflicts = entity_conflicts(links, cells, values=values).filter("conflict_type <> 'single_source_only'").select(
         *key, F.col("conflict_type").alias("issue_type"), "severity", F.lit(True).alias("conflict"))
     counts = links.groupBy(*key, "source").agg(F.count(F.lit(1)).alias("n")).groupBy(*key).agg(
         F.min("n").alias("low"), F.max("n").alias("high"))
     mismatch = counts.filter("low <> high").select(
         *key, F.lit("cross_file_count_mismatch").alias("issue_type"), F.lit("warning").alias("severity"),
         F.lit(False).alias("conflict"))
-    contacts = links.join(_with_norm(cells).filter(F.col("canonical_name").isin("phone", "email")), ROW).filter(
+    contacts = values.filter(F.col("canonical_name").isin("phone", "email")).filter(
         ~F.when(F.col("canonical_name") == "phone", contact_valid("phone", F.col("value")))
         .otherwise(contact_valid("email", F.col("value"))))
     invalid = contacts.select(*key, F.lit("invalid_contact_format").alias("issue_type"),

@@ -563,3 +563,19 @@ def test_cells_are_dealt_out_by_rows_before_they_are_compared(spark):
     found = en.consensus_values(links, cells)
     assert sorted(map(tuple, found.collect())) == [(1, "e", "class", "1", "1"), (1, "e", "name", "x", " x "), (1, "f", "class", "1", "1")]
     assert "RepartitionByExpression [workspace" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_validation_reads_the_linked_cells_once(spark, monkeypatch):
+    from gleanery.operators import entities as en
+    data = [("a", 1, "student_id", "S1"), ("a", 1, "phone", "call me"), ("a", 1, "grade", "1"), ("b", 1, "student_id", "S1"), ("b", 1, "date", "2024-01-01"), ("b", 1, "grade", "1"),
+            ("b", 2, "student_id", "S1"), ("b", 2, "date", "2024-02-01"), ("b", 2, "grade", "2"), ("a", 2, "student_id", "S2"), ("a", 2, "grade", "1")]
+    cells = spark.createDataFrame([(1, *d) for d in data], "workspace int, source string, row_number int, canonical_name string, value string")
+    ids = spark.createDataFrame([(1, "S1"), (1, "S2")], "workspace int, entity_id string")
+    made, linked = [], en.linked_values
+    monkeypatch.setattr(en, "linked_values", lambda *a: (made.append(linked(*a)), monkeypatch.setattr(en, "_with_norm", None), made[-1])[2])
+    issues, final = en.validate_entities(ids, cells, en.source_profile(cells))
+    assert len(made) == 1
+    assert sorted((r["entity_id"], r["issue_type"]) for r in issues.collect()) == [
+        ("S1", "cross_file_count_mismatch"), ("S1", "duplicate_record"), ("S1", "invalid_contact_format"), ("S1", "same_field_different_value"),
+        ("S1", "same_field_different_value"), ("S1", "time_version_conflict")]
+    assert {r["entity_id"]: (r["status"], r["issue_count"]) for r in final.collect()} == {"S1": ("conflict", 6), "S2": ("found", 0)}
