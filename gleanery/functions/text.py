@@ -74,7 +74,7 @@ def excerpt(text: Column, query: Column, limit: int = 240, lead: int = 80) -> Co
 def claim_normal(col: Column) -> Column:
     """Claim text without any space or closing mark, case-folded."""
     bare = F.regexp_replace(col, r"(?U)\s+", "")
-    return fold(F.regexp_replace(bare, r"^[。.!！?？;；]+|[。.!！?？;；]+$", ""))
+    return fold(F.btrim(bare, F.lit("。.!！?？;；")))
 
 
 def split_claims(draft: Column) -> Column:

@@ -197,9 +197,11 @@ def containment(texts: DataFrame, phrases: DataFrame, on: Sequence[str] = (), ca
     on, carry = list(on), list(carry)
     if not on:
         return _walked(texts, phrases, on, carry, limit)
-    phrases = settle(phrases.select(*on, "phrase_id", "phrase").filter("phrase <> ''"))
-    many = [df.groupBy(*on).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > few).select(*on) for df in (texts, phrases)]
-    large = settle(many[0].join(many[1], on))
+    phrases = settle(phrases.select(*on, "phrase_id", "phrase").filter("phrase <> ''"), lean=True)
+    many = lambda df: df.groupBy(*on).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > few).select(*on)
+    # texts are counted for groups of many phrases only
+    asking = settle(many(phrases), lean=True)
+    large = asking if asking.isEmpty() else settle(many(texts.select(*on).join(asking, on, "left_semi")), lean=True)
     if large.isEmpty():
         return _joined(texts, phrases, on, carry)
     small, big = ([df.join(large, on, how) for df in (texts, phrases)] for how in ("left_anti", "left_semi"))
@@ -210,7 +212,7 @@ def _joined(texts: DataFrame, phrases: DataFrame, on: list[str], carry: list[str
     """Each phrase looked for in each text of its group; stored, so that a task's share of a large group can be split."""
     ahead = F.concat(F.lit(r"(?=\Q"), F.replace("phrase", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
     met = texts.select(*on, *carry, "text_id", "body").join(phrases, on).filter(F.contains("body", "phrase"))
-    held = settle(met.select(*on, *carry, "phrase_id", "text_id", F.regexp_count("body", ahead).alias("n")))
+    held = settle(met.select(*on, *carry, "phrase_id", "text_id", F.regexp_count("body", ahead).alias("n")), lean=True)
     group = [*on, "phrase_id", "text_id"]
     found = held.groupBy(*group).agg(*[F.any_value(c).alias(c) for c in carry], F.sum("n").alias("n"))
     return found.select(*on, *carry, "phrase_id", "text_id", "n")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import ids
@@ -25,10 +25,13 @@ TIME_SENSITIVE = r"(?i)当前|最新|今日|今天|实时|目前|\b(?:current|la
 LIST_MARK = r"^\s*(?:[-*+]\s+|\d+[.)]\s+)"
 MANY_EVIDENCE, LONG_DRAFT, MANY_CLAIMS = 1000, 100_000, 200
 WEB_TYPES = ("WEB", "URL")
+#: Warnings that records give by themselves.
+RECORD_CODES = ("EVIDENCE_INVALID", "LOCATION_MISSING", "SOURCE_INCOMPLETE", "FRESHNESS_MISSING", "FRESHNESS_INVALID", "EVIDENCE_CONFLICT")
 
 
 def filled(*columns: Column) -> Column:
-    return reduce(lambda a, b: a & b, [tx.not_blank(c) for c in columns])
+    # one look at each column: derived ones are worked out anew for every mention
+    return reduce(lambda a, b: a & b, [F.coalesce(c.cast("string").rlike(r"(?U)\S"), F.lit(False)) for c in columns])
 
 
 def evidence_valid(e: DataFrame) -> Column:
@@ -63,20 +66,20 @@ def value_conflicts(e: DataFrame) -> DataFrame:
     """Rows whose value differs from some value on the other side, local or web, of the same key.
 
     Whether a differing value exists is told by the least and greatest value of the
-    other side, so the rows are never paired. Values of another year, period or unit are
+    other side, so the rows are never paired, and shuffled once. Values of another year, period or unit are
     not compared; ``period`` and ``unit`` may be absent.
     """
     key = ["draft_id", "field", "record_key", "year", "period", "unit"]
     e = e.withColumns({k: F.lit(None).cast("string") for k in ("period", "unit") if k not in e.columns})
     v = e.withColumn("v", tx.value_key(F.col("value"))).withColumn("local", F.col("source_type") == "LOCAL").filter(
-        F.col("v").isNotNull() & tx.not_blank(F.col("field")) & F.col("source_type").isin("LOCAL", *WEB_TYPES))
+        F.col("draft_id").isNotNull() & filled(F.col("value"), F.col("field")) & F.col("source_type").isin("LOCAL", *WEB_TYPES))
     v = v.withColumns({k: F.coalesce(F.col(k).cast("string"), F.lit("")) for k in ("record_key", "year", "period", "unit")})
-    sides = v.groupBy(*key).agg(*[f(F.when(F.col("local") == side, F.col("v"))).alias(n) for n, f, side in (
-        ("ll", F.min, True), ("lh", F.max, True), ("wl", F.min, False), ("wh", F.max, False))])
+    v = v.select("evidence_id", *key, "v", "local")
+    v = v.withColumns({n: f(F.when(F.col("local") == side, F.col("v"))).over(Window.partitionBy(*key)) for n, f, side in (
+        ("ll", F.min, True), ("lh", F.max, True), ("wl", F.min, False), ("wh", F.max, False))})
     differs = F.when(F.col("local"), (F.col("wl") != F.col("v")) | (F.col("wh") != F.col("v"))).otherwise(
         (F.col("ll") != F.col("v")) | (F.col("lh") != F.col("v")))
-    open_ = sides.filter(F.coalesce((F.col("ll") != F.col("wl")) | (F.col("ll") != F.col("wh")) | (F.col("lh") != F.col("wl")), F.lit(False)))
-    return v.join(open_, key).filter(F.coalesce(differs, F.lit(False))).select("draft_id", "evidence_id", "field", "record_key")
+    return v.filter(F.coalesce(differs, F.lit(False))).select("draft_id", "evidence_id", "field", "record_key")
 
 
 def claims_of(drafts: DataFrame) -> DataFrame:
@@ -93,30 +96,40 @@ def plain_claim(claim: Column) -> Column:
     return tx.claim_normal(F.regexp_replace(F.regexp_replace(claim, CITATION, ""), LIST_MARK, ""))
 
 
-def judge_evidence(e: DataFrame, drafts: DataFrame) -> DataFrame:
-    """Evidence with its warning codes and whether it is usable for coverage."""
-    firsts = e.groupBy("draft_id", "evidence_id").agg(F.min("position").alias("first_position"))
-    asked = drafts.select("draft_id", F.coalesce(F.col("query").rlike(TIME_SENSITIVE), F.lit(False)).alias("time_sensitive"))
-    j = e.join(firsts, ["draft_id", "evidence_id"], "left").join(asked, "draft_id")
+def repeated_ids(e: DataFrame) -> DataFrame:
+    """(draft_id, evidence_id, first_position) of the ids that stand at several positions; stored."""
+    at = e.groupBy("draft_id", "evidence_id").agg(F.min("position").alias("first_position"), F.max("position").alias("last"))
+    # few rows make few files, so that their size tells the planner how few they are
+    return settle(at.filter("first_position < last").drop("last").hint("rebalance"), lean=True)
+
+
+def judge_evidence(e: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Evidence with a column per warning code and whether it is usable for coverage.
+
+    FRESHNESS_MISSING marks a record without date, which counts where the draft answers a time-sensitive
+    question. Records are judged where they are read; only their marks meet the ``repeated_ids``.
+    """
     local, web = F.col("source_type") == "LOCAL", F.col("source_type").isin(*WEB_TYPES)
-    bad = F.coalesce(~filled(F.col("evidence_id"), F.col("content")) | (F.col("position") != F.col("first_position"))
-                     | ~F.coalesce(F.col("evidence_version") == "4.0", F.lit(False)), F.lit(True))
+    unsound = ~filled(F.col("evidence_id"), F.col("content")) | F.col("position").isNull() | ~F.coalesce(F.col("evidence_version") == "4.0", F.lit(False))
     placed = filled(F.col("chunk_id")) | F.coalesce(F.col("page_no") > 0, F.lit(False)) | filled(F.col("table"), F.col("cell")) | filled(
         F.col("sheet"), F.col("field"), F.col("record_key"))
     url = F.col("url")
     # one pass over the URL gives its host; a URL with user data has none
     named = F.lower(F.regexp_extract(url, r"(?i)^\s*https?://(\[[0-9a-f:.]+\]|[^/?#:@\s]+)(?::\d*)?(?:[/?#]|\s*$)", 1))
-    url_ok = named != ""
     domain_ok = F.rtrim(named, F.lit(".")) == F.rtrim(F.lower(tx.strip(F.col("domain"))), F.lit("."))
+    # a domain with more than dots equals no empty host
+    url_ok = F.col("domain").rlike(r"(?U)[^\s.]") | (named != "")
     incomplete = F.when(local, ~filled(F.col("file_id"), F.col("file_name"))).when(
-        web, ~filled(url, F.col("domain"), F.col("retrieved_at")) | ~F.coalesce(url_ok & domain_ok, F.lit(False))).otherwise(F.lit(True))
-    dated = tx.not_blank(F.col("retrieved_at"))
-    lost = local & ~placed
-    codes = F.array_compact(F.array(
-        F.when(bad, "EVIDENCE_INVALID"), F.when(lost, "LOCATION_MISSING"), F.when(incomplete, "SOURCE_INCOMPLETE"),
-        F.when(F.col("time_sensitive") & ~dated, "FRESHNESS_MISSING"),
-        F.when(dated & ~tx.is_timestamp(F.col("retrieved_at")), "FRESHNESS_INVALID"), F.when(F.col("conflict"), "EVIDENCE_CONFLICT")))
-    return j.select("draft_id", "evidence_id", "content", codes.alias("codes"), (~(bad | lost | incomplete)).alias("usable"))
+        web, ~filled(url, F.col("domain"), F.col("retrieved_at")) | ~F.coalesce(domain_ok & url_ok, F.lit(False))).otherwise(F.lit(True))
+    dated = filled(F.col("retrieved_at"))
+    marks = e.select(
+        "draft_id", "evidence_id", "position", "content", unsound.alias("EVIDENCE_INVALID"), (local & ~placed).alias("LOCATION_MISSING"),
+        incomplete.alias("SOURCE_INCOMPLETE"), (~dated).alias("FRESHNESS_MISSING"),
+        (dated & ~tx.is_timestamp(F.col("retrieved_at"))).alias("FRESHNESS_INVALID"), F.col("conflict").alias("EVIDENCE_CONFLICT"))
+    late = F.coalesce(F.col("position") != F.col("first_position"), F.lit(False))
+    judged = marks.join(repeated, ["draft_id", "evidence_id"], "left").withColumn("EVIDENCE_INVALID", F.col("EVIDENCE_INVALID") | late)
+    return judged.select("draft_id", "evidence_id", "content", *RECORD_CODES,
+                         (~F.col("EVIDENCE_INVALID") & ~F.col("LOCATION_MISSING") & ~F.col("SOURCE_INCOMPLETE")).alias("usable"))
 
 
 def _excerpt_hits(texts: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -125,46 +138,57 @@ def _excerpt_hits(texts: DataFrame, phrases: DataFrame) -> DataFrame:
 
 
 def claim_links(claims: DataFrame, usable: DataFrame, claim_map: DataFrame) -> DataFrame:
-    """(draft_id, claim_no, method, evidence_id or null, unknown): evidence of every claim.
+    """(draft_id, claim_no, method, evidence_id or null, unknown): evidence of every claim; stored.
 
     An explicit map beats inline citations, which beat the exact excerpt. A mapped
     claim without ids has no evidence.
     """
     key = ["draft_id", "claim_no"]
-    mapped = claims.join(claim_map, ["draft_id", "claim"]).select(*key, F.col("mapped_id").alias("evidence_id"), F.lit("explicit_mapping").alias("method"))
-    unmapped = claims.join(mapped.select(*key).distinct(), key, "left_anti")
+    mapped = settle(claims.join(claim_map, ["draft_id", "claim"]).select(
+        *key, F.col("mapped_id").alias("evidence_id"), F.lit("explicit_mapping").alias("method")), lean=True)
+    unmapped = settle(claims.join(mapped.select(*key), key, "left_anti"), lean=True)
     cited = citations(unmapped).withColumn("method", F.lit("inline_citation"))
-    known = usable.select("draft_id", "evidence_id", F.lit(True).alias("ok"))
-    named = mapped.unionByName(cited).join(known, ["draft_id", "evidence_id"], "left").select(
-        *key, "method", F.when(F.col("ok"), F.col("evidence_id")).alias("evidence_id"), (F.col("ok").isNull() & F.col("evidence_id").isNotNull()).alias("unknown"))
-    silent = unmapped.join(cited.select(*key).distinct(), key, "left_anti")
+    silent = unmapped.filter(F.col("draft_id").isNull() | ~F.col("claim").rlike(CITATION)).join(cited.select(*key), key, "left_anti")
     phrases = silent.select("draft_id", F.col("claim_no").alias("phrase_id"), plain_claim(F.col("claim")).alias("phrase")).filter("phrase <> ''")
     texts = usable.select("draft_id", F.col("evidence_id").alias("text_id"), tx.claim_normal(F.col("content")).alias("body"))
     hits = _excerpt_hits(texts, phrases).select(
         "draft_id", F.col("phrase_id").alias("claim_no"), F.col("text_id").alias("evidence_id"))
-    excerpts = silent.select(*key).join(hits, key, "left").select(*key, F.lit("exact_excerpt").alias("method"), "evidence_id", F.lit(False).alias("unknown"))
+    excerpts = settle(silent.select(*key).join(hits, key, "left").select(
+        *key, F.lit("exact_excerpt").alias("method"), "evidence_id", F.lit(False).alias("unknown")), lean=True)
+    known = usable.select("draft_id", "evidence_id", F.lit(True).alias("ok"))
+    named = settle(mapped.unionByName(cited).join(known, ["draft_id", "evidence_id"], "left").select(
+        *key, "method", F.when(F.col("ok"), F.col("evidence_id")).alias("evidence_id"),
+        (F.col("ok").isNull() & F.col("evidence_id").isNotNull()).alias("unknown")), lean=True)
     return named.unionByName(excerpts)
 
 
 def evidence_gate(drafts: DataFrame, e: DataFrame, claim_map: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(warnings, links): (draft_id, code, findings) rows and the claim coverage.
 
-    Inputs of any size are checked whole; QUALITY_INPUT_LIMIT only notes a large one.
+    Inputs of any size are checked whole; QUALITY_INPUT_LIMIT only notes a large one. Steps are stored one
+    after the other, so that the disk holds the shuffle files of one step at a time.
     """
-    judged = settle(judge_evidence(e, drafts))
-    claims = settle(claims_of(drafts))
-    links = settle(claim_links(claims, judged.filter("usable").select("draft_id", "evidence_id", "content"), claim_map))
+    judged = judge_evidence(e, repeated_ids(e))
+    claims = settle(claims_of(drafts), lean=True)
+    links = claim_links(claims, judged.filter("usable").select("draft_id", "evidence_id", "content"), claim_map)
     lit = lambda code: F.lit(code).alias("code")
-    found = judged.select("draft_id", F.explode("codes").alias("code")).unionByName(value_conflicts(e).select("draft_id", lit("EVIDENCE_CONFLICT")))
-    per_claim = links.groupBy("draft_id", "claim_no").agg(F.count("evidence_id").alias("n"), F.bool_or("unknown").alias("u"))
-    found = found.unionByName(per_claim.filter("n = 0 or u").select("draft_id", lit("EVIDENCE_MISSING")))
+    amounts = settle(judged.groupBy("draft_id").agg(
+        F.count(F.lit(1)).alias("records"), *[F.count_if(F.col(c)).alias(c) for c in RECORD_CODES]), lean=True)
     sizes = claims.groupBy("draft_id").agg(F.count(F.lit(1)).alias("claims"))
-    amounts = e.groupBy("draft_id").agg(F.count(F.lit(1)).alias("records"))
-    d = drafts.select("draft_id", F.length("draft").alias("length")).join(sizes, "draft_id", "left").join(amounts, "draft_id", "left")
-    found = found.unionByName(d.filter("claims is null").select("draft_id", lit("ANSWER_DRAFT_MISSING")))
+    d = drafts.select("draft_id", F.length("draft").alias("length"), F.coalesce(F.col("query").rlike(TIME_SENSITIVE), F.lit(False)).alias("time_sensitive"))
+    d = d.join(sizes, "draft_id", "left").join(amounts, "draft_id", "left")
     large = (F.col("length") > LONG_DRAFT) | (F.coalesce("claims", F.lit(0)) > MANY_CLAIMS) | (F.coalesce("records", F.lit(0)) > MANY_EVIDENCE)
-    found = found.unionByName(d.filter(large).select("draft_id", lit("QUALITY_INPUT_LIMIT")))
-    return found.groupBy("draft_id", "code").agg(F.count(F.lit(1)).alias("findings")), links
+    once = lambda test: F.when(test, F.lit(1).cast("bigint"))
+    amount = {c: F.col(c) for c in RECORD_CODES} | {
+        "FRESHNESS_MISSING": F.when(F.col("time_sensitive"), F.col("FRESHNESS_MISSING")),
+        "ANSWER_DRAFT_MISSING": once(F.col("claims").isNull()), "QUALITY_INPUT_LIMIT": once(large)}
+    own = F.filter(F.array(*[F.struct(lit(c), n.alias("n")) for c, n in amount.items()]), lambda x: x.n > 0)
+    own = settle(d.select("draft_id", F.explode(own).alias("f")).select("draft_id", "f.code", "f.n"), lean=True)
+    differing = settle(value_conflicts(e).groupBy("draft_id").agg(F.count(F.lit(1)).alias("n")), lean=True)
+    per_claim = links.groupBy("draft_id", "claim_no").agg(F.count("evidence_id").alias("n"), F.bool_or("unknown").alias("u"))
+    found = own.unionByName(differing.select("draft_id", lit("EVIDENCE_CONFLICT"), "n")).unionByName(
+        per_claim.filter("n = 0 or u").select("draft_id", lit("EVIDENCE_MISSING"), F.lit(1).cast("bigint").alias("n")))
+    return found.groupBy("draft_id", "code").agg(F.sum("n").alias("findings")), links
 
 
 def gate_status(drafts: DataFrame, warnings: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -377,6 +378,48 @@ def test_other_units_and_periods_are_no_conflict(spark):
     assert ev.value_conflicts(e.drop("period", "unit")).count() == 4
 
 
+RECORD = ("draft_id string, evidence_id string, position int, source_type string, file_id string, file_name string, chunk_id string, page_no int, `table` string, cell string, "
+          "sheet string, field string, record_key string, url string, domain string, retrieved_at string, content string, value string, year int, evidence_version string, conflict boolean")
+
+
+def web_record(draft, eid, position, content, url="https://h.example/", version="4.0"):
+    return (draft, eid, position, "WEB", None, None, None, None, None, None, None, None, None, url, "H.example.", "2024-05-01", content, None, None, version, False)
+
+
+def test_gate_leaves_no_shuffle_files_and_sends_no_sources(spark):
+    from gleanery.operators import evidence as ev
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName(): f.length() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_")}
+
+    rng = random.Random(4)
+    far = lambda: "https://h.example/" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(2000))
+    e = spark.createDataFrame([web_record(f"d{i % 500}", f"e{i}", i, f"fact {i} end", far()) for i in range(2000)], RECORD)
+    drafts = spark.createDataFrame([(f"d{i}", f"fact {i} end. Other [e{i}]", "state") for i in range(500)], "draft_id string, draft string, query string")
+    claim_map = spark.createDataFrame([("d1", "fact 1 end.", "e1")], "draft_id string, claim string, mapped_id string")
+    before = shuffled()
+    warnings, links = ev.evidence_gate(drafts, e, claim_map)
+    late = time.time() + 10
+    while (left := sum(n for name, n in shuffled().items() if name not in before)) and time.time() < late:
+        time.sleep(0.1)
+    assert left == 0
+    assert "hashpartitioning" not in ev.judge_evidence(e, ev.repeated_ids(e))._jdf.queryExecution().executedPlan().toString()
+    assert warnings.count() == 0 and links.filter("evidence_id is not null").count() == 1000
+
+
+def test_only_the_first_place_of_an_id_is_usable(spark):
+    from gleanery.operators import evidence as ev
+    e = spark.createDataFrame([
+        web_record("d", "a", 3, "one fact"), web_record("d", "a", 2, "other"), web_record("d", "b", None, "two facts"), web_record("d", None, 1, "three"),
+        web_record("d", "c", 5, "four", version="3.0"), web_record("d", "c", 6, "five"), web_record("gone", "a", 1, " ")], RECORD)
+    drafts = spark.createDataFrame([("d", "other; one fact; Six [a]; Seven [c]", "latest")], "draft_id string, draft string, query string")
+    none = spark.createDataFrame([], "draft_id string, claim string, mapped_id string")
+    warnings, links = ev.evidence_gate(drafts, e, none)
+    assert sorted(rows(warnings)) == [("d", "EVIDENCE_INVALID", 5), ("d", "EVIDENCE_MISSING", 2)]
+    assert sorted(rows(links.select("claim_no", "evidence_id", "unknown")), key=str) == [(1, "a", False), (2, None, False), (3, "a", False), (4, None, True)]
+
+
 def test_whole_results_above_the_old_bounds(spark):
     assert rt.candidate_limit(130) == 520
     long_json = '{"a": "' + "x" * 3000 + '"}'
